@@ -24,10 +24,10 @@ _CANONICAL = {
 
 
 def record_digest(df: DataFrame, fields: Sequence[str]) -> Column:
-    """Digest of the given fields, independent of their order.  NULL equals NULL."""
+    """32-byte digest of the given fields, independent of their order.  NULL equals NULL."""
     if len(fields) == 1 and isinstance(df.schema[fields[0]].dataType, T.StringType):
-        return F.sha2(top(fields[0]), 256)
-    return F.sha2(F.to_json(F.struct(*[top(f) for f in sorted(fields)]), _CANONICAL), 256)
+        return F.unhex(F.sha2(top(fields[0]), 256))
+    return F.unhex(F.sha2(F.to_json(F.struct(*[top(f) for f in sorted(fields)]), _CANONICAL), 256))
 
 
 def duplicate_groups(df: DataFrame, fields: Sequence[str] | None, order_by: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import types as ty
 from ..functions.paths import record_entries, top
+from ..session import written
 
 
 def string_fields(df: DataFrame) -> list[str]:
@@ -97,20 +98,43 @@ def _long(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.select(*as_text).unpivot([], list(fields), "field", "value")
 
 
-def top_values(df: DataFrame, fields: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+def _ranked(counted: DataFrame, k: int) -> DataFrame:
+    """The limit is applied before the last shuffle (``WindowGroupLimit``), so a field with many
+    distinct values never travels to one task."""
+    by_rank = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+    return counted.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
+
+
+def top_values(
+    df: DataFrame, fields: Sequence[str] | None = None, k: int = 5, long_texts: Sequence[str] = ()
+) -> DataFrame:
     """``field, value, n, rank``: the most common values per field, NULLs left out, ties by value.
 
-    The rank limit is applied before the last shuffle (``WindowGroupLimit``), so a field with
-    many distinct values never travels to one task.
+    Fields named in ``long_texts`` are counted by digest, so that texts do not travel; only the
+    texts of the winners are fetched, in a second pass.
     """
-    counted = (
-        _long(df, fields if fields is not None else string_fields(df))
-        .filter(F.col("value").isNotNull())
-        .groupBy("field", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    by_rank = Window.partitionBy("field").orderBy(F.desc("n"), "value")
-    return counted.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
+    fields = list(fields) if fields is not None else string_fields(df)
+    short = [f for f in fields if f not in long_texts]
+    parts = []
+    if short:
+        values = _long(df, short).filter(F.col("value").isNotNull())
+        parts.append(_ranked(values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), k))
+    if long_texts:
+        parts.append(_top_texts(df, [f for f in fields if f in long_texts], k))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _top_texts(df: DataFrame, fields: Sequence[str], k: int) -> DataFrame:
+    texts = _long(df, fields).filter(F.col("value").isNotNull())
+    texts = texts.withColumn("digest", F.unhex(F.sha2("value", 256)))
+    counted = texts.groupBy("field", "digest", F.substring("value", 1, 32).alias("start")).agg(
+        F.count(F.lit(1)).alias("n"))
+    # A start cannot order texts that share it, so all ties at the limit stay in.
+    place = F.rank().over(Window.partitionBy("field").orderBy(F.desc("n"), "start"))
+    winners = written(counted.withColumn("place", place).filter(F.col("place") <= k).select("field", "digest", "n"))
+    # The size of the written table decides how it is joined.
+    found = texts.join(winners, ["field", "digest"]).select("field", "value", "n").distinct()
+    return _ranked(found, k)
 
 
 def value_counts(df: DataFrame, field: str, k: int = 10) -> DataFrame:
@@ -132,14 +156,16 @@ def histogram(df: DataFrame, field: str, bins: int = 10) -> DataFrame:
     """
     values = df.select(top(field).cast("double").alias("x"))
     values = values.filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    ends = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("ends")).scalar()
-    lo, hi = ends.getField("lo"), ends.getField("hi")
-    width = (hi - lo) / F.lit(bins)
-    place = F.when(hi == lo, F.lit(0)).otherwise(F.floor((F.col("x") - lo) / width))
+    ends = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    values = values.withColumn("ends", ends)
+    lo, hi = F.col("ends.lo"), F.col("ends.hi")
+    place = F.when(hi == lo, F.lit(0)).otherwise(F.floor((F.col("x") - lo) / ((hi - lo) / F.lit(bins))))
     counted = values.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     return counted.select(
-        "bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), "n")
+        "bin", (F.col("lo") + F.col("bin") * width).alias("low"),
+        (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
 def field_distribution(df: DataFrame, field: str) -> DataFrame:

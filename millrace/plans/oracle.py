@@ -155,6 +155,15 @@ def shuffled_sql(copies: int, keep: int) -> str:
             f"copy_no, CASE WHEN copy_no > 0 THEN 'shuffle' END AS method FROM d")
 
 
+def _message_shuffle(column: str, i: int) -> str:
+    words = f"regexp_extract_all({column}, '{tx.TOKEN}')"
+    base = f"conv_id || ':shuffle:42:' || copy_no || ':messages:{i}:content:'"
+    middle = (f"list_transform(list_sort(list_transform(range(2, len({words}) - 2), lambda p: "
+              f"struct_pack(h := md5({base} || (p - 2)), i := p, v := {words}[p + 1]))), lambda s: s.v)")
+    return (f"CASE WHEN copy_no = 0 OR len({words}) <= 6 THEN {column} ELSE array_to_string(list_concat(list_concat("
+            f"{words}[1:2], {middle}), {words}[len({words}) - 1:len({words})]), ' ') END")
+
+
 def synonym_sql(choices: str, prelude: str = "") -> str:
     """``choices`` is the synonym list of word ``w``."""
     base = "doc_id || ':synonym:42:1:text:' || (p - 1)"
@@ -316,6 +325,20 @@ ORACLE: dict[str, str] = {
     "augment_synonym_table": synonym_sql(
         "(SELECT t.*, th.s FROM t LEFT JOIN th ON lower(t.w) = th.word)",
         "th AS (SELECT word, [upper(word), word || 's'] AS s FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM conversations) WHERE regexp_full_match(word, '[a-z]{3,6}')),"),
+    "augment_rephrase": (
+        f"WITH d AS (SELECT *, len({TOKENS}) AS n, item_id || ':rephrase:42:1:text' AS base FROM benchmark), "
+        f"s AS (SELECT *, list_transform(range(1, {number('base || ' + quoted(':sentences'))} % 3 + 2), lambda k: "
+        f"list_transform(range(1, {number('base || ' + quoted(':length:') + ' || k')} % 11 + 6), lambda i: "
+        f"{pick(wl.FILLER_WORDS, 'base || ' + quoted(':word:') + ' || k || ' + quoted(':') + ' || i')})) AS long, "
+        f"list_transform(range(1, n + 1), lambda i: {pick(wl.FILLER_WORDS, 'base || ' + quoted(':word:') + ' || i')}) AS short FROM d) "
+        "SELECT item_id, text, 0 AS copy_no, NULL AS method FROM benchmark UNION ALL "
+        "SELECT item_id, CASE WHEN n <= 3 THEN text WHEN n > 10 THEN array_to_string(list_transform(long, lambda ws: "
+        "upper(ws[1][1:1]) || array_to_string(ws, ' ')[2:] || '.'), ' ') "
+        "ELSE upper(short[1][1:1]) || array_to_string(short, ' ')[2:] || '.' END, 1, 'rephrase' FROM s"),
+    "augment_chat": (
+        f"WITH c AS (SELECT conv_id, copy_no::INT AS copy_no, ask, reply FROM {PAIRS}, range(2) t(copy_no) WHERE turn = 0) "
+        "SELECT conv_id, copy_no, CASE WHEN copy_no > 0 THEN 'shuffle' END AS method, 'user' AS role_0, 'assistant' AS role_1, "
+        + ", ".join(_message_shuffle(c, i) + f" AS content_{i}" for i, c in enumerate(("ask", "reply"))) + " FROM c"),
     "augment_methods": (
         "SELECT copy_no::INT AS copy_no, CASE WHEN copy_no > 0 THEN ['shuffle', 'synonym', 'rephrase'][1 + ("
         + number("doc_id || ':method:42:' || copy_no") + " % 3)::INT] END AS method, count(*) AS n FROM documents, range(4) t(copy_no) GROUP BY 1, 2"),

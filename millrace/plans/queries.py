@@ -214,7 +214,7 @@ def profile_top_values(spark, folder):
 
 @query
 def profile_top_texts(spark, folder):
-    return profile.top_values(table(spark, folder, "documents"))
+    return profile.top_values(table(spark, folder, "documents"), long_texts=["text"])
 
 
 @query

@@ -58,5 +58,10 @@ def convert_stream(
 
 
 def drop_repeated(df: DataFrame, fields: list[str], event_time: str, within: str) -> DataFrame:
-    """First occurrence of a record within a span of event time; state is dropped with the watermark."""
+    """First occurrence of a record within a span of event time; state is dropped with the watermark.
+
+    A watermark needs an instant, so an event time without a zone is taken in the session's.
+    """
+    if isinstance(df.schema[event_time].dataType, T.TimestampNTZType):
+        df = df.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return df.withWatermark(event_time, within).dropDuplicatesWithinWatermark(fields)

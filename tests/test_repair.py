@@ -1,0 +1,90 @@
+from pyspark.sql import functions as F
+
+from millrace.operators import repair
+
+
+def one(df):
+    return df.first().asDict(recursive=True)
+
+
+def actions(row):
+    return [(a["field"], a["action"]) for a in row["actions"]]
+
+
+def test_shallow(spark):
+    got = one(repair.repair(spark.sql("SELECT CAST(NULL AS STRING) AS prompt"), "instruction", "shallow"))
+    assert (got["prompt"], got["completion"]) == ("", "") and len(got["actions"]) == 2
+    chat = one(repair.repair(spark.sql("SELECT 1 AS x"), "chat", "shallow"))
+    assert chat["messages"] == [{"role": "user", "content": ""}, {"role": "assistant", "content": ""}]
+
+
+def test_deep_leaves(spark):
+    got = one(repair.repair(spark.sql("SELECT '  ' AS prompt"), "instruction"))
+    assert (got["prompt"], got["completion"]) == ("<AUTO_FILLED_prompt>", "<AUTO_FILLED_completion>")
+    assert actions(got) == [("prompt", repair.AUTO), ("completion", repair.AUTO)]
+
+
+def test_deep_pads_messages(spark):
+    got = one(repair.repair(spark.sql("SELECT array(named_struct('role', 'user', 'content', 'hi')) AS messages"), "chat"))
+    assert got["messages"] == [{"role": "user", "content": "hi"}, {"role": "<AUTO_FILLED_role>", "content": "<AUTO_FILLED_content>"}]
+    assert actions(got) == [("messages", repair.ELEMENT_ADDED), ("messages[1].role", repair.AUTO), ("messages[1].content", repair.AUTO)]
+
+
+def test_deep_missing_list_is_not_padded(spark):
+    for df in (spark.sql("SELECT 1 AS x"), spark.sql("SELECT CAST(NULL AS ARRAY<STRUCT<role: STRING, content: STRING>>) AS messages"),
+               spark.sql("SELECT 'text' AS messages")):
+        got = one(repair.repair(df, "chat"))
+        assert got["messages"] == [{"role": None, "content": None}]
+        assert (("messages", repair.LIST_CREATED)) in actions(got)
+
+
+def test_deep_keeps_longer_lists_and_other_fields(spark):
+    df = spark.sql("""SELECT array(named_struct('role', 'a', 'content', 'b', 'w', 1), named_struct('role', 'c', 'content', ' ', 'w', NULL),
+                      named_struct('role', NULL, 'content', 'd', 'w', NULL)) AS messages""")
+    got = one(repair.repair(df, "chat"))
+    assert got["messages"] == [
+        {"role": "a", "content": "b", "w": 1}, {"role": "c", "content": "<AUTO_FILLED_content>", "w": 0},
+        {"role": "", "content": "d", "w": 0}]
+
+
+def test_elements_without_template_fields(spark):
+    got = one(repair.repair(spark.sql("SELECT array(named_struct('content', 'b'), named_struct('content', 'c'), named_struct('content', 'd')) AS messages"), "chat"))
+    assert got["messages"] == [
+        {"content": "b", "role": "<AUTO_FILLED_role>"}, {"content": "c", "role": "<AUTO_FILLED_role>"}, {"content": "d", "role": None}]
+
+
+def test_nested_objects(spark):
+    own = {"a": {"b": "", "c": {"d": ""}}, "n": 0, "l": []}
+    got = one(repair.repair(spark.sql("SELECT named_struct('b', 'x') AS a"), own))
+    assert got["a"] == {"b": "x", "c": {"d": "<AUTO_FILLED_d>"}} and got["n"] == 0 and got["l"] == []
+    assert actions(got)[:2] == [("a.c", repair.OBJECT_CREATED), ("a.c.d", repair.AUTO)]
+
+
+def test_list_items(spark):
+    got = one(repair.repair(spark.sql("SELECT array('a', NULL) AS l, array() AS e, 1 AS x, array(array('p', NULL)) AS n")))
+    assert got["l"] == ["a", ""] and got["e"] is None and got["x"] == 1 and got["n"] == [["p", ""]]
+    assert set(actions(got)) == {("l[1]", repair.ITEM_FILLED), ("n[0][1]", repair.ITEM_FILLED), ("e", repair.EMPTY_REMOVED)}
+
+
+def test_typed_defaults_and_idempotence(spark):
+    df = spark.sql("""SELECT CAST(NULL AS INT) AS i, CAST(NULL AS BOOLEAN) AS b, double('NaN') AS d, CAST(NULL AS STRING) AS s,
+                      named_struct('x', CAST(NULL AS STRING)) AS o, CAST(NULL AS DATE) AS t, map('k', CAST(NULL AS STRING)) AS m""")
+    once = repair.repair(df)
+    got = one(once)
+    assert {k: got[k] for k in df.columns} == {"i": 0, "b": False, "d": 0.0, "s": "", "o": {"x": ""}, "t": None, "m": {"k": ""}}
+    again = one(repair.repair(once.drop("actions")))
+    assert {k: again[k] for k in df.columns} == {k: got[k] for k in df.columns} and again["actions"] == []
+
+
+def test_log_and_count(spark, rows):
+    df = spark.sql("SELECT * FROM VALUES (1, 'a'), (2, NULL) t(k, s)")
+    fixed = repair.repair(df)
+    assert rows(repair.repair_log(fixed, "k")) == [(2, "s", repair.NULL_FILLED)]
+    assert tuple(repair.repaired_count(fixed).first()) == (2, 1, 1)
+    assert repair.template_problems(df, {"s": ""}, "k").select("row_key").collect()[0].row_key == 2
+
+
+def test_repair_is_narrow(spark):
+    df = spark.range(10).select("id", F.array(F.struct(F.lit("u").alias("role"), F.lit("").alias("content"))).alias("messages"))
+    plan = repair.repair(df, "openai_fine_tuning")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
