@@ -7,9 +7,13 @@ output, and any engine with ``md5`` can check the result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 
 def seed_text(key: Column, purpose: str, seed: int, *more: Column) -> Column:
     """``key:purpose:seed[:more…]``, the text that a draw hashes."""
@@ -49,7 +53,20 @@ def digits(base: Column, n: int) -> Column:
 
 
 def shuffled(values: Column, base: Column) -> Column:
-    """The array in seeded order.  Ties cannot occur: the position is part of the sort key."""
-    keyed = F.transform(values, lambda v, i: F.struct(
-        F.md5(extend(base, i)).alias("h"), i.alias("i"), v.alias("v")))
-    return F.transform(F.array_sort(keyed), lambda s: s["v"])
+    """The array of texts in seeded order: sorted by the hash of (base, position).
+
+    The hash is put in front of each text, so that one sort of plain strings does it.
+    """
+    keyed = once(base, lambda b: F.transform(values, lambda v, i: F.concat(item_hash(b, i), v)))
+    return F.transform(F.sort_array(keyed), lambda s: F.substr(s, F.lit(33)))
+
+
+def item_hash(base: Column, i: Column) -> Column:
+    """Hash of one item of a list, 32 hex digits."""
+    return F.md5(F.concat(base, F.lit(":"), i.cast("string")))
+
+
+def happens(item: Column, chance: float) -> Column:
+    """True with the given chance: the hash, read as a fraction of 2^32, lies below it."""
+    limit = math.ceil(chance * 4294967296)
+    return F.lit(True) if limit >= 4294967296 else item < F.lit(f"{limit:08x}")

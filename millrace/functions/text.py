@@ -16,10 +16,13 @@ WS = (
 #: White space that does not end a line.
 INLINE_WS = WS.replace(r"\t-\r", r"\t\x0b\x0c", 1)
 TOKEN = f"[^{WS}]+"
+ASCII_TOKEN = r"[^\t-\r\x1c-\x20]+"
 STRIP = f"^[{WS}]+|[{WS}]+$"
 #: Words and single punctuation marks.
 WORD_OR_MARK = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}]"
 
+ASCII_WORD_OR_MARK = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\t-\r\x1c-\x20]"
+
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
     """Bind a value to a lambda variable, so that many uses evaluate it once."""
@@ -35,17 +38,34 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(f"[^{WS}]")
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def tokens(text: Column) -> Column:
-    """White-space separated words."""
-    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+    """White-space separated words.  Plain ASCII text, the common case, takes a smaller pattern."""
+    return _all(text, ASCII_TOKEN, TOKEN)
 
 
 def word_tokens(text: Column) -> Column:
     """Words and punctuation marks as separate tokens."""
-    return F.regexp_extract_all(text, F.lit(f"({WORD_OR_MARK})"), F.lit(1))
+    return _all(text, ASCII_WORD_OR_MARK, WORD_OR_MARK)
+
+
+def _all(text: Column, ascii_pattern: str, pattern: str) -> Column:
+    return F.when(is_ascii(text), F.regexp_extract_all(text, F.lit(f"({ascii_pattern})"), F.lit(1))).otherwise(
+        F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
 
 
 def lines(text: Column) -> Column:
     """Lines of a text; a final line break does not open another line."""
-    parts = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
+    cut = F.when(text.endswith("\r\n"), F.substr(text, F.lit(1), F.length(text) - 2)).when(
+        text.endswith("\n"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    parts = F.when(text.contains("\r\n"), F.split(cut, r"\r?\n")).otherwise(F.split(cut, "\n"))
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(parts)
+
+
+def has_trailing_space(text: Column) -> Column:
+    """Whether any line ends in white space."""
+    last = F.substr(text, F.lit(-1))
+    return text.rlike(rf"\n(?<=[{INLINE_WS}]\r?\n)") | last.rlike(f"[{INLINE_WS}]")

@@ -51,12 +51,14 @@ def replace_synonyms(text: Column, base: Column, thesaurus: Mapping[str, Sequenc
     table = F.create_map(*[c for word in sorted(thesaurus) for c in (
         F.lit(word), F.array(*[F.lit(s) for s in thesaurus[word]]))])
 
-    def draw(word: Column, i: Column) -> Column:
+    def draw(b: Column, word: Column, i: Column) -> Column:
+        # Whether the word is listed is the cheapest test, so it comes first.
+        drawn = F.lower(word).isin(*thesaurus) & seeded.happens(seeded.item_hash(b, i), SYNONYM_CHANCE)
         choices = F.try_element_at(table, F.lower(word))
-        chosen = seeded.pick(choices, seeded.extend(base, i, "which"))
-        return F.when(seeded.unit(seeded.extend(base, i)) < SYNONYM_CHANCE, F.coalesce(chosen, word)).otherwise(word)
+        return F.when(drawn, seeded.pick(choices, seeded.extend(b, i, "which"))).otherwise(word)
 
-    return F.array_join(F.transform(tx.word_tokens(text), draw), " ")
+    return tx.once(base, lambda b: F.array_join(
+        F.transform(tx.word_tokens(text), lambda word, i: draw(b, word, i)), " "))
 
 
 def rephrase(
@@ -168,7 +170,7 @@ def _vary_leaves(
     return value
 
 
-_DRAWS = "array<struct<leaf:string,pos:int,word:string,chance:double,which:bigint>>"
+_DRAWS = "array<struct<leaf:string,pos:int,word:string,which:bigint>>"
 _REPLACED = "array<struct<leaf:string,pos:int,word:string>>"
 
 
@@ -181,11 +183,11 @@ def _leaf_draws(
         base = seeded.extend(seeded.seed_text(top(key), "synonym", seed, F.col("copy_no")), *where)
         leaf = F.concat_ws(".", *[w.cast("string") for w in where])
         words = F.when(is_eligible(value), tx.word_tokens(value)).otherwise(F.array().cast("array<string>"))
-        marked = F.transform(words, lambda w, i: F.struct(
-            leaf.alias("leaf"), i.alias("pos"), F.lower(w).alias("word"),
-            seeded.unit(seeded.extend(base, i)).alias("chance"),
-            seeded.number(seeded.extend(base, i, "which")).alias("which")))
-        return F.filter(marked, lambda s: s["chance"] < SYNONYM_CHANCE).cast(_DRAWS)
+        drawn = tx.once(base, lambda b: F.array_compact(F.transform(words, lambda w, i: F.when(
+            seeded.happens(seeded.item_hash(b, i), SYNONYM_CHANCE), F.struct(
+                leaf.alias("leaf"), i.alias("pos"), F.lower(w).alias("word"),
+                seeded.number(seeded.extend(b, i, "which")).alias("which"))))))
+        return drawn.cast(_DRAWS)
     if isinstance(data_type, T.StructType) and isinstance(node, Mapping):
         parts = [_leaf_draws(value.getField(f.name), f.dataType, node[f.name], [*where, F.lit(f.name)], key, seed)
                  for f in data_type.fields if f.name in node]
@@ -220,16 +222,20 @@ def _join_synonyms(copies: DataFrame, key: str, draws: Column, thesaurus: DataFr
 
 
 def _merge_words(words: Column, replaced: Column) -> Column:
-    """A text from its words, some of them replaced by position."""
-    both = F.array_sort(F.concat(
-        F.transform(replaced, lambda s: F.struct(s["pos"].alias("pos"), F.lit(0).alias("rank"), s["word"].alias("word"))),
-        F.transform(words, lambda w, j: F.struct(j.alias("pos"), F.lit(1).alias("rank"), w.alias("word")))))
+    """A text from its words, some of them replaced by position: the runs of words between
+    replacements, joined up again."""
 
-    def first_per_position(sorted_words: Column) -> Column:
-        kept = F.filter(sorted_words, lambda s, j: (j == 0) | (F.get(sorted_words, j - 1)["pos"] != s["pos"]))
-        return F.array_join(F.transform(kept, lambda s: s["word"]), " ")
+    def joined(ws: Column, new: Column) -> Column:
+        def piece(j: Column) -> Column:
+            start = F.coalesce(F.get(new, j - 1)["pos"] + 1, F.lit(0))
+            end = F.coalesce(F.get(new, j)["pos"], F.size(ws))
+            run = F.slice(ws, start + 1, end - start)
+            return F.when(j < F.size(new), F.concat(run, F.array(F.get(new, j)["word"]))).otherwise(run)
 
-    return tx.once(both, first_per_position)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(new)), piece)), " ")
+
+    by_position = F.sort_array(F.transform(replaced, lambda s: F.struct(s["pos"].alias("pos"), s["word"].alias("word"))))
+    return tx.once(words, lambda ws: tx.once(by_position, lambda new: joined(ws, new)))
 
 
 def augment_count(augmented: DataFrame) -> DataFrame:

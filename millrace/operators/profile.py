@@ -188,17 +188,19 @@ def missing_patterns(df: DataFrame, fields: Sequence[str] | None = None) -> Data
 def unique_counts(df: DataFrame, fields: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """``field, unique_count`` over non-null values.
 
-    Exact by default, which shuffles the distinct values of every field; ``approximate=True`` is
-    a sketch per field in one pass.
+    Exact by default, which shuffles the distinct values of every field; ``approximate=True`` keeps
+    a sketch per field instead.  Either way it is one aggregate over one scan.
     """
     fields = list(fields) if fields is not None else df.columns
-    if approximate:
-        row = df.agg(*[F.approx_count_distinct(top(f)).alias(f"u{i}") for i, f in enumerate(fields)])
-        return _one_row_per_field(row, [
-            F.struct(F.lit(f).alias("field"), F.col(f"u{i}").alias("unique_count"))
-            for i, f in enumerate(fields)])
-    distinct = _long(df, fields).distinct()
-    return distinct.groupBy("field").agg(F.count("value").alias("unique_count"))
+
+    def value(field: str) -> Column:
+        data_type = df.schema[field].dataType
+        return ty.as_text(top(field), data_type) if ty.type_label(data_type) in ("array", "object", "unknown") else top(field)
+
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    row = df.agg(*[count(value(f)).alias(f"u{i}") for i, f in enumerate(fields)])
+    return _one_row_per_field(row, [
+        F.struct(F.lit(f).alias("field"), F.col(f"u{i}").alias("unique_count")) for i, f in enumerate(fields)])
 
 
 def correlations(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:

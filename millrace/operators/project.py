@@ -96,7 +96,7 @@ def available_keys(df: DataFrame, record: str) -> DataFrame:
 
 def record_keys(record: Column) -> Column:
     """Sorted top-level keys of a VARIANT object; NULL for anything else."""
-    return F.array_sort(F.json_object_keys(F.to_json(record)))
+    return F.sort_array(F.json_object_keys(F.to_json(record)))
 
 
 def preview(df: DataFrame, n: int = 100, order_by: Sequence[str] = ()) -> DataFrame:

@@ -118,6 +118,10 @@ def keyword_summary(df: DataFrame, text: str, keywords: Sequence[str] = ERROR_KE
         F.coalesce(F.sum("h"), F.lit(0)).alias("hits"))
 
 
+#: Parts of a pattern that look at what surrounds a match, or that give up on alternatives.
+_CONTEXT = re.compile(r"[\^$]|\(\?|\\[AZzGB]|[*+?}]\+")
+
+
 def _forbidden(text: Column, keywords: Sequence[str]) -> Column:
     """All ``struct<line_no, keyword>`` of a text; the keywords are regular expressions."""
 
@@ -127,9 +131,13 @@ def _forbidden(text: Column, keywords: Sequence[str]) -> Column:
             for k in keywords]))
 
     found = F.flatten(F.transform(tx.lines(text), in_line))
-    if all(re.fullmatch(r"[\w :,;@#%&=/-]+", k) for k in keywords):
-        return F.when(_may_hit(text, keywords, False), found)
-    return found
+    if any(_CONTEXT.search(k) for k in keywords):
+        return found
+    # Without anchors and the like, a match in a line is a match in the text.
+    may_hit = text.rlike("(?i)" + keywords[0])
+    for k in keywords[1:]:
+        may_hit = may_hit | text.rlike("(?i)" + k)
+    return F.when(may_hit, found)
 
 
 def forbidden_scan(df: DataFrame, id: str, text: str, keywords: Sequence[str] = FORBIDDEN_KEYWORDS) -> DataFrame:
@@ -151,7 +159,7 @@ def hygiene(
     value = F.coalesce(top(text), F.lit(""))
     flags = {
         "oversize": F.octet_length(value) > max_size_kb * 1024,
-        "trailing_space": value.rlike(f"[{tx.INLINE_WS}](\\r?\\n|\\z)"),
+        "trailing_space": tx.has_trailing_space(value),
         "byte_order_mark": value.startswith("﻿"),
         "no_final_newline": ~value.endswith("\n"),
         "control_characters": value.rlike(CONTROL_CHARACTERS),

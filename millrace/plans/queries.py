@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import nested_paths, set_path, suggest_mapping
 from ..operators import (
     anonymize, augment, duplicates, edit, generate, profile, project, repair, rules, split, textscan, validate)
-from ..session import scratch_folder
+from ..session import scratch_folder, spread
 from ..sources import convert, read, read_records, write, write_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,6 +466,10 @@ def repair_chat_log(spark, folder):
 
 # -- augment -------------------------------------------------------------------------------------
 
+def texts(spark, folder):
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 THESAURUS = {"the": ("this", "that", "such"), "is": ("was", "remains"), "und": ("sowie",), "que": ("quoi", "lequel")}
 
 
@@ -476,18 +480,18 @@ def augment_count(spark, folder):
 
 @query
 def augment_shuffle(spark, folder):
-    return augment.augment(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 3, ["shuffle"])
+    return augment.augment(texts(spark, folder), "doc_id", 3, ["shuffle"])
 
 
 @query
 def augment_shuffle_all(spark, folder):
     return augment.augment(
-        table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 2, ["shuffle"], keep_ends=0)
+        texts(spark, folder), "doc_id", 2, ["shuffle"], keep_ends=0)
 
 
 @query
 def augment_synonym(spark, folder):
-    return augment.augment(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 2, ["synonym"], thesaurus=THESAURUS)
+    return augment.augment(texts(spark, folder), "doc_id", 2, ["synonym"], thesaurus=THESAURUS)
 
 
 @query
@@ -496,7 +500,7 @@ def augment_synonym_table(spark, folder):
     parts = table(spark, folder, "conversations").select(F.explode(F.split(F.lower("text"), " ")).alias("word"))
     words = parts.filter(F.col("word").rlike("^[a-z]{3,6}$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     thesaurus = words.select("word", F.array(F.upper("word"), F.concat("word", F.lit("s"))).alias("synonyms"))
-    return augment.augment(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 2, ["synonym"], thesaurus=thesaurus)
+    return augment.augment(texts(spark, folder), "doc_id", 2, ["synonym"], thesaurus=thesaurus)
 
 
 @query

@@ -66,3 +66,13 @@ def fits_broadcast(df: DataFrame) -> bool:
         F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b"),
     ).first()
     return probe["n"] <= BROADCAST_ROWS and (probe["b"] or 0) <= BROADCAST_BYTES
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a CPU-heavy step enough tasks when its input is only a few files.
+
+    An input of at least as many files as there are cores, the normal case on a cluster, is
+    returned as it is and does not shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, F.col(key))
