@@ -14,6 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+RUNS = 3
 HEADLINE = (
     "template_alpaca", "template_chat", "nested_path", "profile_orders", "profile_records", "profile_top_values",
     "profile_top_texts", "histogram", "unique_counts", "correlation", "dedup_exact", "field_drift", "validate_records",
@@ -34,7 +35,7 @@ def main() -> None:
     seconds = {}
     for name in names:
         runs = []
-        for _ in range(4):
+        for _ in range(RUNS + 1):
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)

@@ -118,7 +118,11 @@ def augment(
         drawn = [_leaf_draws(top(f.name), f.dataType, structure.get(f.name), [F.lit(f.name)], key, seed)
                  for f in df.schema.fields if f.name != key and (not structure or f.name in structure)]
         copies = _join_synonyms(copies, key, F.concat(*drawn), thesaurus)
-    literal = thesaurus if isinstance(thesaurus, Mapping) else SMALL_THESAURUS
+    literal = {}
+    for word, synonyms in (thesaurus if isinstance(thesaurus, Mapping) else SMALL_THESAURUS).items():
+        distinct = [s for s in dict.fromkeys(s.replace("_", " ") for s in synonyms) if s != word]
+        if distinct:
+            literal[word] = distinct
     if len(literal) > MAX_LITERAL_WORDS:
         raise ValueError(f"a thesaurus of more than {MAX_LITERAL_WORDS} words must be given as a DataFrame")
 
@@ -205,9 +209,12 @@ def _join_synonyms(copies: DataFrame, key: str, draws: Column, thesaurus: DataFr
     otherwise in a shuffle whose words are salted: a word that makes up a third of the corpus is
     spread over ``SALTS`` tasks.  The replacements come back grouped per record.
     """
-    words = thesaurus.select("word", "synonyms").filter(F.size("synonyms") > 0)
-    drawn = copies.filter(F.col("method") == "synonym").select(
-        top(key).alias("_key"), F.col("copy_no").alias("_copy"), F.inline(draws))
+    words = _clean_thesaurus(thesaurus)
+    empty = F.array().cast(_REPLACED)
+    # Only the copies that get synonyms take part in the join.
+    to_vary = copies.filter(F.col("method") == "synonym")
+    others = copies.filter(~F.col("method").eqNullSafe("synonym")).withColumn("_replaced", empty)
+    drawn = to_vary.select(top(key).alias("_key"), F.col("copy_no").alias("_copy"), F.inline(draws))
     if fits_broadcast(words):
         met = drawn.join(F.broadcast(words), "word")
     else:
@@ -216,9 +223,17 @@ def _join_synonyms(copies: DataFrame, key: str, draws: Column, thesaurus: DataFr
     picked = F.get("synonyms", (F.col("which") % F.size("synonyms")).cast("int"))
     per_record = met.groupBy("_key", "_copy").agg(
         F.collect_list(F.struct("leaf", "pos", picked.alias("word"))).alias("_replaced"))
-    joined = copies.join(
+    varied = to_vary.join(
         per_record, (top(key) == F.col("_key")) & (F.col("copy_no") == F.col("_copy")), "left")
-    return joined.withColumn("_replaced", F.coalesce("_replaced", F.array().cast(_REPLACED)))
+    varied = varied.withColumn("_replaced", F.coalesce("_replaced", empty)).drop("_key", "_copy")
+    return others.unionByName(varied)
+
+
+def _clean_thesaurus(thesaurus: DataFrame) -> DataFrame:
+    """Distinct synonyms other than the word itself, with ``_`` read as a space."""
+    spaced = F.array_distinct(F.transform("synonyms", lambda s: F.replace(s, F.lit("_"), F.lit(" "))))
+    return thesaurus.select("word", F.filter(spaced, lambda s: s != F.col("word")).alias("synonyms")).filter(
+        F.size("synonyms") > 0)
 
 
 def _merge_words(words: Column, replaced: Column) -> Column:

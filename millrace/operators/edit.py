@@ -26,7 +26,7 @@ def search(df: DataFrame, query: str) -> DataFrame:
 
 def delete_records(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``keys``."""
-    return df.join(keys.select(key), key, "left_anti")
+    return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def patch_cells(df: DataFrame, patches: DataFrame, key: str) -> DataFrame:

@@ -160,7 +160,7 @@ def hygiene(
     flags = {
         "oversize": F.octet_length(value) > max_size_kb * 1024,
         "trailing_space": tx.has_trailing_space(value),
-        "byte_order_mark": value.startswith("﻿"),
+        "byte_order_mark": value.startswith("\ufeff"),
         "no_final_newline": ~value.endswith("\n"),
         "control_characters": value.rlike(CONTROL_CHARACTERS),
     }

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException, PySparkException
@@ -93,6 +93,18 @@ def read_records(spark: SparkSession, path: str, fmt: str | None = None, column:
     raise ValueError(f"Not a record format: {fmt}")
 
 
+def read_texts(spark: SparkSession, path: str, types: Sequence[str] = (), recurse: bool = True) -> DataFrame:
+    """``path, size, text``: one row per file of a folder tree, for the text scans.
+
+    ``types`` are file extensions to keep; the filter works on file names, before any file is read.
+    """
+    reader = spark.read.option("recursiveFileLookup", recurse)
+    if types:
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(t.lstrip(".") for t in types) + "}")
+    return reader.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+
+
 def list_tables(spark: SparkSession, url: str) -> list[str]:
     """Table names of a SQL database file."""
     query = "SELECT name FROM sqlite_master WHERE type = 'table'"

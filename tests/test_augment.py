@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.operators import augment
 
-TEXTS = ["one two three", "one two three four", "a b c d e f g h i j", "x y　z w\tv\nu t s", "", "the end is the end of the world is near"]
+TEXTS = ["one two three", "one two three four", "a b c d e f g h i j", "x y\u3000z w\tv\nu t s", "", "the end is the end of the world is near"]
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +71,23 @@ def test_synonym_paths_agree(spark, texts, monkeypatch):
     assert all(len(t.split()) == len(allowed) and all(w in a for w, a in zip(t.split(), allowed)) for t in new)
 
 
+def test_thesaurus_is_cleaned(spark):
+    df = spark.createDataFrame([(i, "aa aa aa aa aa aa") for i in range(20)], "k int, t string")
+    words = {"aa": ("aa", "b_c", "b_c")}
+    table = spark.createDataFrame([("aa", list(words["aa"]))], "word string, synonyms array<string>")
+    for thesaurus in (words, table):
+        out = augment.augment(df, "k", 2, ["synonym"], thesaurus=thesaurus).filter("copy_no = 1")
+        assert {w for r in out.collect() for w in r.t.replace("b c", "b_c").split()} == {"aa", "b_c"}
+
+
+def test_mixed_methods_with_a_table(spark, texts):
+    """Copies that get no synonyms do not take part in the join, and all rows come back."""
+    table = spark.createDataFrame([("the", ["this"])], "word string, synonyms array<string>")
+    a = augment.augment(texts, "k", 6, thesaurus=table)
+    b = augment.augment(texts, "k", 6, thesaurus={"the": ("this",)})
+    assert a.count() == 6 * len(TEXTS) and a.exceptAll(b).count() == 0
+
+
 def test_rephrase(spark, texts):
     got = copies(augment.augment(texts, "k", 2, ["rephrase"]))
     assert got[0] == TEXTS[0] and len(got[1].split()) == 4 and got[1].endswith(".") and got[1][0].isupper()
@@ -91,7 +108,7 @@ def test_errors(texts):
 
 
 def test_white_space_is_that_of_python(spark):
-    every = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["​", "﻿", "a"]
+    every = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["\u200b", "\ufeff", "a"]
     df = spark.createDataFrame([(i, f"{c}l{c}r{c}") for i, c in enumerate(every)], "i int, t string")
     got = df.select("i", tx.tokens(F.col("t")).alias("w"), tx.strip(F.col("t")).alias("s"), tx.is_blank(F.substring("t", 1, 1)).alias("b")).collect()
     for r in got:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from millrace.sources import convert, infer_format, read, read_records, write, write_auto, write_splits
+from millrace.sources import convert, infer_format, read, read_records, read_texts, write, write_auto, write_splits
 from millrace.streaming import convert_stream, drop_repeated
 
 
@@ -66,6 +66,22 @@ def test_xml(spark, tmp_path):
     assert read(spark, lone, row_tag="item").first().asDict() == {"#text": "text", "@id": 7}
 
 
+def test_file_tree(spark, tmp_path):
+    from millrace.operators import textscan
+
+    (tmp_path / "sub").mkdir()
+    put(tmp_path / "a.py", "\ufeffok\nan error \n")
+    put(tmp_path / "sub" / "b.md", "x\r\ny")
+    put(tmp_path / "sub" / "c.log", "error\n")
+    files = read_texts(spark, str(tmp_path), [".py", "md"])
+    got = {r.path.split("/")[-1]: r for r in textscan.hygiene(files, "path", "text").collect()}
+    assert set(got) == {"a.py", "b.md"}
+    assert got["a.py"].byte_order_mark and got["a.py"].trailing_space and got["a.py"].issues == 2
+    assert got["b.md"].no_final_newline and got["b.md"].issues == 1
+    assert textscan.keyword_scan(read_texts(spark, str(tmp_path)), "path", "text").count() == 2
+    assert read_texts(spark, str(tmp_path), recurse=False).count() == 1
+
+
 def test_yaml(spark, tmp_path):
     for name, text, n in (("a", "data:\n- {a: 1}\n- {a: 2}\n", 2), ("b", "- {a: 1}\n- {a: x, b: [1, 2]}\n", 2), ("c", "a: 1\n", 1), ("d", "", 0)):
         path = put(tmp_path / f"{name}.yaml", text)

@@ -47,7 +47,7 @@ def test_forbidden(docs, rows):
 
 
 def test_hygiene(spark):
-    texts = {"clean": "a\nb\n", "blank_end": "a \nb\n", "last": "a\nb ", "bom": "﻿a\n", "control": "a\x01\n", "empty": "", "big": "x" * 2000 + "\n"}
+    texts = {"clean": "a\nb\n", "blank_end": "a \nb\n", "last": "a\nb ", "bom": "\ufeffa\n", "control": "a\x01\n", "empty": "", "big": "x" * 2000 + "\n"}
     df = spark.createDataFrame(list(texts.items()), "k string, t string")
     got = {r.k: r for r in textscan.hygiene(df, "k", "t", max_size_kb=1, forbidden=["a"]).collect()}
     assert got["clean"].issues == 1 and got["clean"].forbidden_hits == 1
