@@ -47,14 +47,14 @@ def anonymize(
     """Same columns with the values of ``fields`` (``{column: provider}``) replaced.
 
     Replaced columns become text; NULLs stay NULL.  Without ``fields``, sensitive columns are
-    detected by name.  ``mode="random"`` draws every cell on its own, from the row's unique
+    detected by name, the key included.  ``mode="random"`` draws every cell on its own, from the row's unique
     ``key``; ``mode="consistent"`` gives equal values equal replacements, from ``secret`` and the
     value, so that joins survive.  An unknown provider keeps the column with a warning, or writes
     a constant (``on_unknown="constant"``).  ``observation`` counts the replaced values.
     """
     if mode not in ("random", "consistent") or on_unknown not in ("keep", "constant"):
         raise ValueError("mode is 'random' or 'consistent', on_unknown is 'keep' or 'constant'")
-    fields = dict(fields) if fields else {k: v for k, v in detect_sensitive(df.columns).items() if k != key}
+    fields = dict(fields) if fields else detect_sensitive(df.columns)
     if not fields:
         warnings.warn("No fields to anonymize.", stacklevel=2)
         return df

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,7 +69,7 @@ def read(
         texts = read_yaml_records(spark, path)
         df = _typed_json(texts, "record", schema, mode)
     elif fmt == "avro":
-        df = _gated(lambda: spark.read.format("avro").load(path), "Avro", "the spark-avro package")
+        df = gated(lambda: spark.read.format("avro").load(path), "Avro", "the spark-avro package")
     elif fmt == "sqlite":
         df = _read_table(spark, path, table)
     else:
@@ -108,7 +108,7 @@ def read_texts(spark: SparkSession, path: str, types: Sequence[str] = (), recurs
 def list_tables(spark: SparkSession, url: str) -> list[str]:
     """Table names of a SQL database file."""
     query = "SELECT name FROM sqlite_master WHERE type = 'table'"
-    frame = _gated(lambda: spark.read.format("jdbc").option("url", _url(url)).option("query", query).load(),
+    frame = gated(lambda: spark.read.format("jdbc").option("url", table_url(url)).option("query", query).load(),
                    "SQL tables", "a JDBC driver")
     return [r["name"] for r in frame.collect()]
 
@@ -156,14 +156,19 @@ def read_yaml_records(spark: SparkSession, path: str) -> DataFrame:
 def _read_delimited(spark: SparkSession, path: str, separator: str, schema, multi_line: bool, mode: str) -> DataFrame:
     """Delimited text with a header; the usual spellings of a missing value become NULL.
 
-    Without a schema, one aggregate over the text columns finds the narrowest type that holds
-    every value of a column.
+    Short rows end in NULLs.  Rows with surplus cells fail the read, unless ``mode`` is
+    ``PERMISSIVE``, which drops those cells.  Without a schema, one aggregate over the text
+    columns finds the narrowest type that holds every value of a column.
     """
-    reader = (spark.read.option("header", True).option("sep", separator).option("multiLine", multi_line)
-              .option("escape", '"').option("mode", mode).option("ignoreLeadingWhiteSpace", False)
-              .option("ignoreTrailingWhiteSpace", False))
-    raw = reader.csv(path)
-    raw = raw.select(*[F.when(~top(c).isin(*CSV_MISSING), top(c)).alias(c) for c in raw.columns])
+    options = {"header": True, "sep": separator, "multiLine": multi_line, "escape": '"'}
+    names = spark.read.options(**options).csv(path).columns
+    fields = ", ".join(f"`{n}` string" for n in names)
+    raw = spark.read.options(**options, columnNameOfCorruptRecord="_row").schema(fields + ", `_row` string").csv(path)
+    if mode == "FAILFAST":
+        longer = F.from_csv("_row", fields + ", `_surplus` string", {"sep": separator, "escape": '"'})
+        check = F.when(longer.getField("_surplus").isNotNull(), F.raise_error(F.concat(F.lit("Row with surplus cells: "), "_row")))
+        raw = raw.withColumn(names[0], F.coalesce(check.cast("string"), top(names[0])))
+    raw = raw.select(*[missing_to_null(top(c)).alias(c) for c in names])
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         return raw.select(*[top(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields])
@@ -183,20 +188,25 @@ def _read_delimited(spark: SparkSession, path: str, separator: str, schema, mult
     return raw.select(*columns)
 
 
+def missing_to_null(cell: Column) -> Column:
+    """NULL for the usual spellings of a missing value."""
+    return F.when(~cell.isin(*CSV_MISSING), cell)
+
+
 def _read_table(spark: SparkSession, path: str, table: str | None) -> DataFrame:
     names = list_tables(spark, path)
     if not names:
         raise ValueError("No tables found in the database")
     if table is not None and table not in names:
         raise ValueError(f"Table '{table}' not found in the database")
-    return spark.read.format("jdbc").option("url", _url(path)).option("dbtable", f'"{table or names[0]}"').load()
+    return spark.read.format("jdbc").option("url", table_url(path)).option("dbtable", f'"{table or names[0]}"').load()
 
 
-def _url(path: str) -> str:
+def table_url(path: str) -> str:
     return path if path.startswith("jdbc:") else f"jdbc:sqlite:{path}"
 
 
-def _gated(load, what: str, needs: str) -> DataFrame:
+def gated(load, what: str, needs: str):
     try:
         return load()
     except (AnalysisException, PySparkException) as error:

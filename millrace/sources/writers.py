@@ -11,7 +11,6 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from ..fixed_values import EXTENSIONS
 from ..functions import types as ty
 from ..functions.paths import top
-from .readers import _url, infer_format, read
+from .readers import gated, infer_format, read, table_url
 
 _JSON = {"ignoreNullFields": "false"}
 
@@ -49,13 +48,11 @@ def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", check
     elif fmt == "yaml":
         yaml_items(df).write.mode(mode).text(path)
     elif fmt == "avro":
-        try:
-            df.write.mode(mode).format("avro").save(path)
-        except PySparkException as error:
-            raise RuntimeError(f"Avro needs the spark-avro package on the cluster's class path: {error}") from error
+        gated(lambda: df.write.mode(mode).format("avro").save(path), "Avro", "the spark-avro package")
     elif fmt == "sqlite":
         flat = df.select(*[_flat(f) for f in df.schema.fields])
-        flat.write.mode("overwrite").format("jdbc").option("url", _url(path)).option("dbtable", "data").save()
+        gated(lambda: flat.write.mode("overwrite").format("jdbc").option("url", table_url(path)).option("dbtable", "data").save(),
+              "SQL tables", "a JDBC driver")
     else:
         raise ValueError(f"Unsupported output format: {fmt}")
 

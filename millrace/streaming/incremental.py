@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
+from ..functions.paths import top
+from ..sources.readers import missing_to_null
 
 _STREAM_FORMATS = {"jsonl": "json", "csv": "csv", "tsv": "csv", "txt": "text", "parquet": "parquet"}
 
@@ -31,7 +33,11 @@ def read_stream(
     if schema is None:
         raise ValueError("a stream needs a schema")
     if fmt in ("csv", "tsv"):
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        cells = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
         reader = reader.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").option("escape", '"')
+        return reader.option("multiLine", True).schema(cells).load(path).select(
+            *[missing_to_null(top(f.name)).cast(f.dataType).alias(f.name) for f in wanted.fields])
     return reader.schema(schema).load(path)
 
 

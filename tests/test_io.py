@@ -54,6 +54,23 @@ def test_csv(spark, tmp_path):
     assert read(spark, put(tmp_path / "b.tsv", "a\tb\n1\t2,3\n")).first().b == "2,3"
 
 
+def test_csv_row_lengths(spark, tmp_path):
+    short = put(tmp_path / "short.csv", 'a,b,c\n1,2,3\n4\n5,"x\ny"\n')
+    assert [tuple(r) for r in read(spark, short).orderBy("a").collect()] == [(1, "2", 3), (4, None, None), (5, "x\ny", None)]
+    long = put(tmp_path / "long.csv", "a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="surplus"):
+        read(spark, long).collect()
+    assert read(spark, long, mode="PERMISSIVE").count() == 2
+
+
+def test_csv_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in" / "a.csv", 'a,b\n1,"x\ny"\nNA,N/A\n')
+    convert_stream(spark, str(tmp_path / "in"), "csv", str(tmp_path / "out"), "parquet", str(tmp_path / "cp"),
+                   schema="a int, b string").awaitTermination()
+    assert values(read(spark, str(tmp_path / "out"), "parquet")) == ['{"a": 1, "b": "x\\ny"}', '{"a": null, "b": null}']
+
+
 def test_txt(spark, tmp_path):
     assert values(read(spark, put(tmp_path / "a.txt", "  hi \n\n b\n \n"))) == ['{"text": "b"}', '{"text": "hi"}']
 
@@ -175,6 +192,8 @@ def test_gated_formats_say_what_they_need(spark, mixed, tmp_path):
         write(mixed, str(tmp_path / "a"), "avro")
     with pytest.raises(RuntimeError, match="JDBC"):
         read(spark, str(tmp_path / "x.db"))
+    with pytest.raises(RuntimeError, match="JDBC"):
+        write(mixed, str(tmp_path / "x.db"), "sqlite")
 
 
 def test_stream_convert(spark, folder, tmp_path):
