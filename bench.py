@@ -14,7 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = (
     "template_alpaca", "template_chat", "nested_path", "profile_orders", "profile_records", "profile_top_values",
     "profile_top_texts", "histogram", "unique_counts", "correlation", "dedup_exact", "field_drift", "validate_records",

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+LABELS = ("string", "number", "boolean", "array", "object", "unknown")
+
+
 def type_label(data_type: T.DataType) -> str:
     if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
         return "string"

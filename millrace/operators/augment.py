@@ -105,19 +105,20 @@ def augment(
     unknown = set(methods) - set(METHODS)
     if unknown or not methods:
         raise ValueError(f"Unknown augmentation methods: {sorted(unknown)}" if unknown else "No augmentation methods")
-    copies = df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(max(factor, 1) - 1))))
+    structure = template_structure(template) if template else {}
+    text_columns = _text_columns(df, key, structure)
+    # Words are split once per text, before it is copied.
+    split = _with_words(df, text_columns) if factor > 1 else df.withColumns(
+        {"_words_" + c: F.lit(None).cast("array<string>") for c in text_columns})
+    copies = split.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(max(factor, 1) - 1))))
     draw = seeded.below(seeded.seed_text(top(key), "method", seed, F.col("copy_no")), len(methods))
     chosen = F.get(F.array(*[F.lit(m) for m in methods]), draw.cast("int"))
     copies = copies.withColumn("method", F.when(F.col("copy_no") > 0, chosen))
-    structure = template_structure(template) if template else {}
-    # Words are split once per text, and not at all for originals.
-    for column in _text_columns(df, key, structure):
-        copies = copies.withColumn("_words_" + column, F.when(F.col("copy_no") > 0, tx.tokens(top(column))))
     joined = isinstance(thesaurus, DataFrame) and "synonym" in methods
     if joined:
         drawn = [_leaf_draws(top(f.name), f.dataType, structure.get(f.name), [F.lit(f.name)], key, seed)
                  for f in df.schema.fields if f.name != key and (not structure or f.name in structure)]
-        copies = _join_synonyms(copies, key, F.concat(*drawn), thesaurus)
+        copies = _join_synonyms(copies, key, F.concat(*drawn), thesaurus, text_columns)
     literal = {}
     for word, synonyms in (thesaurus if isinstance(thesaurus, Mapping) else SMALL_THESAURUS).items():
         distinct = [s for s in dict.fromkeys(s.replace("_", " ") for s in synonyms) if s != word]
@@ -202,7 +203,13 @@ def _leaf_draws(
     return none
 
 
-def _join_synonyms(copies: DataFrame, key: str, draws: Column, thesaurus: DataFrame) -> DataFrame:
+def _with_words(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumns({"_words_" + c: tx.tokens(top(c)) for c in columns})
+
+
+def _join_synonyms(
+    copies: DataFrame, key: str, draws: Column, thesaurus: DataFrame, text_columns: Sequence[str]
+) -> DataFrame:
     """Adds ``_replaced``: the drawn words of a record for which a thesaurus table has synonyms.
 
     Only drawn words leave their row.  They meet the thesaurus by broadcast if its size allows,
@@ -211,8 +218,8 @@ def _join_synonyms(copies: DataFrame, key: str, draws: Column, thesaurus: DataFr
     """
     words = _clean_thesaurus(thesaurus)
     empty = F.array().cast(_REPLACED)
-    # Only the copies that get synonyms take part in the join.
-    to_vary = copies.filter(F.col("method") == "synonym")
+    # Only the copies that get synonyms take part in the join, without their words.
+    to_vary = copies.filter(F.col("method") == "synonym").drop(*["_words_" + c for c in text_columns])
     others = copies.filter(~F.col("method").eqNullSafe("synonym")).withColumn("_replaced", empty)
     drawn = to_vary.select(top(key).alias("_key"), F.col("copy_no").alias("_copy"), F.inline(draws))
     if fits_broadcast(words):
@@ -226,7 +233,7 @@ def _join_synonyms(copies: DataFrame, key: str, draws: Column, thesaurus: DataFr
     varied = to_vary.join(
         per_record, (top(key) == F.col("_key")) & (F.col("copy_no") == F.col("_copy")), "left")
     varied = varied.withColumn("_replaced", F.coalesce("_replaced", empty)).drop("_key", "_copy")
-    return others.unionByName(varied)
+    return others.unionByName(_with_words(varied, text_columns))
 
 
 def _clean_thesaurus(thesaurus: DataFrame) -> DataFrame:

@@ -66,16 +66,19 @@ def profile_records(df: DataFrame, record: str, order_by: str, absent_is_missing
     explicit nulls), ``type`` is that of the first value in ``order_by`` order.
     """
     entries = record_entries(df.select(top(order_by).alias("_ord"), top(record)), record)
-    label = ty.variant_label(F.col("value"))
-    per_field = entries.groupBy(F.col("key").alias("field")).agg(
+    # As a number, the type fits a hash aggregate; as text it would need a sort of all entries.
+    labels = F.array(*[F.lit(label) for label in ty.LABELS])
+    entries = entries.select(
+        F.col("key").alias("field"), "_ord", F.array_position(labels, ty.variant_label(F.col("value"))).alias("code"))
+    per_field = entries.groupBy("field").agg(
         F.count(F.lit(1)).alias("present"),
-        F.count(label).alias("filled"),
-        F.min_by(label, F.when(label.isNotNull(), F.col("_ord"))).alias("type"))
+        F.count("code").alias("filled"),
+        F.min_by("code", F.when(F.col("code").isNotNull(), F.col("_ord"))).alias("code"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     of = total if absent_is_missing else F.col("present")
     return per_field.select(
         "field", total.alias("record_count"), "present",
-        (of - F.col("filled")).alias("missing"), "type")
+        (of - F.col("filled")).alias("missing"), F.get(labels, (F.col("code") - 1).cast("int")).alias("type"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
