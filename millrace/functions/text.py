@@ -42,6 +42,18 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value; NULL for NULL.
+
+    Spark's JSON functions stop after the first value and ignore what follows.  So the text is
+    put in front of a seal that it cannot contain: only if it ends where its value ends is the
+    seal seen as the next field.
+    """
+    seal = F.md5(text)
+    keys = F.json_object_keys(F.concat(F.lit('{"value":'), text, F.lit(',"'), seal, F.lit('":0}')))
+    return F.when(text.isNotNull(), F.coalesce((F.size(keys) == 2) & F.array_contains(keys, seal), F.lit(False)))
+
+
 def tokens(text: Column) -> Column:
     """White-space separated words.  Plain ASCII text, the common case, takes a smaller pattern."""
     return _all(text, ASCII_TOKEN, TOKEN)

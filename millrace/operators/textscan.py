@@ -181,19 +181,17 @@ def hygiene_summary(checked: DataFrame) -> DataFrame:
         F.coalesce(F.sum("issues"), F.lit(0)).alias("issues"))
 
 
-def json_ok(text: Column) -> Column:
-    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())
-
-
 @F.pandas_udf(T.BooleanType())
 def yaml_ok(text: pd.Series) -> pd.Series:
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
     def parses(value: str | None) -> bool | None:
         if value is None:
             return None
         try:
-            for _ in yaml.parse(value, Loader=yaml.SafeLoader):
+            for _ in yaml.parse(value, Loader=loader):
                 pass
             return True
         except yaml.YAMLError:
@@ -210,7 +208,7 @@ def xml_ok(text: Column) -> Column:
 def well_formed(df: DataFrame, id: str, text: str, kind: str) -> DataFrame:
     """``id, well_formed`` for JSON, XML, YAML or plain text (no control characters)."""
     checks = {
-        "json": json_ok,
+        "json": tx.is_json,
         "xml": xml_ok,
         "yaml": yaml_ok,
         "text": lambda c: ~c.rlike(CONTROL_CHARACTERS),

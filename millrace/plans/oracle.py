@@ -157,7 +157,7 @@ def shuffled_sql(copies: int, keep: int) -> str:
 
 def _message_shuffle(column: str, i: int) -> str:
     words = f"regexp_extract_all({column}, '{tx.TOKEN}')"
-    base = f"conv_id || ':shuffle:42:' || copy_no || ':messages:{i}:content:'"
+    base = f"pair || ':shuffle:42:' || copy_no || ':messages:{i}:content:'"
     middle = (f"list_transform(list_sort(list_transform(range(2, len({words}) - 2), lambda p: "
               f"struct_pack(h := md5({base} || (p - 2)), i := p, v := {words}[p + 1]))), lambda s: s.v)")
     return (f"CASE WHEN copy_no = 0 OR len({words}) <= 6 THEN {column} ELSE array_to_string(list_concat(list_concat("
@@ -282,7 +282,7 @@ ORACLE: dict[str, str] = {
     "rule_regex": finding("p_partkey", "p_name", "Regex Match", "p_name", "^[a-m].*(t|g)$", "part", "NOT regexp_matches(p_name, '^[a-m].*(t|g)$')"),
     "rule_length": finding("doc_id", "text", "Min Length", "text", "500", "documents", "length(text) < 500") + " UNION ALL " + finding("doc_id", "text", "Max Length", "text", "5000", "documents", "length(text) > 5000"),
     "rule_value": finding("l_orderkey", "l_linenumber", "Min Value", "l_linenumber::VARCHAR", "2", "lineitem", "l_linenumber < 2") + " UNION ALL " + finding("l_orderkey", "l_linenumber", "Max Value", "l_linenumber::VARCHAR", "6", "lineitem", "l_linenumber > 6"),
-    "rule_custom": finding("event_id", "event_type", "Custom Python", "event_type", "x IN ('view', 'click', 'purchase')", "events", "event_type NOT IN ('view', 'click', 'purchase')") + " UNION ALL " + finding("event_id", "user_id", "Custom Python", "user_id::VARCHAR", "", "events", "user_id % 7 = 0"),
+    "rule_custom": finding("event_id", "event_type", "Custom Python", "event_type", "x IN ('view', 'click', 'purchase')", "events", "event_type NOT IN ('view', 'click', 'purchase')") + " UNION ALL " + finding("event_id", "user_id", "Custom Python", "user_id::VARCHAR", "", "events", "user_id <= 20"),
     "validation_report": " UNION ALL ".join(
         [f"SELECT doc_id AS row_key, '{f}' AS field, 'missing' AS rule, {f}::VARCHAR AS value, 'Field ''{f}'' has no value' AS message FROM {LABELLED} WHERE {f} IS NULL"
          + (f" OR NOT regexp_matches({f}, '[^{tx.WS}]')" if f in ("text", "lang", "source") else "") for f in _docs_fields if f != "doc_id"]
@@ -336,8 +336,8 @@ ORACLE: dict[str, str] = {
         "upper(ws[1][1:1]) || array_to_string(ws, ' ')[2:] || '.'), ' ') "
         "ELSE upper(short[1][1:1]) || array_to_string(short, ' ')[2:] || '.' END, 1, 'rephrase' FROM s"),
     "augment_chat": (
-        f"WITH c AS (SELECT conv_id, copy_no::INT AS copy_no, ask, reply FROM {PAIRS}, range(2) t(copy_no) WHERE turn = 0) "
-        "SELECT conv_id, copy_no, CASE WHEN copy_no > 0 THEN 'shuffle' END AS method, 'user' AS role_0, 'assistant' AS role_1, "
+        f"WITH c AS (SELECT conv_id || '-' || turn AS pair, copy_no::INT AS copy_no, ask, reply FROM {PAIRS}, range(2) t(copy_no)) "
+        "SELECT pair, copy_no, CASE WHEN copy_no > 0 THEN 'shuffle' END AS method, 'user' AS role_0, 'assistant' AS role_1, "
         + ", ".join(_message_shuffle(c, i) + f" AS content_{i}" for i, c in enumerate(("ask", "reply"))) + " FROM c"),
     "augment_methods": (
         "SELECT copy_no::INT AS copy_no, CASE WHEN copy_no > 0 THEN ['shuffle', 'synonym', 'rephrase'][1 + ("
@@ -376,8 +376,8 @@ ORACLE: dict[str, str] = {
     "hygiene_summary": (
         "SELECT count(*) AS checked, count(*) FILTER (issues > 0) AS with_issues, sum(issues)::BIGINT AS issues FROM (SELECT "
         + " + ".join(f"(text <> '' AND {c.replace('8192', '1048576')})::INT" for c in _hyg.values()) + " AS issues FROM (SELECT html AS text FROM pages))"),
-    "wellformed_json": "SELECT event_id, json_valid(CASE WHEN event_type = 'error' THEN substr(props, 1, 5) ELSE props END) AS well_formed FROM events",
-    "wellformed_xml": "SELECT doc_id, lang = 'en' AS well_formed FROM documents",
+    "wellformed_json": "SELECT event_id, json_valid(CASE WHEN event_type = 'error' THEN props || '}' ELSE props END) AS well_formed FROM events",
+    "wellformed_xml": f"SELECT doc_id, lang = 'en' AND NOT contains(text, ']]>') AND NOT ({_hyg['control_characters']}) AS well_formed FROM documents",
     "wellformed_yaml": "SELECT doc_id, lang = 'en' AS well_formed FROM documents",
     "wellformed_summary": f"SELECT count(*) AS checked, count(*) FILTER ({_hyg['control_characters']}) AS failed FROM documents",
     # formats

@@ -351,7 +351,7 @@ def rule_value(spark, folder):
 @query
 def rule_custom(spark, folder):
     return _check(table(spark, folder, "events"), "event_id", *EVENT_RULES,
-                  {"field": "user_id", "type": "Custom Python", "value": lambda x: x % 7 != 0})
+                  {"field": "user_id", "type": "Custom Python", "value": lambda x: x > 20})
 
 
 @query
@@ -517,12 +517,12 @@ def augment_methods(spark, folder):
 @query
 def augment_chat(spark, folder):
     """Message contents inside a list, scoped by the template."""
+    pairs = turn_pairs(spark, folder).withColumn("pair", F.concat_ws("-", "conv_id", "turn"))
     chats = project.map_to_template(
-        turn_pairs(spark, folder), "chat", {"messages[0].content": "ask", "messages[1].content": "reply"},
-        literals="keep", keep=["conv_id", "turn"]).filter("turn = 0")
-    varied = augment.augment(chats, "conv_id", 2, ["shuffle"], template="chat")
+        pairs, "chat", {"messages[0].content": "ask", "messages[1].content": "reply"}, literals="keep", keep=["pair"])
+    varied = augment.augment(chats, "pair", 2, ["shuffle"], template="chat")
     message = F.col("messages")
-    return varied.select("conv_id", "copy_no", "method", *[message[i][f].alias(f"{f}_{i}") for i in (0, 1) for f in ("role", "content")])
+    return varied.select("pair", "copy_no", "method", *[message[i][f].alias(f"{f}_{i}") for i in (0, 1) for f in ("role", "content")])
 
 
 # -- anonymize -----------------------------------------------------------------------------------
@@ -661,21 +661,24 @@ def hygiene_summary(spark, folder):
 
 @query
 def wellformed_json(spark, folder):
-    """Event properties, cut short for one event type."""
-    cut = F.when(F.col("event_type") == "error", F.substring("props", 1, 5)).otherwise(F.col("props"))
-    return textscan.well_formed(table(spark, folder, "events").select("event_id", cut.alias("props")), "event_id", "props", "json")
+    """Event properties, with a stray bracket for one event type."""
+    spoilt = F.when(F.col("event_type") == "error", F.concat("props", F.lit("}"))).otherwise(F.col("props"))
+    return textscan.well_formed(table(spark, folder, "events").select("event_id", spoilt.alias("props")), "event_id", "props", "json")
 
 
 @query
 def wellformed_xml(spark, folder):
-    wrapped = F.concat(F.lit("<d>"), F.col("lang"), F.when(F.col("lang") == "en", "</d>").otherwise("</e>"))
+    """Whole texts as XML, with a wrong end tag for all languages but one."""
+    end = F.when(F.col("lang") == "en", "]]></d>").otherwise("]]></e>")
+    wrapped = F.concat(F.lit("<d><![CDATA["), F.col("text"), end)
     return textscan.well_formed(table(spark, folder, "documents").select("doc_id", wrapped.alias("x")), "doc_id", "x", "xml")
 
 
 @query
 def wellformed_yaml(spark, folder):
-    text = F.concat(F.lit("k: ["), F.col("lang"), F.when(F.col("lang") == "en", "]").otherwise(""))
-    return textscan.well_formed(table(spark, folder, "documents").select("doc_id", text.alias("y")), "doc_id", "y", "yaml")
+    """Whole texts as quoted YAML, with a stray bracket for all languages but one."""
+    quoted = F.concat(F.to_json(F.struct("text")), F.when(F.col("lang") == "en", "").otherwise("}"))
+    return textscan.well_formed(table(spark, folder, "documents").select("doc_id", quoted.alias("y")), "doc_id", "y", "yaml")
 
 
 @query

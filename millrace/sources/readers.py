@@ -54,9 +54,11 @@ def read(
     if fmt in ("csv", "tsv"):
         df = _read_delimited(spark, path, "\t" if fmt == "tsv" else ",", schema, multi_line, mode)
     elif fmt == "json":
+        if mode == "FAILFAST":
+            _check_json_files(spark, path)
         df = _unwrap(_with(spark, schema, mode).option("multiLine", True).json(path))
     elif fmt == "jsonl":
-        df = _with(spark, schema, mode).json(path)
+        df = _read_json_lines(spark, path, schema, mode)
     elif fmt == "txt":
         df = spark.read.text(path).select(tx.strip(F.col("value")).alias("text")).filter(F.col("text") != "")
     elif fmt == "parquet":
@@ -81,12 +83,11 @@ def read_records(spark: SparkSession, path: str, fmt: str | None = None, column:
     """Read JSON, JSON Lines or YAML records whose keys may differ: one VARIANT column."""
     fmt = fmt or infer_format(path)
     if fmt == "jsonl":
-        texts = spark.read.text(path).filter(~tx.is_blank(F.col("value")))
-        return texts.select(F.parse_json("value").alias(column))
+        return _json_lines(spark, path).select(F.parse_json("value").alias(column))
     if fmt == "yaml":
         return read_yaml_records(spark, path).select(F.parse_json("record").alias(column))
     if fmt == "json":
-        whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+        whole = spark.read.text(path, wholetext=True).select(F.parse_json(_checked(F.col("value"))).alias("v"))
         data = F.try_variant_get("v", "$.data", "array<variant>")
         listed = F.try_variant_get("v", "$", "array<variant>")
         return whole.select(F.explode(F.coalesce(listed, data, F.array("v"))).alias(column))
@@ -118,6 +119,35 @@ def _with(spark: SparkSession, schema, mode: str):
     return reader.schema(schema) if schema is not None else reader
 
 
+def _checked(text: Column) -> Column:
+    return F.when(tx.is_json(text), text).otherwise(F.raise_error(F.concat(F.lit("Malformed JSON: "), F.left(text, F.lit(200)))))
+
+
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the lines that are not blank; a malformed one fails the read."""
+    texts = spark.read.text(path).filter(~tx.is_blank(F.col("value")))
+    return texts.select(_checked(F.col("value")).alias("value"))
+
+
+def _read_json_lines(spark: SparkSession, path: str, schema, mode: str) -> DataFrame:
+    """Typed JSON Lines.  Spark's own reader overlooks what follows a record on its line, so
+    ``FAILFAST`` checks every line first; ``PERMISSIVE`` takes the reader as it is."""
+    native = _with(spark, schema, mode).json(path)
+    if mode != "FAILFAST":
+        return native
+    record = F.from_json("value", native.schema, {"mode": mode})
+    return _json_lines(spark, path).select(record.alias("r")).select("r.*")
+
+
+def _check_json_files(spark: SparkSession, path: str) -> None:
+    """Fail on a file that is not one JSON value, such as JSON Lines under a wrong name."""
+    files = spark.read.text(path, wholetext=True).select(
+        tx.is_json(F.col("value")).alias("ok"), F.col("_metadata.file_path").alias("file"))
+    bad = files.filter("NOT ok").select("file").first()
+    if bad is not None:
+        raise ValueError(f"Malformed JSON file: {bad['file']}")
+
+
 def _unwrap(df: DataFrame) -> DataFrame:
     """Records of ``{"data": [...]}``."""
     if "data" in df.columns:
@@ -140,9 +170,10 @@ def read_yaml_records(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for batch in batches:
             for document in batch["value"]:
-                loaded = yaml.safe_load(document)
+                loaded = yaml.load(document, Loader=loader)
                 if isinstance(loaded, dict):
                     inner = loaded.get("data")
                     loaded = inner if isinstance(inner, list) else [loaded]

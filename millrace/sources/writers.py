@@ -104,9 +104,10 @@ def yaml_items(df: DataFrame) -> DataFrame:
     def dump(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
+        dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
         for batch in batches:
             yield pd.DataFrame({"value": [
-                yaml.safe_dump([json.loads(record)], default_flow_style=False, allow_unicode=True).rstrip("\n")
+                yaml.dump([json.loads(record)], Dumper=dumper, default_flow_style=False, allow_unicode=True).rstrip("\n")
                 for record in batch["value"]]}, dtype="object")
 
     return df.select(F.to_json(F.struct("*"), _JSON).alias("value")).mapInPandas(dump, "value string")

@@ -43,6 +43,16 @@ def test_jsonl(spark, tmp_path):
         read(spark, put(tmp_path / "bad.jsonl", '{"a":1}\n{"a":\n')).collect()
 
 
+@pytest.mark.parametrize("text", ['{"a":1}}', '{"a":1} x', '{"a":1}{"a":2}', '{"a":1},{"a":2}', '{"a":1', '[{"a":1}]\n{"a":2}'])
+def test_nothing_is_lost_after_a_record(spark, tmp_path, text):
+    line = put(tmp_path / "a.jsonl", text.replace("\n", "") + "\n")
+    whole = put(tmp_path / "b.json", text)
+    for load in (lambda: read(spark, line).collect(), lambda: read_records(spark, line).collect(),
+                 lambda: read(spark, whole).collect(), lambda: read_records(spark, whole).collect()):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            load()
+
+
 def test_csv(spark, tmp_path):
     path = put(tmp_path / "a.csv", 'a,b,c,d,e\n1,x,1.5,True,"two\nlines"\n2,,NaN,False,"say ""hi"""\n3,N/A,2,,plain\n')
     got = read(spark, path)

@@ -59,7 +59,7 @@ def test_hygiene(spark):
 
 
 @pytest.mark.parametrize("kind, good, bad", [
-    ("json", ['{"a":1}', "[1]", '"x"'], ["{a}", "", "[1"]),
+    ("json", ['{"a":1}', "[1]", '"x"'], ["{a}", "", "[1", '{"a":1}}', "1,2", '1,"b":2', "[1] x", '1} {"c":1']),
     ("xml", ["<a><b>x</b></a>", '<a x="1"/>'], ["<a><b></a>", "plain", ""]),
     ("yaml", ["a: 1", "- x\n- y", ""], ["a: [1", "a: b: c"]),
     ("text", ["plain\ttext\n"], ["bell\x07"]),
