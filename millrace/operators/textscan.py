@@ -200,9 +200,22 @@ def yaml_ok(text: pd.Series) -> pd.Series:
     return text.map(parses)
 
 
-def xml_ok(text: Column) -> Column:
-    parsed = F.from_xml(text, "_corrupt_record string", {"mode": "PERMISSIVE"})
-    return F.when(text.isNotNull(), parsed.getField("_corrupt_record").isNull())
+@F.pandas_udf(T.BooleanType())
+def xml_ok(text: pd.Series) -> pd.Series:
+    """Spark's own XML parser stops after the root element and ignores what follows, so this
+    check uses a parser that reads to the end."""
+    from xml.parsers import expat
+
+    def parses(value: str | None) -> bool | None:
+        if value is None:
+            return None
+        try:
+            expat.ParserCreate().Parse(value, True)
+            return True
+        except expat.ExpatError:
+            return False
+
+    return text.map(parses)
 
 
 def well_formed(df: DataFrame, id: str, text: str, kind: str) -> DataFrame:

@@ -60,7 +60,8 @@ def test_hygiene(spark):
 
 @pytest.mark.parametrize("kind, good, bad", [
     ("json", ['{"a":1}', "[1]", '"x"'], ["{a}", "", "[1", '{"a":1}}', "1,2", '1,"b":2', "[1] x", '1} {"c":1']),
-    ("xml", ["<a><b>x</b></a>", '<a x="1"/>'], ["<a><b></a>", "plain", ""]),
+    ("xml", ["<a><b>x</b></a>", '<a x="1"/>', '<?xml version="1.0" encoding="UTF-8"?>\n<a>é</a>', "<!DOCTYPE a><a/>\n", "<a/><!-- c -->"],
+     ["<a><b></a>", "plain", "", "<a/>junk", "<a/><b/>", "<a>&nbsp;</a>", '<a x="1" x="2"/>', "<a>\x01</a>"]),
     ("yaml", ["a: 1", "- x\n- y", ""], ["a: [1", "a: b: c"]),
     ("text", ["plain\ttext\n"], ["bell\x07"]),
 ])
