@@ -99,3 +99,6 @@ EXTENSIONS = {
     "sqlite": "sqlite",
     "db": "sqlite",
 }
+
+# Root elements that hold records and are never one themselves.
+XML_WRAPPERS = ("dataset", "records", "root")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixed_values import CSV_MISSING, EXTENSIONS
+from ..fixed_values import CSV_MISSING, EXTENSIONS, XML_WRAPPERS
 from ..functions import text as tx
 from ..functions.paths import top
 
@@ -38,14 +38,15 @@ def read(
     fmt: str | None = None,
     table: str | None = None,
     schema: T.StructType | str | None = None,
-    row_tag: str = "record",
+    row_tag: str | None = None,
     multi_line: bool = True,
     mode: str = "FAILFAST",
     observation: Observation | None = None,
 ) -> DataFrame:
     """Read ``path``; the format comes from the extension unless given.
 
-    ``schema`` saves the inference pass.  ``row_tag`` names the repeated XML element.
+    ``schema`` saves the inference pass.  ``row_tag`` names the repeated XML element; without it,
+    the children of the root are looked up first, which takes a pass of its own.
     ``multi_line=False`` lets CSV and TSV files split, if no quoted value holds a line break.
     ``mode`` is what to do with malformed records (``FAILFAST`` or ``PERMISSIVE``).
     ``observation`` counts loaded records on the way of the first action.
@@ -65,8 +66,7 @@ def read(
         reader = spark.read.schema(schema) if schema is not None else spark.read
         df = reader.parquet(path)
     elif fmt == "xml":
-        df = (_with(spark, schema, mode).option("rowTag", row_tag).option("attributePrefix", "@")
-              .option("valueTag", "#text").format("xml").load(path))
+        df = _read_xml(spark, path, [row_tag] if row_tag else xml_row_tags(spark, path), schema, mode)
     elif fmt == "yaml":
         texts = read_yaml_records(spark, path)
         df = _typed_json(texts, "record", schema, mode)
@@ -119,6 +119,49 @@ def _with(spark: SparkSession, schema, mode: str):
     return reader.schema(schema) if schema is not None else reader
 
 
+def _read_xml(spark: SparkSession, path: str, tags: Sequence[str], schema, mode: str) -> DataFrame:
+    frames = [_with(spark, schema, mode).option("rowTag", tag).option("attributePrefix", "@")
+              .option("valueTag", "#text").format("xml").load(path) for tag in tags]
+    if not frames:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    df = frames[0]
+    for other in frames[1:]:
+        df = df.unionByName(other, allowMissingColumns=True)
+    return df
+
+
+def xml_row_tags(spark: SparkSession, path: str) -> list[str]:
+    """Names of the elements that are records: the root's children, or a childless root itself
+    unless its name says that it is only a wrapper."""
+
+    def tags_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.parsers import expat
+
+        for batch in batches:
+            found = set()
+            for document in batch["value"]:
+                depth, names = 0, ({}, {})
+
+                def start(name, _):
+                    nonlocal depth
+                    if depth < 2:
+                        names[depth][name] = True
+                    depth += 1
+
+                def end(_):
+                    nonlocal depth
+                    depth -= 1
+
+                parser = expat.ParserCreate()
+                parser.StartElementHandler, parser.EndElementHandler = start, end
+                parser.Parse(document, True)
+                found |= set(names[1] or {n for n in names[0] if n not in XML_WRAPPERS})
+            yield pd.DataFrame({"tag": sorted(found)}, dtype="object")
+
+    tags = spark.read.text(path, wholetext=True).mapInPandas(tags_of, "tag string").distinct()
+    return sorted(r["tag"] for r in tags.collect())
+
+
 def _checked(text: Column) -> Column:
     return F.when(tx.is_json(text), text).otherwise(F.raise_error(F.concat(F.lit("Malformed JSON: "), F.left(text, F.lit(200)))))
 
@@ -204,8 +247,9 @@ def _read_delimited(spark: SparkSession, path: str, separator: str, schema, mult
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         return raw.select(*[top(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields])
     tests = {
-        "bigint": lambda c: ~c.rlike(r"^\s*[+-]?\d{1,18}\s*$"),
-        "double": lambda c: c.try_cast("double").isNull() | c.rlike(r"(?i)[df]\s*$"),
+        "bigint": lambda c: ~c.rlike(r"^\s*[+-]?\d+\s*$") | c.try_cast("bigint").isNull(),
+        # Long runs of digits are identifiers, which a double would round.
+        "double": lambda c: c.try_cast("double").isNull() | c.rlike(r"(?i)[\d.][df]\s*$|^\s*[+-]?\d{17,}\s*$"),
         "boolean": lambda c: ~c.isin("True", "TRUE", "true", "False", "FALSE", "false"),
     }
     misfits = raw.agg(

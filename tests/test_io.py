@@ -64,6 +64,13 @@ def test_csv(spark, tmp_path):
     assert read(spark, put(tmp_path / "b.tsv", "a\tb\n1\t2,3\n")).first().b == "2,3"
 
 
+def test_csv_numbers(spark, tmp_path):
+    path = put(tmp_path / "n.csv", "a,b,c,d,e\n9223372036854775807,92233720368547758070, 7,1e3,1d\n-1,1,08,inf,2\n")
+    got = read(spark, path)
+    assert [t for _, t in got.dtypes] == ["bigint", "string", "bigint", "double", "string"]
+    assert tuple(got.first()) == (9223372036854775807, "92233720368547758070", 7, 1000.0, "1d")
+
+
 def test_csv_row_lengths(spark, tmp_path):
     short = put(tmp_path / "short.csv", 'a,b,c\n1,2,3\n4\n5,"x\ny"\n')
     assert [tuple(r) for r in read(spark, short).orderBy("a").collect()] == [(1, "2", 3), (4, None, None), (5, "x\ny", None)]
@@ -91,6 +98,10 @@ def test_xml(spark, tmp_path):
     assert got[1].q == "x" and got[1].t == ["a", "b"] and got[2].t == ["c"]
     lone = put(tmp_path / "b.xml", '<item id="7">text</item>')
     assert read(spark, lone, row_tag="item").first().asDict() == {"#text": "text", "@id": 7}
+    assert read(spark, lone).first().asDict() == {"#text": "text", "@id": 7}
+    other = put(tmp_path / "c.xml", '<all><item><q>1</q></item><extra><q>2</q><w>3</w></extra></all>')
+    assert values(read(spark, other)) == ['{"q": 1, "w": null}', '{"q": 2, "w": 3}']
+    assert read(spark, put(tmp_path / "d.xml", "<dataset/>")).count() == 0
 
 
 def test_file_tree(spark, tmp_path):
