@@ -7,7 +7,7 @@ scan is a single narrow stage however large the corpus is.  Only hits leave the
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,6 +84,8 @@ def keyword_scan(
     found = F.transform(_hits(F.col("_lines"), keywords, case_sensitive), lambda hit: F.struct(
         hit["line_no"].alias("line_no"), hit["keyword"].alias("keyword"),
         tx.strip(hit["line"]).alias("line"), around(hit).alias("context")))
+    if not keywords:
+        raise ValueError("No keywords given")
     if max_bytes is not None:
         df = df.filter(F.octet_length(top(text)) <= max_bytes)
     return (
@@ -142,6 +144,8 @@ def _forbidden(text: Column, keywords: Sequence[str]) -> Column:
 
 def forbidden_scan(df: DataFrame, id: str, text: str, keywords: Sequence[str] = FORBIDDEN_KEYWORDS) -> DataFrame:
     """``id, line_no, keyword``: every keyword pattern per line that matches, case-insensitively."""
+    if not keywords:
+        raise ValueError("No keywords given")
     return df.select(top(id), F.inline(_forbidden(top(text), keywords)))
 
 

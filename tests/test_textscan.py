@@ -46,6 +46,12 @@ def test_forbidden(docs, rows):
     assert rows(textscan.forbidden_scan(docs, "k", "t", ["^x$", r"twice.*d$"])) == [(1, 3, "^x$"), (1, 4, "twice.*d$")]
 
 
+def test_no_keywords(docs):
+    for scan in (textscan.keyword_scan, textscan.forbidden_scan):
+        with pytest.raises(ValueError):
+            scan(docs, "k", "t", [])
+
+
 def test_hygiene(spark):
     texts = {"clean": "a\nb\n", "blank_end": "a \nb\n", "last": "a\nb ", "bom": "\ufeffa\n", "control": "a\x01\n", "empty": "", "big": "x" * 2000 + "\n"}
     df = spark.createDataFrame(list(texts.items()), "k string, t string")
