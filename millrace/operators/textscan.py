@@ -74,6 +74,9 @@ def keyword_scan(
     ``struct<line_no, line, is_hit>`` for the lines around the hit, cut at the ends of the text.
     ``max_bytes`` leaves out larger texts; by default none is left out.
     """
+    if not keywords:
+        raise ValueError("No keywords given")
+
     def around(hit: Column) -> Column:
         first = F.greatest(hit["line_no"] - context, F.lit(1))
         window = F.slice(F.col("_lines"), first, hit["line_no"] + context - first + 1)
@@ -84,8 +87,6 @@ def keyword_scan(
     found = F.transform(_hits(F.col("_lines"), keywords, case_sensitive), lambda hit: F.struct(
         hit["line_no"].alias("line_no"), hit["keyword"].alias("keyword"),
         tx.strip(hit["line"]).alias("line"), around(hit).alias("context")))
-    if not keywords:
-        raise ValueError("No keywords given")
     if max_bytes is not None:
         df = df.filter(F.octet_length(top(text)) <= max_bytes)
     return (
