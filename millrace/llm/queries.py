@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, html_text, packing, toxicity
+from . import credentials, decontaminate, hilbert, html_text, packing, quality, toxicity
 from .common import table
 
 QUERIES = {}
@@ -27,12 +27,27 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+@query
+def op3_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    trusted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    return quality.judge(documents, quality.gram_weights(documents, trusted))
+
+
 @query
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("spans", "items")
 
 
+@query
+def op6_credentials(spark: SparkSession, folder: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), word_tokenizer()).drop("ids")
