@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontaminate, hilbert, html_text, packing, quality, toxicity
+from . import credentials, decontaminate, hilbert, html_text, licenses, packing, quality, surrogates, toxicity
 from .common import table
 
 QUERIES = {}
@@ -27,6 +27,11 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+@query
+def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace(table(spark, folder, "documents"), secret="catalogue key")
+
+
 @query
 def op3_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
@@ -53,6 +58,16 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), word_tokenizer()).drop("ids")
 
 
+@query
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a tree: a hundred to a folder, the first of which is its licence file."""
+    number = F.col("doc_id") % 100
+    files = table(spark, folder, "documents").select("doc_id", "text", F.concat_ws(
+        "/", "source", "lang", F.expr("doc_id div 100").cast("string"),
+        F.when(number == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))).alias("path"))
+    return licenses.inherit(files)
+
+
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
