@@ -1,0 +1,39 @@
+"""Connected components of a graph whose edges are a DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+ROUNDS = 60
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node that is not its component's smallest.
+
+    ``edges`` has two long columns, ``a`` and ``b``.  Large and small stars alternate: every node
+    hangs its larger neighbours, then its smaller ones, on the smallest node it knows, until each
+    component is one star.  A few rounds over the edges, each written to the shared folder; loops and
+    repeated edges do no harm.
+    """
+    def mark(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+
+    smaller = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = written(smaller(edges))
+    before = mark(edges)
+    for _ in range(ROUNDS):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = written(smaller(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+            least.select("a", F.col("m").alias("b")))
+        edges = written(smaller(small))
+        after = mark(edges)
+        if after == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = after
+    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

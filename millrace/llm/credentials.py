@@ -64,7 +64,7 @@ def _near(weak: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
 
 
 def find_secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """``doc_id``, one array of spans (start, end, match) for each base kind, ``linked`` and ``spans``.
+    """``doc_id``, the text's ``digest``, one array of spans (start, end, match) for each base kind, ``linked`` and ``spans``.
 
     One row for every row of the input.  Null text is empty.  Equal texts are linked once; the spans
     of a text without complementary parts never leave its row.  Weak spans are dropped unless: an
@@ -89,13 +89,32 @@ def find_secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     alone = found.filter("NOT linkable").withColumn("linked", none)
     joined = found.filter("linkable").join(linked, "digest", "left").withColumn("linked", F.coalesce("linked", none))
     return alone.unionByName(joined).select(
-        "doc_id", "assign", "access", "hex", "linked", _listed(_entries(("assign", "access", "hex"))).alias("base"),
+        "doc_id", "digest", "assign", "access", "hex", "linked", _listed(_entries(("assign", "access", "hex"))).alias("base"),
         _listed(F.concat(_entries(("assign", "access", "hex")), F.col("linked"))).alias("spans"))
 
 
-def redact(text: Column, mark: str = "[SECRET]") -> Column:
-    """Every base secret replaced by a mark; names of assignments stay.  Expressions alone, no join."""
-    for pattern in (ACCESS, HEX):
-        text = F.regexp_replace(text, pattern, mark)
-    return F.regexp_replace(
-        text, r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]{12,})""", "$1" + mark)
+def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The documents, all rows and columns, with every reported span replaced by a mark.
+
+    Spans are found once for each distinct text and meet the rows by the text's digest; texts in which
+    no pattern occurs do not move.  A null text stays null.
+    """
+    names = documents.columns
+    body = documents[f"`{text}`"]
+    suspect = F.coalesce(F.greatest(*[body.rlike(p) for p in (ASSIGN, ACCESS, HEX, IDENT, BARE, ENDPOINT)]), F.lit(False))
+    split = documents.withColumn("_suspect", suspect)
+    found = find_secrets(split.filter("_suspect"), doc_id, text)
+    spans = found.select("digest", F.sort_array(F.concat(_entries(("assign", "access", "hex")), F.col("linked"))).alias("_spans")).filter(
+        F.size("_spans") > 0).dropDuplicates(["digest"]).withColumnRenamed("digest", "_digest")
+    old = F.col(f"`{text}`")
+
+    def step(done: Column, s: Column) -> Column:
+        fresh = s["start"] >= done["at"]
+        more = F.concat(done["out"], F.substr(old, done["at"] + 1, s["start"] - done["at"]), F.lit(mark))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(done["out"]).alias("out"))
+
+    new = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                      lambda done: F.concat(done["out"], F.substr(old, done["at"] + 1)))
+    marked = split.filter("_suspect").withColumn("_digest", F.md5(old)).join(spans, "_digest", "left").withColumn(
+        text, F.when(F.col("_spans").isNull(), old).otherwise(new))
+    return split.filter("NOT _suspect").select(*[f"`{n}`" for n in names]).unionByName(marked.select(*[f"`{n}`" for n in names]))

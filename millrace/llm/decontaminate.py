@@ -121,6 +121,14 @@ def _scanner(block: list[tuple[str | None, str | None]], window: int, percent: i
     return run
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[DataFrame]:
+    """The distinct items in blocks of about ``block_bytes`` of text, one at least."""
+    items = plain(benchmark, item=item_id, body=item_text).select(F.col("item").cast("string"), "body").distinct()
+    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    blocks = -(-size // block_bytes) or 1
+    return [items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
 def find_passages(
     documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = 5,
@@ -137,15 +145,44 @@ def find_passages(
     after the other.
     """
     spark = documents.sparkSession
-    items = plain(benchmark, item=item_id, body=item_text).select(F.col("item").cast("string"), "body").distinct()
-    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
     frame = plain(documents, doc_id=doc_id, text=text).select(
         "doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    for i in range(blocks):
-        block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == i).collect()]
-        last = i == blocks - 1
+    for i, block in enumerate(blocks):
+        last = i == len(blocks) - 1
         rows_at_once(spark)
-        frame = frame.mapInArrow(_scanner(block, window, percent, last), RESULT_DDL if last else STATE_DDL)
+        frame = frame.mapInArrow(_scanner([tuple(r) for r in block.collect()], window, percent, last), RESULT_DDL if last else STATE_DDL)
         frame = frame if last else written(frame)
     return frame
+
+
+def drop_contaminated(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
+    item_text: str = "text", window: int = WINDOW, percent: int = 5, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows, with all their columns, that are not contaminated."""
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    hits = "_hit_words"
+    frame = documents.withColumn(hits, F.lit(None).cast("binary"))
+
+    def dropper(block: list, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = automaton(patterns(block, window))
+            for batch in batches:
+                found, keep = [], []
+                for body, before in zip(batch.column(text).to_pylist(), batch.column(hits).to_pylist()):
+                    n, hit, _ = scan(body or "", machine)
+                    if before is not None:
+                        hit |= np.unpackbits(np.frombuffer(before, np.uint8), count=n).astype(bool)
+                    found.append(np.packbits(hit).tobytes())
+                    keep.append(not last or not hit.any() or 100 * int(hit.sum()) < percent * n)
+                at = batch.schema.get_field_index(hits)
+                yield batch.set_column(at, hits, pa.array(found, pa.binary())).filter(pa.array(keep, pa.bool_()))
+        return run
+
+    for i, block in enumerate(blocks):
+        last = i == len(blocks) - 1
+        rows_at_once(documents.sparkSession)
+        frame = frame.mapInArrow(dropper([tuple(r) for r in block.collect()], last), frame.schema)
+        frame = frame if last else written(frame)
+    return frame.drop(hits)

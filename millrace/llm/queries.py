@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontaminate, hilbert, html_text, licenses, packing, quality, surrogates, toxicity
+from . import credentials, decontaminate, hilbert, html_text, licenses, ngram_join, packing, quality, surrogates, toxicity
 from .common import table
 
 QUERIES = {}
@@ -45,6 +45,11 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+@query
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(table(spark, folder, "documents"))
+
+
 @query
 def op6_credentials(spark: SparkSession, folder: str) -> DataFrame:
     found = credentials.find_secrets(table(spark, folder, "documents"))

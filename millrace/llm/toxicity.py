@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -148,30 +147,48 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         train([], [], prior)]
 
 
-def _scorer(model: Model):
+def _scores(model: Model):
+    """A function from texts to scores."""
     kept = np.unique(np.concatenate([m[0] for m in model]))
     place = {int(f): i for i, f in enumerate(kept)}
     weights, biases = np.zeros((len(model), len(kept))), np.array([m[2] for m in model])
     for row, (features, w, _) in zip(weights, model):
         row[np.searchsorted(kept, features)] = w
+    telling: dict[bytes, tuple[int, ...]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        telling: dict[bytes, tuple[int, ...]] = {}
-        for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                found = words(text)
-                for w in found.difference(telling):
-                    telling[w] = tuple(place[f] for f in word_features(w) if f in place)
-                hits = list(reduce(set.union, map(telling.__getitem__, found), set()))
-                scores.append(float(np.mean(1 / (1 + np.exp(-(weights[:, hits].sum(1) + biases))))))
-                if len(telling) > 500_000:  # bounded memory; words are looked up again
-                    telling.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
-    return run
+    def score_texts(texts: list[str | None]) -> list[float]:
+        scores = []
+        for text in texts:
+            found = words(text)
+            for w in found.difference(telling):
+                telling[w] = tuple(place[f] for f in word_features(w) if f in place)
+            hits = list(set().union(*map(telling.__getitem__, found)))
+            scores.append(float(np.mean(1 / (1 + np.exp(-(weights[:, hits].sum(1) + biases))))))
+            if len(telling) > 500_000:  # bounded memory; words are looked up again
+                telling.clear()
+        return scores
+
+    return score_texts
 
 
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score`` for every row; a null or empty text scores what the bias alone gives."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _scores(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(of(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+
+    rows_at_once(documents.sparkSession)
+    return plain(documents, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(documents: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _scores(model)
+        for batch in batches:
+            yield batch.filter(pa.array([s < threshold for s in of(batch.column(text).to_pylist())], pa.bool_()))
+
     rows_at_once(documents.sparkSession)
-    return plain(documents, doc_id=doc_id, text=text).mapInArrow(_scorer(model), "doc_id long, score double")
+    return documents.mapInArrow(run, documents.schema)
