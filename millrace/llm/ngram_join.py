@@ -30,6 +30,8 @@ WORDS = 3
 PERCENT = 90
 #: Sets of fewer tokens meet by triples of tokens.
 SMALL = 32
+#: Schemes that a signature can tell apart.
+SCHEMES = 512
 #: Members whose tokens are united in one row of the matrix; a larger group takes several rows.
 CHUNK = 64
 #: Classes up to which their ids are sent to all tasks; beyond, texts are shuffled to them.
@@ -95,22 +97,30 @@ def parts_of(smallest: int, largest: int, percent: int) -> tuple[int, int, int]:
     return parts, rich, parts - differ
 
 
-def signatures(tokens: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """What a set meets others by; sets within the similarity share one at least.
+def _of_scheme(sign: np.ndarray, scheme: int) -> np.ndarray:
+    return sign & ~np.uint64(SCHEMES - 1) | np.uint64(scheme)
+
+
+def signatures(tokens: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, list[int]]:
+    """What a set meets others by, its band, and how many signatures a partner must share.
+
+    The scheme that a signature belongs to, the band of the smaller partner or 0, is in its low bits.
+    The numbers are for the set's own band and the band below; sets within the similarity share as
+    many signatures of one scheme, the larger of both sets' numbers.
 
     Small sets: three tokens of their first ones, in token order; of sets within the similarity the
     first ``n - p n / 100 + 3`` have three in common.  Other sets: the contents of rich parts, for the
     band as the smaller partner and for the band below as the larger one.  A set with too many poor
     parts also meets by pairs of those, since it may agree with others like it on nothing else.
     """
-    n, out = len(tokens), []
+    n, out, needs = len(tokens), [], [1, 1]
     if n * percent < SMALL * 100:
         first = tokens[:n + percent * n // -100 + 3]
         i = np.array(list(combinations(range(len(first)), 3)), np.int64).reshape(-1, 3)
-        out.append(mix(mix(mix(first[i[:, 0]]) + first[i[:, 1]]) + first[i[:, 2]]))
+        out.append(_of_scheme(mix(mix(mix(first[i[:, 0]]) + first[i[:, 1]]) + first[i[:, 2]]), 0))
     band = int(np.searchsorted(ends, n))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(1)))])
-    for scheme in (band, band - 1):
+    for below, scheme in enumerate((band, band - 1)):
         if scheme < 1 or ends[scheme] < SMALL:
             continue
         parts, rich, many = parts_of(int(ends[scheme - 1]) + 1, int(ends[scheme]), percent)
@@ -119,12 +129,13 @@ def signatures(tokens: np.ndarray, ends: np.ndarray, percent: int = PERCENT) ->
         content = total[cuts[1:]] - total[cuts[:-1]]
         sign = mix(content + mix(np.arange(parts, dtype=np.uint64) + np.uint64(scheme) * np.uint64(1 << 40)))
         full = np.diff(cuts) >= rich
-        out.append(sign[full])
+        out.append(_of_scheme(sign[full], scheme))
         poor = sign[~full]
+        needs[below] = max(many - len(poor), 1)
         if len(poor) >= many:
             a, b = np.triu_indices(len(poor), 1)
-            out.append(mix(poor[a] * np.uint64(3) + poor[b]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            out.append(_of_scheme(mix(poor[a] * np.uint64(3) + poor[b]), scheme))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64), band, needs
 
 
 def _profiler(words: int, percent: int):
@@ -135,19 +146,38 @@ def _profiler(words: int, percent: int):
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             keys = [int(np.add.reduce(mix(s + np.uint64(7))).astype(np.int64)) if len(s) else None for s in sets]
+            found = [signatures(s, ends, percent) for s in sets]
             signs = []
-            for s, key in zip(sets, keys):
-                fresh = key is not None and key not in told
-                signs.append(np.unique(signatures(s, ends, percent)).view(np.int64) if fresh else np.zeros(0, np.int64))
+            for (sign, _, _), key in zip(found, keys):
+                signs.append(np.zeros(0, np.int64) if key is None or key in told else sign.view(np.int64))
                 told.add(key)
             if len(told) > 200_000:
                 told.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
-                 pa.array(signs, pa.list_(pa.int64()))], names=["doc_id", "n", "h", "signs"])
+                 pa.array([f[1] for f in found], pa.int32()), pa.array([f[2][0] for f in found], pa.int32()),
+                 pa.array([f[2][1] for f in found], pa.int32()), pa.array(signs, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "h", "band", "need", "need_below", "signs"])
     return run
 
 
+def _peel(member: DataFrame, needs: DataFrame, group: str, rounds: int) -> DataFrame:
+    """Leave out what cannot meet a partner outside its group: ``sign, h`` and the group of each class.
+
+    A signature that stays within one group goes, and so do the signatures of a class in a scheme in
+    which fewer are left than a partner must share.  Every round is safe for itself; a few do most.
+    """
+    scheme = F.col("sign").bitwiseAND(F.lit(SCHEMES - 1)).cast("int")
+    for _ in range(rounds):
+        mixed = member.groupBy("sign").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).filter("lo <> hi").select("sign")
+        member = member.join(mixed, "sign", "left_semi").withColumn("scheme", scheme)
+        enough = member.groupBy("h", "scheme").agg(F.count(F.lit(1)).alias("c")).join(needs, "h").filter(
+            F.col("c") >= F.when(F.col("scheme") == F.col("band"), F.col("need")).when(
+                F.col("scheme") == F.col("band") - 1, F.col("need_below")).otherwise(1)).select("h", "scheme")
+        member = written(member.join(enough, ["h", "scheme"], "left_semi").drop("scheme"))
+    return member
+
+
 def _token_reader(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,15 +245,21 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     spark = documents.sparkSession
     rows_at_once(spark)
     docs = plain(documents, doc_id=doc_id, text=text)
-    profiles = written(docs.mapInArrow(_profiler(words, percent), "doc_id long, n long, h long, signs array<long>"))
+    profiles = written(docs.mapInArrow(_profiler(words, percent), "doc_id long, n long, h long, band int, need int, need_below int, signs array<long>"))
     filled = profiles.filter("h IS NOT NULL")
-    classes = written(filled.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    classes = written(filled.groupBy("h").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"),
+        *[F.max(c).alias(c) for c in ("band", "need", "need_below")]))
+    needs = classes.select("h", "band", "need", "need_below")
     # Most signatures occur once: one sort by signature finds the others, each beside the smallest class it has.
     same = Window.partitionBy("sign").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = written(
         filled.select("h", F.explode("signs").alias("sign")).select("sign", "h", F.first("h").over(same).alias("first"))
         .filter("h <> first").distinct())
-    meeting = written(later.select("sign", "h").unionByName(later.select("sign", F.col("first").alias("h"))).distinct())
+    meeting = _peel(
+        later.select("sign", "h").unionByName(later.select("sign", F.col("first").alias("h"))).distinct().withColumn("g", F.col("h")),
+        needs, "g", 3).select("sign", "h")
+    pivots = meeting.groupBy("sign").agg(F.min("h").alias("a"))
 
     wanted = written(meeting.select("h").distinct().join(classes.select("h", "rep"), "h"))
     # A checked size decides how texts and wanted classes meet; the rows are the same.
@@ -233,13 +269,11 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     tokens = written(tokens.dropDuplicates(["h"]))
 
     stars = written(_verified(
-        later.select(F.col("first").alias("a"), F.col("h").alias("b")).distinct(), tokens, percent))
+        meeting.join(pivots, "sign").filter("h <> a").select("a", F.col("h").alias("b")).distinct(), tokens, percent))
     groups = written(components(stars))
-    member = written(
-        meeting.join(groups, meeting["h"] == groups["node"], "left")
-        .select("sign", "h", F.coalesce("root", "h").alias("g")))
-    mixed = member.groupBy("sign").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("sign")
-    member = written(member.join(mixed, "sign", "left_semi"))
+    member = _peel(
+        meeting.join(groups, meeting["h"] == groups["node"], "left").select("sign", "h", F.coalesce("root", "h").alias("g")),
+        needs, "g", 2)
     ask = member.select("sign", F.col("h").alias("q"), F.col("g").alias("own"))
     queries = written(ask.join(member.select("sign", "g").distinct(), "sign").filter("own > g").select("q", "g").distinct())
 
