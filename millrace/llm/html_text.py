@@ -258,6 +258,8 @@ def render(html: str | None) -> str:
                 page.end(True)
             page.block(True)
         elif what in BLOCK and what not in ("hr", "tr"):
+            if what == "pre" and page.line:
+                page.end(True)
             page.block(what in SPACED and not (len(lists) > 1 and what in ("ul", "ol")))
             if what in ("ul", "ol", "menu", "dir"):
                 lists.pop()
