@@ -43,7 +43,7 @@ def scratch_folder(spark: SparkSession) -> str:
     global _local_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="millrace-")

@@ -57,7 +57,7 @@ def read(
     elif fmt == "json":
         if mode == "FAILFAST":
             _check_json_files(spark, path)
-        df = _unwrap(_with(spark, schema, mode).option("multiLine", True).json(path))
+        df = _unwrap(spark, path, _with(spark, schema, mode).option("multiLine", True).json(path))
     elif fmt == "jsonl":
         df = _read_json_lines(spark, path, schema, mode)
     elif fmt == "txt":
@@ -191,13 +191,31 @@ def _check_json_files(spark: SparkSession, path: str) -> None:
         raise ValueError(f"Malformed JSON file: {bad['file']}")
 
 
-def _unwrap(df: DataFrame) -> DataFrame:
-    """Records of ``{"data": [...]}``."""
-    if "data" in df.columns:
-        data_type = df.schema["data"].dataType
-        if isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.StructType):
-            return df.select(F.inline("data"))
-    return df
+def _unwrap(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """Records of ``{"data": [...]}``; a file that holds an array of records is left as it is.
+
+    What a file's first character opens decides, not the schema: a record may have a ``data`` field
+    of its own.  A folder may hold files of both kinds.
+    """
+    if "data" not in df.columns:
+        return df
+    kind = df.schema["data"].dataType
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
+        return df
+    files = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract("value", r"^[\s\uFEFF]*(.)", 1).alias("opens"), F.col("_metadata.file_path").alias("_file"))
+    opened = {r["opens"] for r in files.select("opens").distinct().collect()}
+    if "{" not in opened:
+        return df
+    wrapped = files.filter("opens = '{'").select("_file")
+    named = df.select("*", F.col("_metadata.file_path").alias("_file"))
+    inside = named.join(wrapped, "_file", "left_semi").filter("data IS NOT NULL").select(F.inline("data"))
+    whole = named.join(wrapped, "_file", "left_anti").drop("_file") if opened - {"{", ""} else None
+    plain = named.join(wrapped, "_file", "left_semi").filter("data IS NULL").drop("_file", "data")
+    if whole is None and plain.isEmpty():
+        return inside
+    out = inside.unionByName(plain, allowMissingColumns=True)
+    return out if whole is None else out.unionByName(whole, allowMissingColumns=True)
 
 
 def _typed_json(texts: DataFrame, column: str, schema, mode: str) -> DataFrame:

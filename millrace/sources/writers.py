@@ -51,7 +51,7 @@ def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", check
         gated(lambda: df.write.mode(mode).format("avro").save(path), "Avro", "the spark-avro package")
     elif fmt == "sqlite":
         flat = df.select(*[_flat(f) for f in df.schema.fields])
-        gated(lambda: flat.write.mode("overwrite").format("jdbc").option("url", table_url(path)).option("dbtable", "data").save(),
+        gated(lambda: flat.write.mode(mode).format("jdbc").option("url", table_url(path)).option("dbtable", "data").save(),
               "SQL tables", "a JDBC driver")
     else:
         raise ValueError(f"Unsupported output format: {fmt}")

@@ -249,3 +249,11 @@ def test_stream_duplicates(spark, folder, tmp_path):
     convert_stream(spark, str(tmp_path / "in"), "parquet", str(tmp_path / "out"), "parquet", str(tmp_path / "cp"),
                    lambda df: drop_repeated(df, ["user_id", "event_type"], "ts", "3650 days"), events.schema).awaitTermination()
     assert read(spark, str(tmp_path / "out"), "parquet").count() == events.select("user_id", "event_type").distinct().count()
+
+
+def test_json_data_field_of_a_record_is_kept(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id":1,"data":[{"a":1},{"a":2}]},{"id":2,"data":[{"a":3}]},{"id":3,"data":[]}]')
+    df = read(spark, str(tmp_path / "a.json"))
+    assert sorted((r["id"], len(r["data"])) for r in df.collect()) == [(1, 2), (2, 1), (3, 0)]
+    (tmp_path / "b.json").write_text('{"data":[{"a":1},{"a":2}]}')
+    assert sorted(r["a"] for r in read(spark, str(tmp_path / "b.json")).collect()) == [1, 2]
