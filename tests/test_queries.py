@@ -1,11 +1,11 @@
-"""Every registered query beside its SQL, and what its plan must not contain."""
+"""Every query of the library's catalogue beside its SQL, and what its plan must not contain."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import compare, connect
-
-QUERIES, ORACLE = queries(), oracle_sql()
+from millrace.plans.oracle import ORACLE
+from millrace.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,7 @@ def test_entry(spark):
 
 def test_catalogue():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
