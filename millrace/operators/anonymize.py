@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import warnings
 from collections.abc import Iterable, Mapping
@@ -13,7 +14,10 @@ from ..fixed_values import ANONYMIZED, SENSITIVE_NAME_PATTERNS
 from ..functions import seeded
 from ..functions import types as ty
 from ..functions.paths import top
-from ..functions.providers import provider
+from ..functions.providers import TYPE_PROVIDERS, Provider, provider
+
+#: Providers whose values are hashes already and stay apart without a suffix.
+WIDE_PROVIDERS = ("md5", "sha1", "sha256", "uuid4")
 
 
 def detect_sensitive(columns: Iterable[str]) -> dict[str, str]:
@@ -33,6 +37,21 @@ def _to_replace(df: DataFrame, field: str, skip_empty: bool) -> Column:
     return filled & (value != "") if skip_empty and ty.type_label(data_type) == "string" else filled
 
 
+def consistent_key(secret: str, name: str) -> str:
+    """The key of a provider: a hash of fixed length, so that no secret and name read as another pair."""
+    return hashlib.sha256(f"{len(secret)}:{secret}:{name}".encode()).hexdigest()
+
+
+def _distinct(make: Provider, name: str, secret: str, text: Column) -> Column:
+    base = F.sha2(F.concat(F.lit(consistent_key(secret, name)), text), 256)
+    value = make(base)
+    if TYPE_PROVIDERS.get(name, name) in WIDE_PROVIDERS:
+        return value
+    tag = F.substring(base, 1, 24)
+    return F.when(F.contains(value, F.lit("@")), F.replace(value, F.lit("@"), F.concat(F.lit("."), tag, F.lit("@")))).otherwise(
+        F.concat(value, F.lit("-"), tag))
+
+
 def anonymize(
     df: DataFrame,
     key: str,
@@ -48,12 +67,15 @@ def anonymize(
 
     Replaced columns become text; NULLs stay NULL.  Without ``fields``, sensitive columns are
     detected by name, the key included.  ``mode="random"`` draws every cell on its own, from the row's unique
-    ``key``; ``mode="consistent"`` gives equal values equal replacements, from ``secret`` and the
-    value, so that joins survive.  An unknown provider keeps the column with a warning, or writes
+    ``key``; ``mode="consistent"`` gives equal values equal replacements and different values
+    different ones, from a non-empty ``secret`` and the value, so that joins survive: most providers
+    have few values, so 96 bits of a keyed hash are appended, before the ``@`` of an address.  An unknown provider keeps the column with a warning, or writes
     a constant (``on_unknown="constant"``).  ``observation`` counts the replaced values.
     """
     if mode not in ("random", "consistent") or on_unknown not in ("keep", "constant"):
         raise ValueError("mode is 'random' or 'consistent', on_unknown is 'keep' or 'constant'")
+    if mode == "consistent" and not secret:
+        raise ValueError("consistent replacements need a secret")
     fields = dict(fields) if fields else detect_sensitive(df.columns)
     if not fields:
         warnings.warn("No fields to anonymize.", stacklevel=2)
@@ -72,7 +94,7 @@ def anonymize(
         elif mode == "random":
             new = make(seeded.seed_text(top(key), field, seed))
         else:
-            new = make(F.concat_ws(":", F.lit(secret), F.lit(name), text))
+            new = _distinct(make, name, secret, text)
         replaced[field] = F.when(_to_replace(df, field, skip_empty), new).otherwise(text)
     out = df
     if observation is not None and replaced:

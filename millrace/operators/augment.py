@@ -23,6 +23,7 @@ from ..session import fits_broadcast
 from .project import template_structure
 
 METHODS = ("shuffle", "synonym", "rephrase")
+#: Words of a mapping that are put into the plan; a longer one becomes a table, with the same results.
 MAX_LITERAL_WORDS = 500
 SYNONYM_CHANCE = 0.2
 #: Copies of a thesaurus that is too large to broadcast, so that frequent words spread over tasks.
@@ -114,18 +115,19 @@ def augment(
     draw = seeded.below(seeded.seed_text(top(key), "method", seed, F.col("copy_no")), len(methods))
     chosen = F.get(F.array(*[F.lit(m) for m in methods]), draw.cast("int"))
     copies = copies.withColumn("method", F.when(F.col("copy_no") > 0, chosen))
-    joined = isinstance(thesaurus, DataFrame) and "synonym" in methods
-    if joined:
-        drawn = [_leaf_draws(top(f.name), f.dataType, structure.get(f.name), [F.lit(f.name)], key, seed)
-                 for f in df.schema.fields if f.name != key and (not structure or f.name in structure)]
-        copies = _join_synonyms(copies, key, F.concat(*drawn), thesaurus, text_columns)
     literal = {}
     for word, synonyms in (thesaurus if isinstance(thesaurus, Mapping) else SMALL_THESAURUS).items():
         distinct = [s for s in dict.fromkeys(s.replace("_", " ") for s in synonyms) if s != word]
         if distinct:
             literal[word] = distinct
-    if len(literal) > MAX_LITERAL_WORDS:
-        raise ValueError(f"a thesaurus of more than {MAX_LITERAL_WORDS} words must be given as a DataFrame")
+    if "synonym" in methods and len(literal) > MAX_LITERAL_WORDS and not isinstance(thesaurus, DataFrame):
+        # Too long for an expression: the same words as a table.
+        thesaurus = df.sparkSession.createDataFrame(list(literal.items()), "word string, synonyms array<string>")
+    joined = isinstance(thesaurus, DataFrame) and "synonym" in methods
+    if joined:
+        drawn = [_leaf_draws(top(f.name), f.dataType, structure.get(f.name), [F.lit(f.name)], key, seed)
+                 for f in df.schema.fields if f.name != key and (not structure or f.name in structure)]
+        copies = _join_synonyms(copies, key, F.concat(*drawn), thesaurus, text_columns)
 
     def vary(text: Column, where: Sequence[Column], column: str | None) -> Column:
         base = {m: seeded.extend(seeded.seed_text(top(key), m, seed, F.col("copy_no")), *where) for m in methods}

@@ -130,11 +130,14 @@ def top_values(
 def _top_texts(df: DataFrame, fields: Sequence[str], k: int) -> DataFrame:
     texts = _long(df, fields).filter(F.col("value").isNotNull())
     texts = texts.withColumn("digest", F.unhex(F.sha2("value", 256)))
-    counted = texts.groupBy("field", "digest", F.substring("value", 1, 32).alias("start")).agg(
-        F.count(F.lit(1)).alias("n"))
-    # A start cannot order texts that share it, so all ties at the limit stay in.
-    place = F.rank().over(Window.partitionBy("field").orderBy(F.desc("n"), "start"))
-    winners = written(counted.withColumn("place", place).filter(F.col("place") <= k).select("field", "digest", "n"))
+    counted = written(texts.groupBy("field", "digest", F.substring("value", 1, 32).alias("start")).agg(
+        F.count(F.lit(1)).alias("n")))
+    # A start cannot order texts that share it: all ties at the limit stay in, but in the tasks they are in.
+    order = F.struct((-F.col("n")).alias("less"), "start")
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "start"))
+    last = counted.withColumn("place", place).filter(F.col("place") <= k).groupBy("field").agg(F.max(order).alias("last"))
+    # One short row per field.
+    winners = written(counted.join(F.broadcast(last), "field").filter(order <= F.col("last")).select("field", "digest", "n"))
     # The size of the written table decides how it is joined.
     found = texts.join(winners, ["field", "digest"]).select("field", "value", "n").distinct()
     return _ranked(found, k)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..fixed_values import MESSAGE_DUPLICATE, MESSAGE_EMPTY, MESSAGE_FIELD_SET
+from ..functions import text as tx
 from ..functions import types as ty
 from ..functions.paths import record_entries, top
-from ..session import fits_broadcast
 from .duplicates import mark_duplicates
 from .project import record_keys
 from .repair import template_problems
@@ -69,9 +69,7 @@ def type_conflicts(df: DataFrame, record: str, key: str) -> DataFrame:
     """``row_key, field, type, value``: values whose type is not the most common one of their field."""
     usual = type_counts(df, record, key).filter("types > 1").groupBy("field").agg(
         F.max_by("type", F.struct("n", "type")).alias("usual"))
-    # One row per field with mixed types; normally a handful, but checked before it is sent around.
-    if fits_broadcast(usual):
-        usual = F.broadcast(usual)
+    # One row per field with mixed types; the shuffle's own statistics decide how it is joined.
     return (
         _field_types(df, record, key).join(usual, "field")
         .filter(F.col("type") != F.col("usual"))
@@ -107,9 +105,19 @@ def validation_report(
         per_row += violation_structs(typed, rules, skip=[key])
     if per_row:
         branches.append(explode_findings(typed, key, per_row))
+    if "missing" in checks and record:
+        label, text = ty.variant_label(F.col("value")), F.try_variant_get("value", "$", "string")
+        entries = record_entries(df.select(top(key).alias("row_key"), top(record)), record)
+        branches.append(entries.filter(
+            F.col("key").isNotNull() & (F.is_variant_null("value") | ((label == "string") & tx.is_blank(text)))).select(
+            "row_key", F.col("key").alias("field"), F.lit("missing").alias("rule"),
+            F.when(~F.is_variant_null("value"), text).alias("value"),
+            F.concat(F.lit("Field '"), "key", F.lit("' has no value")).alias("message")))
     if "duplicates" in checks:
-        fields = [c for c in typed.columns if c != key]
-        branches.append(mark_duplicates(typed, fields, key).filter("is_duplicate").select(
+        # A record is compared whole, by its canonical text.
+        whole = df.select(*[F.to_json(top(c)).alias(c) if c == record else top(c) for c in df.columns])
+        fields = [c for c in whole.columns if c != key]
+        branches.append(mark_duplicates(whole, fields, key).filter("is_duplicate").select(
             top(key).alias("row_key"), F.lit(None).cast("string").alias("field"),
             F.lit("duplicate").alias("rule"), F.lit(None).cast("string").alias("value"),
             F.lit(MESSAGE_DUPLICATE).alias("message")))

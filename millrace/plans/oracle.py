@@ -1,4 +1,4 @@
-"""Equivalent SQL for the query catalogue, for an engine that shares only ``md5`` with Spark."""
+"""Equivalent SQL for the query catalogue, for an engine that shares only its hashes with Spark."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from ..fixed_values import ERROR_KEYWORDS
 from ..functions import text as tx
 from ..functions import wordlists as wl
+from ..operators.anonymize import consistent_key
 from .queries import FORBIDDEN, KEYWORDS, THESAURUS
 
 
@@ -203,6 +204,8 @@ _log = (
     f"UNION ALL SELECT doc_id, 'completion', 'empty template field auto-filled' FROM {LABELLED} WHERE quality IS NULL ")
 _same_code = f"(SELECT event_id, {FIRST.format('event_type, CASE WHEN event_type <> ' + quoted('error') + ' THEN user_id END', 'event_id')} AS rn, event_type, user_id FROM events)"
 _thesaurus_case = "CASE lower(w) " + " ".join(f"WHEN {quoted(w)} THEN {listed(s)}" for w, s in THESAURUS.items()) + " END"
+_keyed = f"sha256({quoted(consistent_key('s', 'name'))} || source)"
+_pseudonym = f"{full_name(_keyed)} || '-' || substr({_keyed}, 1, 24)"
 _types = ("email", "phone", "address", "ip", "ssn", "credit_card", "dob")
 _makers = {"email": email, "phone": phone, "address": address, "ip": ipv4, "ssn": ssn, "credit_card": card, "dob": birthday}
 _hyg = {
@@ -291,7 +294,8 @@ ORACLE: dict[str, str] = {
     "validation_summary": (
         "SELECT 'event_type' AS field, 'Custom Python' AS rule, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') "
         f"UNION ALL SELECT 'code', 'type', count(*) FROM events WHERE {CODE_TYPE} <> (SELECT t FROM (SELECT {CODE_TYPE} AS t FROM events) WHERE t IS NOT NULL GROUP BY t ORDER BY count(*) DESC, t DESC LIMIT 1) "
-        "UNION ALL SELECT NULL, 'duplicate', count(*) - count(DISTINCT event_type) FROM events"),
+        f"UNION ALL SELECT NULL, 'duplicate', count(*) FROM {_same_code} WHERE rn > 1 "
+        "UNION ALL SELECT 'code', 'missing', count(*) FROM events WHERE event_type = 'error'"),
     "template_conformance": _log,
     # edit
     "search_filter": "SELECT * FROM customer WHERE contains(lower(concat_ws(chr(1), c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)), 'machine')",
@@ -349,7 +353,7 @@ ORACLE: dict[str, str] = {
             ("supplier", "s_name", "name"), ("part", "p_name", "name"), ("pages", "page_id", "id"), ("conversations", "conv_id", "id"))),
     "anonymize_detected": f"SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN {full_name(quoted('') + ' || c_custkey || ' + quoted(':c_name:42'))} END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "anonymize_id": f"SELECT doc_id, CASE WHEN source IS NOT NULL THEN {uuid4('doc_id || ' + quoted(':source:42'))} END AS source, lang FROM documents",
-    "anonymize_name_consistent": f"SELECT doc_id, {full_name(quoted('s:name:') + ' || source')} AS source, {full_name(quoted('s:name:') + ' || source')} AS again FROM documents",
+    "anonymize_name_consistent": f"SELECT doc_id, {_pseudonym} AS source, {_pseudonym} AS again FROM documents",
     "anonymize_types": "SELECT doc_id, " + ", ".join(
         f"CASE quality WHEN 1 THEN {_makers[k]('doc_id || ' + quoted(f':{k}:42'))} WHEN 0 THEN '' END AS {k}" for k in _types) + f" FROM {LABELLED}",
     "anonymize_unknown": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_mktsegment IS NOT NULL THEN 'ANONYMIZED_c_mktsegment' END AS c_mktsegment FROM customer",
@@ -384,6 +388,8 @@ ORACLE: dict[str, str] = {
     "io_jsonl": f"SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM {LABELLED}",
     "io_json": f"SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM {LABELLED}",
     "io_csv": f"SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM {LABELLED}",
+    "io_csv_headers": "SELECT * FROM part",
+    "io_json_nested_data": "SELECT conv_id AS id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id",
     "io_tsv": "SELECT * FROM part",
     "io_txt": "SELECT '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS text FROM customer",
     "io_parquet": "SELECT * FROM documents",

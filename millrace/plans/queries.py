@@ -709,6 +709,26 @@ def io_csv(spark, folder):
     return _round_trip(spark, labelled(spark, folder), "csv")
 
 
+@query
+def io_csv_headers(spark, folder):
+    """A folder of files with their columns in two orders."""
+    path, part = scratch_folder(spark), table(spark, folder, "part")
+    odd = F.col("p_partkey") % 2 == 1
+    write(part.filter(odd), path + "/a", "csv")
+    write(part.filter(~odd).select(*reversed(part.columns)), path + "/b", "csv")
+    return read(spark, path + "/*", "csv", by_name=True).select(*part.columns)
+
+
+@query
+def io_json_nested_data(spark, folder):
+    """Records with a list ``data`` of their own: it stays a field."""
+    turns = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("id")).agg(
+        F.collect_list(F.struct("turn", "text")).alias("data"))
+    back = _round_trip(spark, turns, "json")
+    chars = F.aggregate("data", F.lit(0).cast("bigint"), lambda n, d: n + F.coalesce(F.length(d["text"]), F.lit(0)))
+    return back.select("id", F.size("data").cast("bigint").alias("n"), chars.alias("chars"))
+
+
 @query
 def io_tsv(spark, folder):
     return _round_trip(spark, table(spark, folder, "part"), "tsv")

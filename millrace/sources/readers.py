@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException, PySparkException
@@ -42,9 +43,12 @@ def read(
     multi_line: bool = True,
     mode: str = "FAILFAST",
     observation: Observation | None = None,
+    by_name: bool = False,
 ) -> DataFrame:
     """Read ``path``; the format comes from the extension unless given.
 
+    ``by_name`` matches the columns of CSV and TSV files with different headers, which fail otherwise;
+    it takes a pass over the lines, and a header must be one line.
     ``schema`` saves the inference pass.  ``row_tag`` names the repeated XML element; without it,
     the children of the root are looked up first, which takes a pass of its own.
     ``multi_line=False`` lets CSV and TSV files split, if no quoted value holds a line break.
@@ -53,7 +57,7 @@ def read(
     """
     fmt = fmt or infer_format(path)
     if fmt in ("csv", "tsv"):
-        df = _read_delimited(spark, path, "\t" if fmt == "tsv" else ",", schema, multi_line, mode)
+        df = _read_delimited(spark, path, "\t" if fmt == "tsv" else ",", schema, multi_line, mode, by_name)
     elif fmt == "json":
         if mode == "FAILFAST":
             _check_json_files(spark, path)
@@ -245,22 +249,45 @@ def read_yaml_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(parse, "record string")
 
 
-def _read_delimited(spark: SparkSession, path: str, separator: str, schema, multi_line: bool, mode: str) -> DataFrame:
-    """Delimited text with a header; the usual spellings of a missing value become NULL.
+def _header_groups(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a folder, those with the same first line together."""
+    lines = spark.read.text(path).filter("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    grouped = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files").collect()
+    return [[unquote(f) for f in g["files"]] for g in grouped]
 
-    Short rows end in NULLs.  Rows with surplus cells fail the read, unless ``mode`` is
-    ``PERMISSIVE``, which drops those cells.  Without a schema, one aggregate over the text
-    columns finds the narrowest type that holds every value of a column.
-    """
-    options = {"header": True, "sep": separator, "multiLine": multi_line, "escape": '"'}
-    names = spark.read.options(**options).csv(path).columns
+
+def _read_cells(spark: SparkSession, paths: str | list[str], separator: str, multi_line: bool, mode: str) -> DataFrame:
+    options = {"header": True, "sep": separator, "multiLine": multi_line, "escape": '"', "enforceSchema": False}
+    names = spark.read.options(**options).csv(paths).columns
     fields = ", ".join(f"`{n}` string" for n in names)
-    raw = spark.read.options(**options, columnNameOfCorruptRecord="_row").schema(fields + ", `_row` string").csv(path)
+    raw = spark.read.options(**options, columnNameOfCorruptRecord="_row").schema(fields + ", `_row` string").csv(paths)
     if mode == "FAILFAST":
         longer = F.from_csv("_row", fields + ", `_surplus` string", {"sep": separator, "escape": '"'})
         check = F.when(longer.getField("_surplus").isNotNull(), F.raise_error(F.concat(F.lit("Row with surplus cells: "), "_row")))
         raw = raw.withColumn(names[0], F.coalesce(check.cast("string"), top(names[0])))
-    raw = raw.select(*[missing_to_null(top(c)).alias(c) for c in names])
+    return raw.select(*[missing_to_null(top(c)).alias(c) for c in names])
+
+
+def _read_delimited(
+    spark: SparkSession, path: str, separator: str, schema, multi_line: bool, mode: str, by_name: bool = False
+) -> DataFrame:
+    """Delimited text with a header; the usual spellings of a missing value become NULL.
+
+    Short rows end in NULLs.  Rows with surplus cells fail the read, unless ``mode`` is
+    ``PERMISSIVE``, which drops those cells.  Files whose headers differ fail the read, unless
+    ``by_name`` matches their columns by name; columns that a file lacks are NULL.  Without a schema,
+    one aggregate over the text columns finds the narrowest type that holds every value of a column.
+    """
+    if by_name:
+        # One frame for each header that occurs, not for each file.
+        frames = [_read_cells(spark, files, separator, multi_line, mode) for files in _header_groups(spark, path)]
+        raw = frames[0] if frames else _read_cells(spark, path, separator, multi_line, mode)
+        for frame in frames[1:]:
+            raw = raw.unionByName(frame, allowMissingColumns=True)
+    else:
+        raw = _read_cells(spark, path, separator, multi_line, mode)
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         return raw.select(*[top(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields])

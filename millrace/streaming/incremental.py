@@ -36,7 +36,8 @@ def read_stream(
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         cells = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
         reader = reader.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").option("escape", '"')
-        return reader.option("multiLine", True).schema(cells).load(path).select(
+        # A file whose header differs from the schema fails instead of being misread.
+        return reader.option("multiLine", True).option("enforceSchema", False).schema(cells).load(path).select(
             *[missing_to_null(top(f.name)).cast(f.dataType).alias(f.name) for f in wanted.fields])
     return reader.schema(schema).load(path)
 

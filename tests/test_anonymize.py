@@ -37,10 +37,23 @@ def test_nulls_and_rows_stay(people):
 def test_modes(people):
     drawn = [r.name for r in anonymize.anonymize(people, "k", {"name": "uuid4"}).collect() if r.name]
     assert len(set(drawn)) == len(drawn)
-    same = {(r.k % 2, r.name) for r in anonymize.anonymize(people, "k", {"name": "uuid4"}, mode="consistent").collect() if r.k not in (3, 4)}
+    same = {(r.k % 2, r.name) for r in anonymize.anonymize(people, "k", {"name": "uuid4"}, mode="consistent", secret="s").collect() if r.k not in (3, 4)}
     assert len(same) == 2
 
 
+@pytest.mark.parametrize("kind", ["name", "email", "phone", "id"])
+def test_consistent_values_stay_distinct(spark, kind):
+    many = spark.range(20000).select("id", F.col("id").cast("string").alias("v"))
+    out = anonymize.anonymize(many, "id", {"v": kind}, mode="consistent", secret="s")
+    assert out.select("v").distinct().count() == 20000
+    assert kind != "email" or out.filter("v rlike '^[^@]+@[^@]+$'").count() == 20000
+
+
+def test_consistent_needs_a_secret(people):
+    with pytest.raises(ValueError):
+        anonymize.anonymize(people, "k", {"name": "name"}, mode="consistent")
+
+
 def test_unknown(people):
     with pytest.warns(UserWarning):
         kept = anonymize.anonymize(people, "k", {"name": "no_such"})

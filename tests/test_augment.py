@@ -103,8 +103,6 @@ def test_errors(texts):
     for methods in ([], ["nope"]):
         with pytest.raises(ValueError):
             augment.augment(texts, "k", 2, methods)
-    with pytest.raises(ValueError):
-        augment.augment(texts, "k", 2, ["synonym"], thesaurus={str(i): ("x",) for i in range(1000)})
 
 
 def test_white_space_is_that_of_python(spark):
@@ -114,3 +112,13 @@ def test_white_space_is_that_of_python(spark):
     for r in got:
         c = every[r.i]
         assert r.w == f"{c}l{c}r{c}".split() and r.s == f"{c}l{c}r{c}".strip() and r.b == c.isspace(), hex(ord(c))
+
+
+def test_long_mapping_equals_the_table(spark, rows):
+    words = {f"w{i}": [f"s{i}", f"t{i}"] for i in range(2000)}
+    texts = spark.range(50).select("id", F.expr("array_join(transform(sequence(1, 40), i -> concat('w', (id * 37 + i * 53) % 2000)), ' ')").alias("text"))
+    table = spark.createDataFrame(list(words.items()), "word string, synonyms array<string>")
+    by_mapping = rows(augment.augment(texts, "id", 3, ["synonym"], thesaurus=words))
+    assert by_mapping == rows(augment.augment(texts, "id", 3, ["synonym"], thesaurus=table))
+    assert any("s" in r[1] for r in by_mapping)
+    assert augment.augment(texts, "id", 2, ["shuffle"], thesaurus=words).count() == 100

@@ -257,3 +257,18 @@ def test_json_data_field_of_a_record_is_kept(spark, tmp_path):
     assert sorted((r["id"], len(r["data"])) for r in df.collect()) == [(1, 2), (2, 1), (3, 0)]
     (tmp_path / "b.json").write_text('{"data":[{"a":1},{"a":2}]}')
     assert sorted(r["a"] for r in read(spark, str(tmp_path / "b.json")).collect()) == [1, 2]
+
+
+def test_csv_headers_that_differ(spark, tmp_path, rows):
+    (tmp_path / "a b.csv").write_text("x,y\n1,one\n2,two\n")
+    (tmp_path / "c.csv").write_text("y,x\nthree,3\n")
+    (tmp_path / "d.csv").write_text("x,z\n4,q\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read(spark, str(tmp_path), "csv").collect()
+    got = read(spark, str(tmp_path), "csv", by_name=True).select("x", "y", "z")
+    assert rows(got) == [(1, "one", None), (2, "two", None), (3, "three", None), (4, None, "q")]
+
+
+def test_json_records_keep_their_data_field(spark, tmp_path, rows):
+    (tmp_path / "a.json").write_text('[{"id":1,"data":[{"a":1},{"a":2}]},{"id":2,"data":[{"a":3}]},{"id":3,"data":[]}]')
+    assert rows(read(spark, str(tmp_path / "a.json")).selectExpr("id", "size(data)")) == [(1, 2), (2, 1), (3, 0)]

@@ -61,3 +61,8 @@ def test_unique_and_patterns(spark, rows):
 def test_correlation(spark):
     df = spark.range(10).select(F.col("id").alias("a"), (F.col("id") * -2).alias("b"))
     assert profile.correlations(df).first().correlation == pytest.approx(-1.0)
+
+
+def test_ties_with_one_head_keep_k(spark):
+    texts = spark.range(20000).select(F.concat(F.lit("x" * 40), F.col("id").cast("string")).alias("text"))
+    assert profile.top_values(texts, ["text"], k=5, long_texts=["text"]).count() == 5

@@ -107,3 +107,12 @@ def test_report(spark, sample):
         validate.validation_report(sample, "k", ("nope",))
     with pytest.raises(ValueError):
         validate.validation_report(sample, "k", ("types",))
+
+
+def test_report_looks_into_records(spark, rows):
+    df = spark.createDataFrame(
+        [(1, "x", '{"a": 1, "b": "v"}'), (2, "x", '{"b": "v", "a": 1}'), (3, "x", '{"a": 2, "b": " "}'), (4, "x", '{"a": null, "b": "v"}'),
+         (5, "y", '{"a": 1, "b": "v"}')],
+        "k int, kind string, j string").select("k", "kind", F.parse_json("j").alias("record"))
+    report = validate.validation_report(df, "k", ("missing", "duplicates"), record="record")
+    assert rows(report.select("row_key", "field", "rule")) == [(2, None, "duplicate"), (3, "b", "missing"), (4, "a", "missing")]
