@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import plain, rows_at_once, written
@@ -161,21 +161,49 @@ def _profiler(words: int, percent: int):
     return run
 
 
-def _peel(member: DataFrame, needs: DataFrame, group: str, rounds: int) -> DataFrame:
+def _scheme() -> Column:
+    return F.col("sign").bitwiseAND(F.lit(SCHEMES - 1)).cast("int")
+
+
+def _need() -> Column:
+    """Signatures of ``scheme`` that a partner must share with the class."""
+    return F.when(F.col("scheme") == F.col("band"), F.col("need")).when(
+        F.col("scheme") == F.col("band") - 1, F.col("need_below")).otherwise(1)
+
+
+def _rarest(member: DataFrame, needs: DataFrame) -> DataFrame:
+    """Leave out the commonest signatures of each class and scheme, one fewer than a partner must share.
+
+    All classes rank signatures alike, so the rarest of those that two sets within the similarity
+    share stays with both of them.
+    """
+    often = member.groupBy("sign").agg(F.count(F.lit(1)).alias("often"))
+    commonest = Window.partitionBy("h", "scheme").orderBy(F.desc("often"), F.desc("sign"))
+    ranked = member.join(often, "sign").withColumn("scheme", _scheme()).join(needs, "h")
+    return ranked.withColumn("rank", F.row_number().over(commonest)).filter(F.col("rank") >= _need()).select(*member.columns)
+
+
+def _peel(member: DataFrame, needs: DataFrame, group: str) -> DataFrame:
     """Leave out what cannot meet a partner outside its group: ``sign, h`` and the group of each class.
 
     A signature that stays within one group goes, and so do the signatures of a class in a scheme in
-    which fewer are left than a partner must share.  Every round is safe for itself; a few do most.
+    which fewer are left than a partner must share.  A second round would be safe, too, but finds little.
+    """
+    mixed = member.groupBy("sign").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).filter("lo <> hi").select("sign")
+    member = member.join(mixed, "sign", "left_semi").withColumn("scheme", _scheme())
+    enough = member.groupBy("h", "scheme").agg(F.count(F.lit(1)).alias("c")).join(needs, "h").filter(
+        F.col("c") >= _need()).select("h", "scheme")
+    return written(member.join(enough, ["h", "scheme"], "left_semi").drop("scheme"))
+
+
+def _central(meeting: DataFrame) -> DataFrame:
+    """``sign, a``: of the classes that meet by a signature the one whose own signatures are the commonest.
+
+    What others were copied from has them in common with all copies, so that copies become one star.
     """
-    scheme = F.col("sign").bitwiseAND(F.lit(SCHEMES - 1)).cast("int")
-    for _ in range(rounds):
-        mixed = member.groupBy("sign").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).filter("lo <> hi").select("sign")
-        member = member.join(mixed, "sign", "left_semi").withColumn("scheme", scheme)
-        enough = member.groupBy("h", "scheme").agg(F.count(F.lit(1)).alias("c")).join(needs, "h").filter(
-            F.col("c") >= F.when(F.col("scheme") == F.col("band"), F.col("need")).when(
-                F.col("scheme") == F.col("band") - 1, F.col("need_below")).otherwise(1)).select("h", "scheme")
-        member = written(member.join(enough, ["h", "scheme"], "left_semi").drop("scheme"))
-    return member
+    often = meeting.join(meeting.groupBy("sign").agg(F.count(F.lit(1)).alias("often")), "sign")
+    weight = often.groupBy("h").agg(F.sum("often").alias("weight"))
+    return meeting.join(weight, "h").groupBy("sign").agg(F.max_by("h", F.struct("weight", "h")).alias("a"))
 
 
 def _token_reader(words: int):
@@ -258,8 +286,8 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words
         .filter("h <> first").distinct())
     meeting = _peel(
         later.select("sign", "h").unionByName(later.select("sign", F.col("first").alias("h"))).distinct().withColumn("g", F.col("h")),
-        needs, "g", 3).select("sign", "h")
-    pivots = meeting.groupBy("sign").agg(F.min("h").alias("a"))
+        needs, "g").select("sign", "h")
+    pivots = _central(meeting)
 
     wanted = written(meeting.select("h").distinct().join(classes.select("h", "rep"), "h"))
     # A checked size decides how texts and wanted classes meet; the rows are the same.
@@ -273,7 +301,8 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     groups = written(components(stars))
     member = _peel(
         meeting.join(groups, meeting["h"] == groups["node"], "left").select("sign", "h", F.coalesce("root", "h").alias("g")),
-        needs, "g", 2)
+        needs, "g")
+    member = written(_rarest(member, needs))
     ask = member.select("sign", F.col("h").alias("q"), F.col("g").alias("own"))
     queries = written(ask.join(member.select("sign", "g").distinct(), "sign").filter("own > g").select("q", "g").distinct())
 
