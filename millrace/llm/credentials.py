@@ -52,15 +52,23 @@ def _entries(kinds: tuple[str, ...]) -> Column:
     return F.concat(*[of(k) for k in kinds])
 
 
+def _cells(start: Column, end: Column, scope: int) -> Column:
+    """Cells of ``scope`` code points that the stretch from start to end, both included, touches."""
+    return F.explode(F.sequence(F.floor(start / scope).cast("int"), F.floor(end / scope).cast("int")))
+
+
 def _near(weak: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
-    """The weak candidates with a part at most ``scope`` away in the same text; a semi join, so no pairs come out."""
+    """The weak candidates with a part at most ``scope`` away in the same text; a semi join, so no pairs come out.
+
+    Both sides lie in all cells they touch, the parts widened by ``scope``: stretches that meet share a cell.
+    """
     cells = parts.select(
         F.col("digest").alias("d"), F.col("start").alias("a"), F.col("end").alias("b"),
-        F.explode(F.sequence(
-            F.floor((F.col("start") - scope) / scope).cast("int"), F.floor((F.col("end") + scope) / scope).cast("int"))).alias("c"))
-    return weak.join(
-        cells, (weak["digest"] == cells["d"]) & (F.floor(weak["start"] / scope).cast("int") == cells["c"])
-        & (cells["a"] <= weak["end"] + scope) & (cells["b"] >= weak["start"] - scope), "left_semi")
+        _cells(F.col("start") - scope, F.col("end") + scope, scope).alias("c"))
+    laid = weak.select("*", _cells(F.col("start"), F.col("end"), scope).alias("cell"))
+    return laid.join(
+        cells, (laid["digest"] == cells["d"]) & (laid["cell"] == cells["c"])
+        & (cells["a"] <= laid["end"] + scope) & (cells["b"] >= laid["start"] - scope), "left_semi").select(*weak.columns).distinct()
 
 
 def find_secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:

@@ -94,6 +94,27 @@ def test_secrets_and_links(spark):
     assert clean[1] == "é [SECRET] then [SECRET] ." and clean[4] is None and clean[2] == key and clean[5] == '[SECRET]"'
 
 
+def test_links_at_every_offset(spark):
+    """Weak spans before, over and behind a part, shorter and longer than the scope, against the condition itself."""
+    scope, weak, parts = 40, [], []
+    for at in range(2 * scope + 1):
+        for size in (0, 7, scope - 1, scope, scope + 1, 3 * scope):
+            for gap in (0, 1, scope - 1, scope, scope + 1):
+                for start in (at + size + gap, at - gap - 5):  # behind the weak span, before it
+                    case = f"{len(weak)}"
+                    weak.append((case, at, 3, at + size))
+                    parts.append((case, start, 0, start + 5))
+    schema = "digest string, start int, order int, end int"
+    got = {r["digest"] for r in credentials._near(spark.createDataFrame(weak, schema), spark.createDataFrame(parts, schema), scope).collect()}
+    assert got == {w[0] for w, p in zip(weak, parts) if p[1] <= w[3] + scope and p[3] >= w[1] - scope}
+    assert credentials._near(spark.createDataFrame(weak[:1] * 2, schema).limit(1), spark.createDataFrame(parts[:1] * 3, schema), scope).count() == 1
+
+
+def test_a_long_name_before_its_secret(spark):
+    text = " " * 395 + "login: " + "z" * 28 + " " * 190 + "token = 0123456789ABCDEF"
+    assert credentials.find_secrets(frame(spark, [(1, text)])).collect()[0]["spans"] == "ident:395:430,assign:620:644"
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
