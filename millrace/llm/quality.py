@@ -1,8 +1,9 @@
 """Quality rules: a hashed n-gram log-likelihood ratio of trusted text against the raw corpus.
 
 Words and word pairs are hashed into buckets; one multinomial is counted over trusted documents, one
-over all.  The score of a document is the mean log ratio over its n-grams, so length does not matter,
-and a fixed threshold decides on every document.
+over all.  The score of a document is the mean log ratio over its n-grams, so length does not matter.
+The threshold that decides on every document is a low quantile of what trusted documents score when
+they are held out: each is scored by the trusted documents of the other half.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, plain
+from .common import blank, plain, written
 from .spans import let
 
 BUCKETS = 1 << 16
-#: Mean log ratio from which a document is kept.
-THRESHOLD = -0.35
+#: Share of the trusted documents that may score below the threshold, and the steps to the unit it is told in.
+SHARE = 0.001
+STEPS = 1000
 #: Occurrences added to every bucket of either multinomial.
 SMOOTHING = 1.0
 SPACE = r"[\x20\x09-\x0D]+"
@@ -57,40 +59,64 @@ def _repeated(w: Column, window: int = 5) -> Column:
     return F.when(F.size(w) < window, 0).otherwise(let(hashes, covered))
 
 
+def _half(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(2)).cast("int")
+
+
+def _trusted_ids(trusted: DataFrame) -> DataFrame:
+    return trusted.select(trusted[trusted.columns[0]].alias("id")).filter("id IS NOT NULL").distinct()
+
+
+def _gram_counts(documents: DataFrame, trusted: DataFrame, doc_id: str, text: str, buckets: int) -> list[list[int]]:
+    """Occurrences by bucket in either half of the trusted documents and in all others."""
+    docs = plain(documents, id=doc_id, text=text)
+    parted = docs.join(_trusted_ids(trusted).withColumn("half", _half(F.col("id"))), "id", "left")
+    counts = [[0] * buckets for _ in range(3)]
+    for r in parted.select(F.coalesce("half", F.lit(2)).alias("part"), F.explode(let(words(F.col("text")), lambda w: grams(w, buckets))).alias("b")).groupBy(
+            "part", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["part"]][r["b"]] = r["n"]
+    return counts
+
+
+def _log_ratios(good: list[int], raw: list[int], smoothing: float) -> list[float]:
+    share = lambda counts: [math.log((c + smoothing) / (sum_ + smoothing * len(counts))) for sum_ in [sum(counts)] for c in counts]
+    return [round(g - r, 6) for g, r in zip(share(good), share(raw))]
+
+
+def _weights(counts: list[list[int]], smoothing: float) -> list[list[float]]:
+    """Log ratios by all trusted documents, by their first half and by their second half."""
+    raw = [sum(c) for c in zip(*counts)]
+    return [_log_ratios(good, raw, smoothing) for good in ([a + b for a, b in zip(*counts[:2])], counts[0], counts[1])]
+
+
 def gram_weights(documents: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """Log ratio of each bucket, counted over every document; ``trusted`` is a frame of ids, repeats allowed.
 
-    The driver gets one number pair for each bucket.  Without trusted text all weights are what
+    The driver gets three numbers at most for each bucket.  Without trusted text all weights are what
     smoothing leaves, which ranks documents by how usual they are.
     """
-    docs = plain(documents, id=doc_id, text=text)
-    ids = trusted.select(trusted[trusted.columns[0]].alias("id")).filter("id IS NOT NULL").distinct()
-    count = lambda df: df.select(F.explode(let(words(F.col("text")), lambda w: grams(w, buckets))).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    raw, good = [0] * buckets, [0] * buckets
-    for counts, frame in ((raw, docs), (good, docs.join(ids, "id", "left_semi"))):
-        for r in count(frame).collect():
-            counts[r["b"]] = r["n"]
-    share = lambda counts: [math.log((c + smoothing) / (sum_ + smoothing * buckets)) for sum_ in [sum(counts)] for c in counts]
-    return [round(g - r, 6) for g, r in zip(share(good), share(raw))]
-
+    return _weights(_gram_counts(documents, trusted, doc_id, text, buckets), smoothing)[0]
 
-def judge(documents: DataFrame, weights: list[float], doc_id: str = "doc_id", text: str = "text",
-          threshold: float = THRESHOLD) -> DataFrame:
-    """Counts, base verdict, score and verdict of every row, from its own text alone.
 
-    Null text has no words and fails the base rule; a text without n-grams scores 0.
-    """
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
+def _measured(documents: DataFrame, weights: list[float], doc_id: str, text: str, halves: list[list[float]] | None = None) -> DataFrame:
+    """Counts, base verdict and score of every row, and ``held_out``, its score by the half that it is not in."""
+    table = lambda w: F.split(F.lit(",".join(map(str, w))), ",").cast("array<double>")
     t = blank(F.col("text"))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
+    def mean(g: Column, weights: list[float]) -> Column:
+        return F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table(weights), b), lambda a: a / F.greatest(F.size(g), F.lit(1)))
+
+    def scores(g: Column) -> Column:
+        out = F.lit(None).cast("double") if halves is None else F.when(
+            _half(F.col("doc_id")) == 0, mean(g, halves[1])).otherwise(mean(g, halves[0]))
+        return F.struct(mean(g, weights).alias("score"), out.alias("held_out"))
+
     def measure(w: Column) -> Column:
-        total = let(grams(w, len(weights)), lambda g: F.aggregate(
-            g, F.lit(0.0), lambda a, b: a + F.get(table, b), lambda a: a / F.greatest(F.size(g), F.lit(1))))
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _repeated(w).cast("long").alias("n_repeat_words"), total.alias("score"))
+            _repeated(w).cast("long").alias("n_repeat_words"), let(grams(w, len(weights)), scores).alias("s"))
 
     return plain(documents, doc_id=doc_id, text=text).select(
         "doc_id", let(words(F.col("text")), measure).alias("m"),
@@ -99,5 +125,40 @@ def judge(documents: DataFrame, weights: list[float], doc_id: str = "doc_id", te
     ).select(
         "doc_id", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words",
         ((F.col("m.n_words") < 10) | (100 * F.col("m.n_repeat_words") > 20 * F.col("m.n_words"))).alias("base_failed"),
-        F.col("m.score").alias("score"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        F.col("m.s.score").alias("score"), F.col("m.s.held_out").alias("held_out"))
+
+
+def judge(documents: DataFrame, weights: list[float], doc_id: str = "doc_id", text: str = "text",
+          threshold: float = -math.inf) -> DataFrame:
+    """Counts, base verdict, score and verdict of every row, from its own text alone.
+
+    Null text has no words and fails the base rule; a text without n-grams scores 0.  Without a
+    threshold the base rule alone decides.
+    """
+    return _measured(documents, weights, doc_id, text).drop("held_out").withColumn(
+        "kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def _threshold(measured: DataFrame, trusted: DataFrame, share: float) -> float:
+    """Score that at most ``share`` of the trusted documents within the base rule stay below when held out.
+
+    The driver gets one count for each step of the score.  Without trusted documents nothing is below.
+    """
+    ids = _trusted_ids(trusted)
+    steps = measured.filter("NOT base_failed").join(ids, measured["doc_id"] == ids["id"], "left_semi").groupBy(
+        F.floor(F.col("held_out") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    below = int(share * sum(r["n"] for r in steps))
+    for r in sorted(steps, key=lambda r: r["step"]):
+        below -= r["n"]
+        if below < 0:
+            return r["step"] / STEPS
+    return -math.inf
+
+
+def select(documents: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
+           buckets: int = BUCKETS, smoothing: float = SMOOTHING, share: float = SHARE) -> DataFrame:
+    """``judge`` by the weights and the threshold that the trusted documents, a frame of ids, give."""
+    weights, *halves = _weights(_gram_counts(documents, trusted, doc_id, text, buckets), smoothing)
+    measured = written(_measured(documents, weights, doc_id, text, halves))
+    return measured.drop("held_out").withColumn(
+        "kept", ~F.col("base_failed") & (F.col("score") >= _threshold(measured, trusted, share)))

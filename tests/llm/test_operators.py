@@ -71,6 +71,15 @@ def test_quality_counts_and_score(spark):
     assert quality.judge(df.limit(0), [0.0] * 64).count() == 0
 
 
+def test_quality_threshold_follows_trusted_documents(spark):
+    """The third lowest of 2,000 held-out scores; others, repeated ids and what fails the base rule do not count."""
+    rows = [(i, False, (i - 150) / 1000 + 0.0005) for i in range(2000)] + [(2000, True, -9.0), (2001, False, -9.0), (None, False, -9.0)]
+    measured = spark.createDataFrame(rows, "doc_id long, base_failed boolean, held_out double")
+    trusted = spark.createDataFrame([(i,) for i in range(2001)] + [(3,), (None,)], "doc_id long")
+    assert quality._threshold(measured, trusted, 0.001) == -0.148
+    assert quality._threshold(measured, trusted.limit(0), 0.001) == float("-inf")
+
+
 def test_decontamination_in_blocks_and_spans(spark):
     words = [f"w{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(words[:20]), 0), (2, "tiny item", 0), (3, None, 0), (None, " ".join(words[20:]), 0)], "item_id long, text string, hit int")
