@@ -1,8 +1,9 @@
 """Licences by TF-IDF cosine to templates, inherited from the nearest directory above.
 
 What a file says about its licence, its lines on licence or copyright, is a sparse TF-IDF vector that
-is compared with those of known notices.  A file without a licence of its own takes that of the
-licence file in its directory, or else in the nearest directory above that has one.
+is compared with those of known notices.  A file that speaks of a licence near none of them is of an
+unknown one.  A file that speaks of none takes that of the licence file in its directory, or else in
+the nearest directory above that has one.
 """
 
 from __future__ import annotations
@@ -25,12 +26,28 @@ TEMPLATES = {
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    "CC-BY-4.0": ("Licensed under the Creative Commons Attribution 4.0 International License.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal.",),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License."),
+    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.",),
+    "Unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain."),
+    "EPL-2.0": ("Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. Confidential and proprietary."),
 }
-TELLING = r"(?i)licen[sc]|copyright|all rights reserved|spdx|permission is hereby|redistribut|public domain"
+#: The Creative Commons family, in long and short form.
+COMMONS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+TEMPLATES |= {f"CC-{short}-{version}": (
+    f"Licensed under the Creative Commons {long} {version} {scope} License.",
+    f"This work is licensed under a Creative Commons {long} {version} {scope} License.",
+    f"Licensed under CC {short} {version}.", f"Licensed under CC-{short}-{version}.")
+    for short, long in COMMONS.items() for version, scope in (("4.0", "International"), ("3.0", "Unported"))}
+#: What a file has that speaks of a licence near no template.
+UNKNOWN = "unknown"
+TELLING = r"(?i)licen[sc]|copyright|all rights reserved|spdx|permission is hereby|redistribut|public domain|creative commons|\bcc0\b|\bcc[ -]by\b|permission to use"
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice)([.].*)?$"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -44,7 +61,7 @@ def _templates() -> list[tuple[str, dict[str, int]]]:
 
 
 def score_headers(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """``path, license, cosine`` of every file whose own words are near a template.
+    """``path, license, cosine`` of every file that speaks of a licence: the nearest template's, or unknown.
 
     Document frequencies of the templates' terms are counted over all files that speak of a licence;
     other terms weigh as much as the rarest.  Ties go to the name that sorts first.  Null texts and
@@ -66,12 +83,15 @@ def score_headers(files: DataFrame, path: str = "path", text: str = "text") -> D
     rows = [(t, weight[t], [w.get(t, 0) * weight[t] / n for (_, w), n in zip(templates, norms)]) for t in known]
     vectors = F.broadcast(spark.createDataFrame(rows, "term string, idf double, unit array<double>"))  # the templates' terms
     value = F.col("tf") * F.coalesce("idf", F.lit(idf(0)))
-    dots = [F.sum(value * F.coalesce(F.get("unit", F.lit(i)), F.lit(0.0))).alias(f"d{i}") for i in range(len(templates))]
-    scored = words.join(vectors, "term", "left").groupBy("path").agg(F.sqrt(F.sum(value * value)).alias("norm"), *dots)
-    best = F.array_max(F.array(*[F.struct(
-        F.round(F.col(f"d{i}") / F.col("norm"), 9).alias("cosine"), F.lit(-sorted(TEMPLATES).index(name)).alias("order"), F.lit(name).alias("license"))
-        for i, (name, _) in enumerate(templates)]))
-    return scored.select("path", best.alias("b")).filter(F.col("b.cosine") >= THRESHOLD).select("path", "b.license", "b.cosine")
+    scored = words.join(vectors, "term", "left").groupBy("path").agg(
+        F.sqrt(F.sum(value * value)).alias("norm"), F.collect_list(F.struct(value.alias("value"), "unit")).alias("terms"))
+    dot = lambda i: F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["value"] * F.coalesce(F.get(t["unit"], i), F.lit(0.0)))
+    names = F.array(*[F.lit(name) for name, _ in templates])
+    orders = F.array(*[F.lit(-sorted(TEMPLATES).index(name)) for name, _ in templates])
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda i: F.struct(
+        F.round(dot(i) / F.col("norm"), 9).alias("cosine"), F.get(orders, i).alias("order"), F.get(names, i).alias("license"))))
+    return scored.select("path", best.alias("b")).select(
+        "path", F.when(F.col("b.cosine") >= THRESHOLD, F.col("b.license")).otherwise(UNKNOWN).alias("license"), "b.cosine")
 
 
 def _parent(path: Column) -> Column:
@@ -82,7 +102,7 @@ def inherit(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     """``path, license, cosine, origin`` for every file: its own header, or the directory that it inherits from.
 
     ``origin`` is ``header``, the directory of the licence file, or null where there is neither.
-    Null paths have no directory.  Directories are looked up once each, not once per file, and of
+    A header or licence file near no template is ``unknown`` and not overridden from above.  Null paths have no directory.  Directories are looked up once each, not once per file, and of
     several licence files in one directory the nearest to a template counts.
     """
     own = written(score_headers(files, path, text))

@@ -151,6 +151,20 @@ def test_licences(spark):
     assert got["z.txt"] == got[None] == (None, None) and len(got) == 7
 
 
+def test_licences_of_their_own_are_not_overridden(spark):
+    said = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 3.0.": "CC-BY-SA-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+        "Released under the BSD 2-Clause License.": "BSD-2-Clause", "Released under the ISC License.": "ISC", "Released under the Unlicense.": "Unlicense",
+        "Licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0", "Licensed under the Eclipse Public License, version 2.0.": "EPL-2.0",
+        "Licensed under terms that nobody has heard of.": "unknown", "no word on it": "MIT"}
+    rows = [("a/LICENSE", "Released under the MIT License.")] + [(f"a/{i}.txt", f"words\n{t}") for i, t in enumerate(said)]
+    rows += [("a/b/LICENSE", "Licence: the Frobnitz terms of 1987"), ("a/b/x.txt", "prose")]
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.inherit(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"a/{i}.txt"] for i in range(len(said))] == [(n, "a" if n == "MIT" else "header") for n in said.values()]
+    assert got["a/b/LICENSE"] == ("unknown", "header") and got["a/b/x.txt"] == ("unknown", "a/b")
+
+
 def test_toxicity_learns_without_held_out_labels(spark):
     r = random.Random(4)
     rows = [(i, " ".join([f"w{r.randrange(300)}" for _ in range(40)] + (["awful", "nasty"] if i % 6 == 0 else []))) for i in range(600)]
