@@ -755,7 +755,8 @@ def io_xml(spark, folder):
 
 @query
 def io_yaml(spark, folder):
-    return _round_trip(spark, labelled(spark, folder).drop("text"), "yaml")
+    """Whole records go through the file; the SQL has no text."""
+    return _round_trip(spark, labelled(spark, folder), "yaml").drop("text")
 
 
 @query
@@ -771,7 +772,7 @@ def io_convert(spark, folder):
 def io_records(spark, folder):
     """Records with differing keys, read as they are."""
     path = scratch_folder(spark)
-    write(labelled(spark, folder).drop("text"), path, "json")
+    write(labelled(spark, folder), path, "json")
     records = read_records(spark, path, "json")
     return records.select(F.try_variant_get("record", "$.doc_id", "bigint").alias("doc_id"),
                           F.try_variant_get("record", "$.lang", "string").alias("lang"),

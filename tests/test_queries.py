@@ -36,3 +36,13 @@ def test_plan(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert name in PYTHON or not any(step in plan for step in ("EvalPython", "InPandas", "InArrow"))
+
+
+@pytest.mark.parametrize("name", ["io_yaml", "io_records"])
+def test_whole_records_are_written(spark, folder, name, monkeypatch):
+    from millrace.plans import queries as catalogue
+
+    seen, put = [], catalogue.write
+    monkeypatch.setattr(catalogue, "write", lambda df, *a, **b: (seen.append(df.columns), put(df, *a, **b))[1])
+    QUERIES[name](spark, folder)
+    assert all("text" in columns for columns in seen) and seen
