@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontaminate, hilbert, html_text, licenses, ngram_join, packing, quality, surrogates, toxicity
+from . import (
+    alignment, byte_bpe, credentials, decontaminate, hilbert, html_text, licenses, merkle, ngram_join, packing, quality, surrogates,
+    toxicity)
 from .common import table
 
 QUERIES = {}
@@ -16,10 +18,14 @@ def query(function):
     return function
 
 
-def word_tokenizer() -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_tokenizer() -> str:
+    return tokenizer_file("word_bpe_49k.json")
 
 
 @query
@@ -91,3 +97,35 @@ def op10_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     return shards.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row's proof, and whether it still leads to the root when a seventh of the rows is tampered with."""
+    documents, fields = table(spark, folder, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    claimed = merkle.leaf_digest(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    rows = merkle.manifest(
+        documents.withColumn("claimed", F.when(tampered, claimed)), tree="lang", order="doc_id", fields=fields, keep=["claimed"])
+    folded = merkle.fold(F.coalesce("claimed", "leaf"), F.col("proof"))
+    return rows.select(
+        F.col("order_key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and the bytes that they decode to."""
+    import public_tokenizers
+
+    vocabulary = {"path": tokenizer_file("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    tokens = byte_bpe.digests(byte_bpe.encode(table(spark, folder, "documents"), **vocabulary))
+    rows = byte_bpe.decode(tokens, **vocabulary, keep=["n_tokens", "ids_sha256"])
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of two vocabularies meet in every text and in the corpus."""
+    return alignment.report(
+        table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
