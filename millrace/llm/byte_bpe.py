@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import plain, rows_at_once, single_threaded
-from .vocabulary import CACHE_UNITS, CACHED_CHARS, byte_signs, units
+from .vocabulary import CACHE_UNITS, CACHED_CHARS, byte_signs, char_of_byte, portions, units
 
-#: Characters that are encoded in one call.
-PORTION = 1 << 20
+#: Portions that are encoded in one call.
+AT_ONCE = 64
 
 _loaded: dict[tuple[str, str], tuple] = {}
 
@@ -42,7 +42,7 @@ def merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 def tokenizer(path: str, pattern: str):
-    """The tokenizer of a rank file, and the bytes of each id; loaded once for each worker process."""
+    """The tokenizer of a rank file, the bytes of each id and their number, and units seen; once for each worker process."""
     if (path, pattern) not in _loaded:
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -56,64 +56,73 @@ def tokenizer(path: str, pattern: str):
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        _loaded[path, pattern] = (made, table, {})
+        _loaded[path, pattern] = (made, table, np.array([len(t) for t in table], np.int64), {})
     return _loaded[path, pattern]
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[tuple[bytes, bytes, bytes]]:
-    """Ids, first characters and end characters of the tokens of each text, as packed 32-bit integers.
-
-    A token that holds part of a character spans the whole of it.
-    """
-    made, _, known = tokenizer(path, pattern)
+def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
+    """Ids of the tokens of each text, as packed 32-bit integers."""
+    made, _, sizes, known = tokenizer(path, pattern)
     if len(known) > CACHE_UNITS:
         known.clear()
-    cut = [units(t) for t in texts]
-    new = list(set().union(*cut).difference(known))
-    once: dict[str, tuple[bytes, bytes, bytes, int]] = {}
-    start = 0
-    while start < len(new):
-        end, chars = start, 0
-        while end < len(new) and chars < PORTION:
-            chars, end = chars + len(new[end]), end + 1
-        for unit, e in zip(new[start:end], made.encode_batch(new[start:end], add_special_tokens=False)):
-            offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
-            entry = (np.array(e.ids, np.int32).tobytes(), offsets[:, 0].tobytes(), offsets[:, 1].tobytes(), len(unit))
-            (known if len(unit) <= CACHED_CHARS else once)[unit] = entry
-        start = end
-    out = []
-    for parts in cut:
-        found = [known[u] if u in known else once[u] for u in parts]
-        ids = b"".join([f[0] for f in found])
-        before = np.repeat(
-            np.cumsum([0, *[f[3] for f in found[:-1]]]).astype(np.int32), [len(f[0]) // 4 for f in found]) if found else np.zeros(0, np.int32)
-        starts, ends = (np.frombuffer(b"".join([f[k] for f in found]), np.int32) + before for k in (1, 2))
-        out.append((ids, starts.tobytes(), ends.tobytes()))
+    cut = [units(t) if t else [] for t in texts]
+    new = list(portions(set().union(*cut).difference(known)))
+    long = [u for part in new for u in part if len(u) > CACHED_CHARS]
+    for start in range(0, len(new), AT_ONCE):
+        some = new[start:start + AT_ONCE]
+        for part, e in zip(some, made.encode_batch_fast(["".join(p) for p in some], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int32)
+            ends = np.cumsum([len(u.encode()) for u in part])
+            ends = 4 * (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1)
+            packed, first = ids.tobytes(), 0
+            for u, end in zip(part, ends.tolist()):
+                known[u] = packed[first:end]
+                first = end
+    out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+    for u in long:
+        del known[u]
     return out
 
 
+def spans(text: str, ids: bytes, sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """First and end characters of the tokens of a text: their bytes, mapped to the characters that they are part of."""
+    ends = np.cumsum(sizes[np.frombuffer(ids, np.int32)])
+    if not len(ends):
+        return b"", b""
+    starts = np.concatenate([[0], ends[:-1]])
+    if len(text) == ends[-1]:
+        return starts.astype(np.int32).tobytes(), ends.astype(np.int32).tobytes()
+    place = char_of_byte(text.encode())
+    return place[starts].astype(np.int32).tobytes(), (place[ends - 1] + 1).astype(np.int32).tobytes()
+
+
 def _lists(parts: list[bytes]) -> pa.ListArray:
     sizes = np.cumsum([0, *[len(p) // 4 for p in parts]]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def encode(documents: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(documents: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", offsets: bool = True) -> DataFrame:
     """``doc_id, ids, starts, ends`` of every row: token ids, and where tokens lie, in code points, end exclusive.
 
+    A token that holds part of a character spans the whole of it; without ``offsets`` there are ids alone.
     Null and empty texts have no tokens.  Special tokens are not looked for.  Long texts are taken whole;
     ids of documents may be of any type and repeat.  Further columns are left out.
     """
     rows_at_once(documents.sparkSession)
     docs = plain(documents, doc_id=doc_id, text=text)
 
+    names = ["ids", "starts", "ends"][:3 if offsets else 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = tokenizer(path, pattern)[2]
         for batch in batches:
-            found = encode_texts([t or "" for t in batch.column(1).to_pylist()], path, pattern)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[_lists([f[k] for f in found]) for k in range(3)]], names=["doc_id", "ids", "starts", "ends"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = encode_texts(texts, path, pattern)
+            lists = [ids, *zip(*[spans(t, i, sizes) for t, i in zip(texts, ids)])] if offsets and texts else [ids] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(_lists, lists)], names=["doc_id", *names])
 
     numbers = T.ArrayType(T.IntegerType())
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *[T.StructField(c, numbers) for c in ("ids", "starts", "ends")]]))
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *[T.StructField(c, numbers) for c in names]]))
 
 
 def decode_pieces(tokens: list[bytes]) -> list[str]:

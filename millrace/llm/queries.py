@@ -119,7 +119,7 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = {"path": tokenizer_file("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    tokens = byte_bpe.digests(byte_bpe.encode(table(spark, folder, "documents"), **vocabulary))
+    tokens = byte_bpe.digests(byte_bpe.encode(table(spark, folder, "documents"), **vocabulary, offsets=False))
     rows = byte_bpe.decode(tokens, **vocabulary, keep=["n_tokens", "ids_sha256"])
     return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 

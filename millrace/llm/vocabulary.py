@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
+
 #: Distinct units that a Python worker remembers; at this many it starts afresh.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 400_000
 #: Longer units are worked out each time and not remembered.
 CACHED_CHARS = 48
-#: Before a blank that follows no white space.
-CUT = re.compile(r"(?<=\S)(?= )")
+#: Characters of joined units that a tokenizer gets at once.
+PORTION = 1 << 14
+#: Before a blank or a line break that follows no white space.
+CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 @cache
@@ -29,17 +34,39 @@ def sign_bytes() -> dict[str, int]:
     return {sign: b for b, sign in byte_signs().items()}
 
 
+#: White space before a blank or a line break.
+SPACED = re.compile(r"\s[ \n]")
+SPACED_ASCII = [chr(c) + end for c in (*range(9, 14), *range(28, 33)) for end in " \n"]
+
+
 def units(text: str) -> list[str]:
-    """The text cut before each blank that follows a visible character.
+    """The text cut before each blank or line break that follows a visible character.
 
-    Byte-level tokens start with a blank at most, and so do pieces with word marks; neither
-    crosses such a place, so units are tokenized alone and a unit seen before is looked up.
+    Byte-level tokens start with white space at most, and so do pieces with word marks, none of which
+    holds a line break; no token crosses such a place, so units are tokenized alone and a unit seen before is looked up.
     """
-    parts = text.split(" ")
-    for p in parts[:-1]:
-        if not p or p[-1].isspace():
-            break
-    else:
-        if parts[-1] or len(parts) == 1:
-            return [parts[0], *[" " + p for p in parts[1:]]]
-    return CUT.split(text)
+    if "\0" in text or any(w in text for w in SPACED_ASCII) or not text.isascii() and SPACED.search(text):
+        return CUT.split(text)
+    parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    return parts if parts[0] else parts[1:]
+
+
+def portions(new: Iterable[str]) -> Iterator[list[str]]:
+    """Units in lists that may be joined, as each one's end and the next one's start are a cut again."""
+    part, chars = [], 0
+    for u in new:
+        if u[:1] not in (" ", "\n") or u[-1:].isspace():
+            yield [u]
+            continue
+        part.append(u)
+        chars += len(u)
+        if chars >= PORTION:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
+
+
+def char_of_byte(raw: bytes) -> np.ndarray:
+    """For each byte the number of the character that it belongs to."""
+    return np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
