@@ -14,8 +14,8 @@ chunks.  A chunk then gets back the counts of its own pairs.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
-from itertools import accumulate, count
+from collections.abc import Iterator
+from itertools import count, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -25,14 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import plain, rows_at_once, single_threaded, written
-from .vocabulary import CACHE_UNITS, CACHED_CHARS, sign_bytes, units
+from .vocabulary import CACHE_UNITS, CACHED_CHARS, char_of_byte, portions, sign_bytes, units
 
 #: Bytes of text that are worked off as one chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
 #: What B writes for a blank, and what stands before a unit so that B adds no blank of its own to it.
 MARK, GUARD = "▁", "."
-#: Characters given to a tokenizer in one call.
-PORTION = 1 << 18
 
 _loaded: dict[tuple[str, str], Aligner] = {}
 
@@ -47,13 +45,15 @@ class Unit(NamedTuple):
     told: str
 
 
-def exact_ends(coarse: Iterable[int], sizes: Iterable[int]) -> list[int]:
-    """Byte ends of tokens: their coarse ends where span and bytes agree, counted on from there elsewhere."""
-    ends, at = [], 0
-    for end, size in zip(coarse, sizes):
-        at = end if end - at == size else at + size
-        ends.append(at)
-    return ends
+def exact_ends(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: their coarse ends where span and bytes agree, counted on by bytes from there elsewhere."""
+    counted = np.cumsum(sizes)
+    sure = (np.diff(coarse, prepend=0) == sizes) & (coarse == counted)
+    if sure.all():
+        return coarse
+    last = np.maximum.accumulate(np.where(sure, np.arange(len(sizes)), -1))
+    from_there = np.where(last < 0, 0, coarse[last]) + counted - np.where(last < 0, 0, counted[last])
+    return np.where(sure, coarse, from_there)
 
 
 class Aligner:
@@ -68,70 +68,72 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         signs = sign_bytes()
-        self.a_bytes = {i: bytes(signs[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [b""] * self.a.get_vocab_size()
+        for token, i in self.a.get_vocab(with_added_tokens=False).items():
+            self.a_bytes[i] = bytes(signs[c] for c in token)
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
             for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
-        #: Units may stand alone only if no piece continues over a word mark.
-        self.cuts = not any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.b.get_piece_size()))
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        #: Units may stand alone only if no piece continues over a word mark or holds a line break.
+        self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in map(self.b.id_to_piece, range(self.b.get_piece_size())))
         self.known: dict[str, Unit | None] = {}
+        self.spoilt = False  # whether any unit so far did not match
 
     def align(self, texts: list[str]) -> list[list[Unit] | None]:
         """The units of each text, a blank put before it; None for empty texts and where bytes do not match."""
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
+        known, long = self.known, []
+        if len(known) > CACHE_UNITS:
+            known.clear()
         cut = [(units(" " + t) if self.cuts else [" " + t]) if t else None for t in texts]
-        new = list(set().union(*(c for c in cut if c)).difference(self.known))
-        once: dict[str, Unit | None] = {}
-        while new:
-            part, chars = [], 0
-            while new and chars < PORTION:
-                part.append(new.pop())
-                chars += len(part[-1])
-            for u, found in zip(part, self._aligned(part)):
-                (self.known if len(u) <= CACHED_CHARS else once)[u] = found
+        for part in portions(set().union(*(c for c in cut if c)).difference(known)):
+            found = self._aligned(part) or [one for u in part for one in self._aligned([u]) or [None]]
+            self.spoilt |= None in found
+            known.update(zip(part, found))
+            long += [u for u in part if len(u) > CACHED_CHARS]
         out = []
         for c in cut:
-            found = [self.known[u] if u in self.known else once[u] for u in c] if c else None
-            out.append(None if not found or None in found else found)
+            found = list(map(known.__getitem__, c)) if c else None
+            out.append(None if not found or self.spoilt and any(u is None for u in found) else found)
+        for u in long:
+            del known[u]
         return out
 
-    def _aligned(self, part: list[str]) -> Iterator[Unit | None]:
-        guarded = [GUARD + u for u in part]
-        before = len((MARK + GUARD).replace(MARK, " "))
-        for u, a, b in zip(part, self.a.encode_batch(part, add_special_tokens=False), self.b.encode(guarded, return_type="proto", num_threads=1)):
-            raw, a_ids, pieces = u.encode(), a.ids, list(b.pieces)
-            a_bytes = [self.a_bytes[i] for i in a_ids]
-            skip = at = 0
-            while at < before:  # the guard's own tokens
-                at += len(self.b_bytes[pieces[skip].id])
-                skip += 1
-            b_ids = [p.id for p in pieces[skip:]]
-            b_bytes = [self.b_bytes[i] for i in b_ids]
-            if at != before or b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                yield None
-                continue
-            spans = [end for _, end in a.offsets]
-            if len(raw) != len(u):
-                place = list(accumulate((len(c.encode()) for c in u), initial=0))
-                spans = [place[end] for end in spans]
-            a_ends = exact_ends(spans, map(len, a_bytes))
-            b_ends = exact_ends([p.end - len(GUARD) for p in pieces[skip:]], map(len, b_bytes))
-            yield _unit(a_ids, b_ids, a_ends, b_ends)
-
-
-def _unit(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> Unit:
-    """Walk along both rows of ends: each stretch between neighbouring ends of either is the overlap of one pair."""
-    pairs, told, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-    while i < len(a):
-        pairs.append(a[i] << 32 | b[j])
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            told.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            first_a, first_b = i, j
-    return Unit(len(a), len(b), len(told), np.array(pairs, np.int64).tobytes(), ";".join(told))
+    def _aligned(self, part: list[str]) -> list[Unit] | None:
+        """The units of a joined portion; None if the tokens of it do not spell it."""
+        text = "".join(part)
+        raw, before = text.encode(), len((MARK + GUARD).replace(MARK, " "))
+        a = self.a.encode(text, add_special_tokens=False)
+        pieces = [(p.id, p.end) for p in self.b.encode(GUARD + text, return_type="proto", num_threads=1).pieces]
+        skip = at = 0
+        while at < before:  # the guard's own tokens
+            at += len(self.b_bytes[pieces[skip][0]])
+            skip += 1
+        a_ids, b_ids, b_spans = a.ids, [i for i, _ in pieces[skip:]], [end for _, end in pieces[skip:]]
+        if at != before or any(b"".join(map(table.__getitem__, ids)) != raw for table, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids))):
+            return None
+        a_spans = np.array([end for _, end in a.offsets], np.int64)
+        if len(raw) != len(text):
+            a_spans = np.append(np.flatnonzero(np.diff(char_of_byte(raw), prepend=-1)), len(raw))[a_spans]
+        a_ends = exact_ends(a_spans, self.a_sizes[a_ids])
+        b_ends = exact_ends(np.array(b_spans, np.int64) - len(GUARD), self.b_sizes[b_ids])
+        return _units(a_ids, b_ids, a_ends, b_ends, np.cumsum([len(u.encode()) for u in part]))
+
+
+def _units(a: list[int], b: list[int], a_ends: np.ndarray, b_ends: np.ndarray, ends: np.ndarray) -> list[Unit]:
+    """Both rows of tokens met, and cut at ``ends``, where tokens of both end."""
+    # Each stretch between neighbouring ends of either kind is the overlap of exactly one pair of tokens.
+    stretches = np.union1d(a_ends, b_ends)
+    pairs = (np.array(a, np.int64)[np.searchsorted(a_ends, stretches)] << 32 | np.array(b, np.int64)[np.searchsorted(b_ends, stretches)]).tobytes()
+    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    told, i, j, a_told, b_told = [], 0, 0, list(map(str, a)), list(map(str, b))
+    for x, y in zip((np.searchsorted(a_ends, common) + 1).tolist(), (np.searchsorted(b_ends, common) + 1).tolist()):
+        told.append(f"{a_told[i]}|{b_told[j]}" if x - i == y - j == 1 else ",".join(a_told[i:x]) + "|" + ",".join(b_told[j:y]))
+        i, j = x, y
+    cuts = [[0, *(np.searchsorted(side, ends) + 1).tolist()] for side in (a_ends, b_ends, common, stretches)]
+    return [
+        Unit(a1 - a0, b1 - b0, g1 - g0, pairs[8 * s0:8 * s1], ";".join(told[g0:g1]))
+        for (a0, a1), (b0, b1), (g0, g1), (s0, s1) in zip(*map(pairwise, cuts))]
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -206,11 +208,9 @@ def _chunker(a_path: str, b_path: str, schema: pa.Schema, chunk_bytes: int):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for key, text, found in zip(batch.column(0).to_pylist(), texts, both.align(texts)):
-                found = found or []
-                p = np.frombuffer(b"".join([u.pairs for u in found]), np.int64)
-                groups = ";".join([u.told for u in found])
-                told.append((sum(u.n_a for u in found), sum(u.n_b for u in found), sum(u.n_groups for u in found), len(p),
-                             hashlib.sha256(groups.encode()).hexdigest() if found else ""))
+                n_a, n_b, n_groups, packed, groups = zip(*found) if found else ((), (), (), (), ())
+                p = np.frombuffer(b"".join(packed), np.int64)
+                told.append((sum(n_a), sum(n_b), sum(n_groups), len(p), hashlib.sha256(";".join(groups).encode()).hexdigest() if found else ""))
                 ids.append(key)
                 pairs.append(p)
                 size += len(text)
