@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from ..fixed_values import ERROR_KEYWORDS
 from ..functions import text as tx
 from ..functions import wordlists as wl
+from ..operators import mask, personal, vary
 from ..operators.anonymize import consistent_key
-from .queries import FORBIDDEN, KEYWORDS, THESAURUS
+from .queries import FORBIDDEN, KEYWORDS, MASK_RULES, THESAURUS
 
 
 def quoted(value: str) -> str:
@@ -400,3 +401,117 @@ ORACLE: dict[str, str] = {
     "io_splits": f"SELECT split, count(*) AS n FROM ({split_sql('customer', 'c_custkey', 0.8, 0.1, 0.1, 42)}) GROUP BY split",
     "io_statistics": "SELECT field, record_count, missing, type FROM (" + profile_sql("part", _part_fields, False) + ")",
 }
+
+
+# -- near-duplicates, variations, balance, personal data in values ----------------------------------
+
+def near_duplicates_sql(relation: str, key: str, text: str, words: int, percent: int) -> str:
+    """All pairs that share a shingle, and the closure of those within the similarity."""
+    return (
+        f"WITH RECURSIVE w AS MATERIALIZED (SELECT {key} AS k, regexp_extract_all(lower({text}), '{tx.TOKEN}') AS w FROM {relation}), "
+        f"s AS MATERIALIZED (SELECT k, unnest(CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {words - 2}), "
+        f"lambda i: array_to_string(w[i:i + {words - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s FROM w), "
+        "n AS MATERIALIZED (SELECT k, count(*) AS n FROM s GROUP BY k), "
+        "p AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.k <> y.k GROUP BY ALL), "
+        f"l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= {percent} * (x.n + y.n - c)), "
+        "r AS (SELECT k AS a, k AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) "
+        f"SELECT a AS {key}, min(b) AS representative, min(b) <> a AS is_near_duplicate FROM r GROUP BY a")
+
+
+def noise_sql(relation: str, key: str, field: str, rate: float) -> str:
+    """``key`` and the noisy field."""
+    part = f"substr(h[i // {vary.PER_HASH} + 1], i % {vary.PER_HASH} * 4 + 1, 4)"
+    swaps = lambda i: f"(k[{i} + 1] = 1 AND coalesce(CASE WHEN {i} > 0 THEN k[{i}] END, -1) <> 1 AND {i} + 1 < len(c))"
+    return (
+        f"(WITH c AS (SELECT {key}, {field}, regexp_extract_all({field}, '(?s).') AS c, {key} || ':noise:42:{field}' AS b FROM {relation}), "
+        f"h AS (SELECT *, list_transform(range(0, (len(c) + {vary.PER_HASH - 1}) // {vary.PER_HASH}), lambda j: md5(b || ':' || j)) AS h FROM c), "
+        f"k AS (SELECT *, list_transform(range(0, len(c)), lambda i: CASE WHEN {part} < '{round(rate * 65536):04x}' "
+        f"THEN ('0x' || {part})::INT % 3 ELSE -1 END) AS k FROM h) "
+        f"SELECT {key}, CASE WHEN {field} = '' THEN '' ELSE array_to_string(list_transform(range(0, len(c)), lambda i: "
+        f"CASE WHEN {swaps('i')} THEN c[i + 2] WHEN i > 0 AND {swaps('(i - 1)')} THEN c[i] WHEN k[i + 1] = 0 THEN '' "
+        f"WHEN k[i + 1] = 2 THEN c[i + 1] || c[i + 1] ELSE c[i + 1] END), '') END AS {field} FROM k)")
+
+
+def sentences_sql(relation: str, key: str, field: str, rest: str) -> str:
+    marks = f"[{vary.KEEP}{vary.END}{vary.NEXT}]"
+    marked = (f"regexp_replace(regexp_replace({field}, {quoted(vary.NO_END)}, '\\1.{vary.KEEP}', 'g'), {quoted(vary.BOUNDARY)}, "
+              f"'\\1{vary.END}\\2{vary.NEXT}\\3', 'g')")
+    return (
+        f"WITH p AS (SELECT *, regexp_split_to_array(replace({marked}, '{vary.KEEP}', ''), '[{vary.END}{vary.NEXT}]') AS p FROM {relation}), "
+        f"s AS (SELECT *, list_transform(list_sort(list_transform(range(0, (len(p) + 1) // 2), lambda i: "
+        f"md5({key} || ':sentences:42:{field}:' || i) || p[2 * i + 1])), lambda x: substr(x, 33)) AS s FROM p) "
+        f"SELECT {key}, CASE WHEN len(p) = 1 OR regexp_matches({field}, '{marks}') THEN {field} ELSE array_to_string(list_transform(range(1, len(s) + 1), "
+        f"lambda i: s[i] || coalesce(p[2 * i], '')), '') END AS {field}, {rest} FROM s")
+
+
+def balance_sql(relation: str, key: str, label: str, target: str, seed: int, columns: str) -> str:
+    return (
+        f"WITH c AS (SELECT {label} AS l, count(*) AS n FROM {relation} WHERE {label} IS NOT NULL GROUP BY 1), "
+        f"r AS (SELECT d.*, n, row_number() OVER (PARTITION BY {label} ORDER BY md5({key} || ':balance:{seed}')) AS rk "
+        f"FROM {relation} d LEFT JOIN c ON l = {label}), t AS (SELECT {target} AS t FROM c) "
+        f"SELECT {columns}, copy_no::INT AS copy_no FROM (SELECT *, unnest(range(0, CASE WHEN n IS NULL THEN 1 ELSE t // n + (rk <= t % n)::INT END)) AS copy_no "
+        "FROM r, t)")
+
+
+def personal_sql(relation: str, key: str, field: str) -> str:
+    """``key, field, kind, start, end, value`` of one field."""
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    at = lambda i: f"substr({digits}, {i}::INT, 1)::INT"
+    luhn = (f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 1 "
+            f"THEN 2 * {at('i')} - CASE WHEN {at('i')} > 4 THEN 9 ELSE 0 END ELSE {at('i')} END)) % 10 = 0")
+    flat = "replace(v, ' ', '')"
+    turned = f"regexp_extract_all(substr({flat}, 5) || substr({flat}, 1, 4), '.')"
+    mod = (f"list_reduce(list_transform({turned}, lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), "
+           f"lambda a, c: ((a || c)::BIGINT % 97)::VARCHAR, '0') = '1'")
+    valid = (
+        r"CASE kind WHEN 'email' THEN regexp_matches(v, '[.][A-Za-z]{2,}$') AND NOT regexp_matches(v, '[.][.]|^[.]|[.]@|@[.-]') "
+        rf"WHEN 'iban' THEN length({flat}) BETWEEN 15 AND 34 AND {mod} WHEN 'credit_card' THEN length({digits}) BETWEEN 13 AND 19 AND {luhn} "
+        r"WHEN 'ssn' THEN NOT regexp_matches(v, '^(?:000|666|9)|-00-|-0000$') "
+        rf"WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda x: x::INT)) <= 255 ELSE length({digits}) BETWEEN 8 AND 15 END")
+    kind = "CASE " + " ".join(f"WHEN regexp_full_match(v, '{p}') THEN '{k}'" for k, p in personal.PATTERNS.items()) + " END"
+    return (
+        f"(WITH p AS (SELECT {key}, regexp_split_to_array({field}, '{personal.ANY}') AS g, regexp_extract_all({field}, '{personal.ANY}') AS m "
+        f"FROM {relation} WHERE regexp_matches({field}, '{personal.ANY}')), "
+        f"i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM p), "
+        f"v AS (SELECT {key}, m[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS start, "
+        f"CASE WHEN g[i] = '' THEN i = 1 ELSE NOT regexp_matches(right(g[i], 1), '[A-Za-z0-9]') END AND "
+        f"CASE WHEN g[i + 1] = '' THEN i = len(m) ELSE NOT regexp_matches(left(g[i + 1], 1), '[A-Za-z0-9]') END AS alone FROM i), "
+        f"k AS (SELECT *, {kind} AS kind FROM v) "
+        f"SELECT {key}, '{field}' AS field, kind, start, (start + length(v))::INT AS \"end\", v AS value FROM k WHERE alone AND {valid})")
+
+
+def mask_sql(relation: str, field: str, columns: str, rules: Sequence[mask.MaskRule]) -> str:
+    any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
+
+    def new(r: mask.MaskRule) -> str:
+        if r.replacement is not None:
+            return f"regexp_replace(v, {quoted(f'^(?:{r.pattern})$')}, {quoted(r.replacement)})"
+        size = f"greatest(length(v) - {r.keep_last}, 0)"
+        hidden = f"substr(v, 1, {size})"
+        for shape, sign in mask.FORMAT:
+            hidden = f"regexp_replace({hidden}, '{shape}', '{sign}', 'g')"
+        return f"{hidden} || substr(v, {size} + 1)"
+
+    cases = " ".join(f"WHEN regexp_full_match(v, {quoted(r.pattern)}) THEN {new(r)}" for r in rules)
+    return (
+        f"WITH p AS (SELECT *, regexp_split_to_array({field}, {quoted(any_rule)}) AS g, regexp_extract_all({field}, {quoted(any_rule)}) AS m FROM {relation}) "
+        f"SELECT {columns}, CASE WHEN len(m) = 0 THEN {field} ELSE array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || "
+        f"coalesce(list_transform(m[i:i], lambda v: CASE {cases} END)[1], '')), '') END AS {field} FROM p")
+
+
+ORACLE |= {
+    "near_duplicates": near_duplicates_sql("documents", "doc_id", "coalesce(text, '')", 5, 80),
+    "near_duplicates_fields": near_duplicates_sql("pages", "page_id", "concat_ws(' ', url, html)", 3, 70),
+    "augment_noise": (
+        f"SELECT d.doc_id, n.text, d.lang, m.source, d.n_chars FROM documents d JOIN {noise_sql('documents', 'doc_id', 'text', 0.02)} n USING (doc_id) "
+        f"JOIN {noise_sql('documents', 'doc_id', 'source', 0.02)} m USING (doc_id)"),
+    "augment_sentences": sentences_sql("documents", "doc_id", "text", "lang, source, n_chars"),
+    "balance_largest": balance_sql("labels", "doc_id", "toxic", "max(n)", 42, "doc_id, quality, toxic"),
+    "balance_smallest": balance_sql("documents", "doc_id", "lang", "min(n)", 7, "doc_id, text, lang, source, n_chars"),
+    "balance_number": balance_sql(LABELLED, "doc_id", "quality", "DISTINCT 101", 42, "doc_id, text, lang, source, n_chars, quality, toxic"),
+    "personal_values": f"{personal_sql('documents', 'doc_id', 'text')} UNION ALL {personal_sql('documents', 'doc_id', 'source')}",
+    "personal_report": (
+        "SELECT field, kind, sum(n)::BIGINT AS places, count(*) AS records FROM (SELECT doc_id, field, kind, count(*) AS n FROM ("
+        + personal_sql("documents", "doc_id", "text") + " UNION ALL " + personal_sql("documents", "doc_id", "lang") + ") GROUP BY ALL) GROUP BY ALL"),
+    "mask_patterns": mask_sql("documents", "text", "doc_id, lang, source, n_chars", MASK_RULES),
+}

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import nested_paths, set_path, suggest_mapping
 from ..operators import (
-    anonymize, augment, duplicates, edit, generate, profile, project, repair, rules, split, textscan, validate)
+    anonymize, augment, balance, duplicates, edit, generate, mask, near_duplicates as near, personal, profile, project, repair, rules,
+    split, textscan, validate, vary)
 from ..session import scratch_folder, spread
 from ..sources import convert, read, read_records, write, write_splits
 
@@ -575,6 +576,70 @@ def anonymize_count(spark, folder):
     return anonymize.sensitive_report(labelled(spark, folder), {"quality": "id", "source": "name"})
 
 
+# -- near-duplicates, variations, balance, personal data in values ----------------------------------
+
+@query
+def near_duplicates(spark, folder):
+    return near.near_duplicates(table(spark, folder, "documents"), ["text"], "doc_id")
+
+
+@query
+def near_duplicates_fields(spark, folder):
+    """Pages by their address and source text, three words, at 0.7."""
+    return near.near_duplicates(table(spark, folder, "pages"), ["url", "html"], "page_id", words=3, percent=70)
+
+
+@query
+def augment_noise(spark, folder):
+    return vary.add_noise(table(spark, folder, "documents"), ["text", "source"], "doc_id", rate=0.02)
+
+
+@query
+def augment_sentences(spark, folder):
+    return vary.reorder_sentences(table(spark, folder, "documents"), ["text"], "doc_id")
+
+
+@query
+def balance_largest(spark, folder):
+    return balance.balance(table(spark, folder, "labels"), "toxic", "doc_id")
+
+
+@query
+def balance_smallest(spark, folder):
+    return balance.balance(table(spark, folder, "documents"), "lang", "doc_id", "smallest", seed=7)
+
+
+@query
+def balance_number(spark, folder):
+    """A hundred and one rows of each label; unlabelled documents stay."""
+    return balance.balance(labelled(spark, folder), "quality", "doc_id", 101)
+
+
+@query
+def personal_values(spark, folder):
+    return personal.detect_personal(table(spark, folder, "documents"), ["text", "source"], "doc_id")
+
+
+@query
+def personal_report(spark, folder):
+    return personal.personal_report(table(spark, folder, "documents"), ["text", "lang"], "doc_id")
+
+
+#: Ordered: the second rule would also take the digits of the first, the fourth those of all.
+MASK_RULES = [
+    mask.MaskRule(r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9.-]*[A-Za-z])", r"***@\2"),
+    mask.MaskRule(r"([0-9]{1,3})[.]([0-9]{1,3})[.][0-9]{1,3}[.][0-9]{1,3}", r"\1.\2.*.*"),
+    mask.MaskRule(r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", keep_last=4),
+    mask.MaskRule(r"[+]?[0-9][0-9 ().-]{6,}[0-9]"),
+    mask.MaskRule(r"(?i)(secret|password|token)([\"' :=]+)[A-Za-z0-9+/_.=-]{8,}", r"\1\2[removed]"),
+]
+
+
+@query
+def mask_patterns(spark, folder):
+    return mask.mask_fields(table(spark, folder, "documents"), ["text"], MASK_RULES)
+
+
 # -- split and generate --------------------------------------------------------------------------
 
 @query
