@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import plain, rows_at_once, written
-from .components import components
+from ..operators.components import components
 
 WORDS = 3
 #: Similarity in per cent.
