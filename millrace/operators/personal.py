@@ -26,6 +26,8 @@ PATTERNS = {
     "phone": r"[+][0-9]{1,3}[ .-]?[(]?[0-9]{1,4}[)]?(?:[ .-]?[0-9]{2,4}){1,4}|[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: The same for Spark, where a run of signs that no @ follows must not be tried from each of its signs.
+SCAN = r"(?:(?<![A-Za-z0-9._%+-])" + ANY.removeprefix("(?:")
 #: Cheap test that every kind passes.
 HINT = r"[@0-9]"
 
@@ -83,9 +85,9 @@ def personal_spans(text: Column) -> Column:
              & F.when(F.get(p, i + 1)["gap"] == "", i + 2 == F.size(p)).otherwise(~F.left(F.get(p, i + 1)["gap"], F.lit(1)).rlike("[A-Za-z0-9]"))
              ).alias("alone"))))
 
-    kept = F.filter(tx.once(pieces(text, ANY), candidates), lambda c: c["alone"] & is_valid(c["kind"], c["value"]))
+    kept = F.filter(tx.once(pieces(text, SCAN), candidates), lambda c: c["alone"] & is_valid(c["kind"], c["value"]))
     spans = F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value")))
-    return F.when(text.rlike(HINT) & text.rlike(ANY), spans).otherwise(
+    return F.when(text.rlike(HINT) & text.rlike(SCAN), spans).otherwise(
         F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
 
 

@@ -175,7 +175,7 @@ def test_personal_spans(spark, text, found):
 def test_personal_data_in_many_places(spark):
     """Twenty thousand addresses in one text, long runs of one sign, nulls."""
     text = " ".join(f"u{i}@x.org" for i in range(20_000))
-    df = spark.createDataFrame([(1, text), (2, None), (3, "a." * 100_000 + "@" + "b." * 100_000), (4, "1 " * 100_000)], "id int, t string")
+    df = spark.createDataFrame([(1, text), (2, None), (3, "a." * 100_000 + "@" + "b." * 100_000), (4, "1 " * 100_000), (5, "@ " + "a" * 400_000)], "id int, t string")
     got = personal.detect_personal(df, ["t"], "id").groupBy("id").agg(F.count("*").alias("n"), F.max("end").alias("e")).collect()
     assert [(r["id"], r["n"], r["e"]) for r in got] == [(1, 20_000, len(text))]
 
