@@ -49,7 +49,8 @@ TEMPLATES |= {f"CC-{short}-{version}": (
 UNKNOWN = "unknown"
 TELLING = r"(?i)licen[sc]|copyright|all rights reserved|spdx|permission is hereby|redistribut|public domain|creative commons|\bcc0\b|\bcc[ -]by\b|permission to use"
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice)([.].*)?$"
-TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: A run of letters, digits, dots and hyphens between two letters or digits; a flat class, as long runs overflow a group's stack.
+TERM = r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"
 
 
 def _terms(text: str) -> list[str]:
