@@ -20,6 +20,8 @@ BUCKETS = 1 << 16
 #: Share of the trusted documents that may score below the threshold, and the steps to the unit it is told in.
 SHARE = 0.001
 STEPS = 1000
+#: Bits of the filter that keeps texts from travelling; 8 MB.
+FILTER_BITS = 1 << 26
 #: Occurrences added to every bucket of either multinomial.
 SMOOTHING = 1.0
 SPACE = r"[\x20\x09-\x0D]+"
@@ -67,12 +69,35 @@ def _trusted_ids(trusted: DataFrame) -> DataFrame:
     return trusted.select(trusted[trusted.columns[0]].alias("id")).filter("id IS NOT NULL").distinct()
 
 
+def _maybe_trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds ``maybe``: false only for ids that are surely not among ``ids``.
+
+    A Bloom filter of ``FILTER_BITS`` bits, made by Spark's bitmap aggregate: 4 KB for each of a fixed number of
+    places, so its size has a bound whatever the tables hold.
+    """
+    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long")
+    bits = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("place")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    marked = docs.withColumn("spot", spot).withColumn("place", F.bitmap_bucket_number("spot")).join(F.broadcast(bits), "place", "left")
+    at = F.bitmap_bit_position("spot")
+    byte = F.conv(F.hex(F.substr(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    return marked.select("id", "text", F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
 def _gram_counts(documents: DataFrame, trusted: DataFrame, doc_id: str, text: str, buckets: int) -> list[list[int]]:
-    """Occurrences by bucket in either half of the trusted documents and in all others."""
-    docs = plain(documents, id=doc_id, text=text)
-    parted = docs.join(_trusted_ids(trusted).withColumn("half", _half(F.col("id"))), "id", "left")
+    """Occurrences by bucket in either half of the trusted documents and in all others.
+
+    Only texts that may be trusted are shuffled to their ids, at every size by the same merge join; all
+    others are counted where they are read.
+    """
+    ids = _trusted_ids(trusted).withColumn("half", _half(F.col("id")))
+    docs = _maybe_trusted(plain(documents, id=doc_id, text=text), ids)
+    asked = docs.filter("maybe").select("id", "text").join(ids.hint("merge"), "id", "left")
+    parted = asked.select(F.coalesce("half", F.lit(2)).alias("part"), "text").unionByName(
+        docs.filter("NOT maybe").select(F.lit(2).alias("part"), "text"))
     counts = [[0] * buckets for _ in range(3)]
-    for r in parted.select(F.coalesce("half", F.lit(2)).alias("part"), F.explode(let(words(F.col("text")), lambda w: grams(w, buckets))).alias("b")).groupBy(
+    for r in parted.select("part", F.explode(let(words(F.col("text")), lambda w: grams(w, buckets))).alias("b")).groupBy(
             "part", "b").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["part"]][r["b"]] = r["n"]
     return counts
