@@ -7,6 +7,7 @@ per task.  Value counts unpivot first, so that all fields share one scan and one
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -191,22 +192,38 @@ def missing_patterns(df: DataFrame, fields: Sequence[str] | None = None) -> Data
     return df.groupBy(F.concat_ws(",", *flags).alias("missing_fields")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _narrow(value: Column, data_type: T.DataType) -> list[Column]:
+    """What tells values of one field apart: the value itself, or 128 bits of hashes where it may be long."""
+    if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType, T.BinaryType)):
+        return [F.xxhash64(value).alias("a"), F.xxhash64(F.lit("second"), value).alias("b")]
+    return [value.alias("a")]
+
+
 def unique_counts(df: DataFrame, fields: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """``field, unique_count`` over non-null values.
 
-    Exact by default, which shuffles the distinct values of every field; ``approximate=True`` keeps
-    a sketch per field instead.  Either way it is one aggregate over one scan.
+    Exact by default: each field is a small aggregate of its own, which reads that column alone, makes
+    values distinct in the tasks, and shuffles them, or 128-bit hashes of texts.  No row is multiplied by
+    the number of fields.  A source without columns (CSV, JSON) is read once for each field and better written
+    as Parquet first.  ``approximate=True`` keeps a sketch per field in one scan instead.
     """
     fields = list(fields) if fields is not None else df.columns
-
-    def value(field: str) -> Column:
-        data_type = df.schema[field].dataType
-        return ty.as_text(top(field), data_type) if ty.type_label(data_type) in ("array", "object", "unknown") else top(field)
-
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    row = df.agg(*[count(value(f)).alias(f"u{i}") for i, f in enumerate(fields)])
-    return _one_row_per_field(row, [
-        F.struct(F.lit(f).alias("field"), F.col(f"u{i}").alias("unique_count")) for i, f in enumerate(fields)])
+    value, kind = {}, {}
+    for f in fields:
+        data_type = df.schema[f].dataType
+        contained = ty.type_label(data_type) in ("array", "object", "unknown")
+        value[f] = ty.as_text(top(f), data_type) if contained else top(f)
+        kind[f] = T.StringType() if contained else data_type
+    if approximate:
+        row = df.agg(*[F.approx_count_distinct(value[f]).alias(f"u{i}") for i, f in enumerate(fields)])
+        return _one_row_per_field(row, [
+            F.struct(F.lit(f).alias("field"), F.col(f"u{i}").alias("unique_count")) for i, f in enumerate(fields)])
+    counted = []
+    for f in fields:
+        narrow = df.filter(value[f].isNotNull()).select(*_narrow(value[f], kind[f]))
+        distinct = narrow.groupBy(*narrow.columns).agg(F.lit(1).alias("one"))
+        counted.append(distinct.agg(F.lit(f).alias("field"), F.count(F.lit(1)).alias("unique_count")))
+    return reduce(DataFrame.unionByName, counted)
 
 
 def correlations(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:

@@ -66,3 +66,15 @@ def test_correlation(spark):
 def test_ties_with_one_head_keep_k(spark):
     texts = spark.range(20000).select(F.concat(F.lit("x" * 40), F.col("id").cast("string")).alias("text"))
     assert profile.top_values(texts, ["text"], k=5, long_texts=["text"]).count() == 5
+
+
+def test_unique_counts_of_all_kinds(spark):
+    df = spark.createDataFrame(
+        [(1, 0.0, None, [1], "a"), (2, -0.0, None, [1], "b"), (2, float("nan"), None, None, "a" * 9999), (None, float("nan"), None, [2], None)],
+        "a int, b double, c string, d array<int>, one string")
+    from millrace.operators import profile
+
+    assert {r["field"]: r["unique_count"] for r in profile.unique_counts(df).collect()} == {"a": 2, "b": 2, "c": 0, "d": 2, "one": 3}
+    assert {r["unique_count"] for r in profile.unique_counts(df.limit(0)).collect()} == {0}
+    near = {r["field"]: r["unique_count"] for r in profile.unique_counts(df, ["a", "one"], approximate=True).collect()}
+    assert near == {"a": 2, "one": 3}
