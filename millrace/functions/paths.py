@@ -67,6 +67,36 @@ def read_text(schema: T.StructType, path: str, default: str = "") -> Column:
     return text if "." not in path else F.when(present, text).otherwise(F.lit(default))
 
 
+def leaf_type(schema: T.StructType, path: str | None) -> T.DataType:
+    """Type of a path; text where no record can have it."""
+    found = resolve(schema, path) if path is not None else None
+    return T.StringType() if found is None else found[2]
+
+
+def as_variant(value: Column, data_type: T.DataType) -> Column:
+    if isinstance(data_type, T.VariantType):
+        return value
+    if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_variant_object(value)
+    return value.cast("variant")
+
+
+def read_native(schema: T.StructType, path: str, mixed: bool = False, default: str = "") -> Column:
+    """Value of a path with its own type, NULL where it is null, and the default for missing texts.
+
+    With ``mixed`` it is a VARIANT, which holds the default where a value of any type is missing; otherwise
+    a missing number, list or object is NULL.
+    """
+    found = resolve(schema, path)
+    if found is None:
+        return F.lit(default).cast("variant") if mixed else F.lit(default)
+    value, present, data_type = found
+    fallback = F.lit(default) if isinstance(data_type, T.StringType) else F.lit(None)
+    if mixed or isinstance(data_type, T.VariantType):
+        value, fallback = as_variant(value, data_type), F.lit(default).cast("variant")
+    return value if "." not in path else F.when(present, value).otherwise(fallback)
+
+
 def get_path(df: DataFrame, path: str, default: Column | None = None) -> Column:
     """Value of a path with its own type; ``default`` (or NULL) where it is missing."""
     found = resolve(df.schema, path)

@@ -40,12 +40,27 @@ def template_schema(template: str | Mapping) -> T.StructType:
     return walk(template_structure(template))
 
 
+def _leaf_paths(node: Mapping, prefix: str = "") -> list[str]:
+    """Every leaf of a template, list positions included."""
+    found = []
+    for key, child in node.items():
+        path = prefix + key
+        if isinstance(child, Mapping):
+            found += _leaf_paths(child, path + ".")
+        elif paths.is_object_list(child):
+            found += [p for i, e in enumerate(child) for p in _leaf_paths(e, f"{path}[{i}].")]
+        else:
+            found.append(path)
+    return found
+
+
 def map_to_template(
     df: DataFrame,
     template: str | Mapping,
     mapping: Mapping[str, str],
     literals: str = "blank",
     keep: Sequence[str] = (),
+    types: str = "text",
 ) -> DataFrame:
     """Fill a template from dotted input paths.
 
@@ -53,6 +68,9 @@ def map_to_template(
     ``messages[0].content``, and ``messages[*].content`` stands for every position.  A leaf that
     is not mapped, or whose input is missing, becomes ``""``; ``literals="keep"`` leaves the
     template's own text (such as a role) in unmapped leaves.  ``keep`` columns come first.
+    ``types="native"`` lets mapped leaves keep their type, numbers, booleans, lists and objects; leaves that
+    differ in type between the positions of a list become VARIANT.  Missing texts are then ``""`` and other
+    missing values NULL; ``types="variant"`` makes every mapped leaf a VARIANT and every missing one ``""``.
     The result is a narrow projection: no shuffle, only mapped columns are read, and it works on
     streams as well.
     """
@@ -60,13 +78,23 @@ def map_to_template(
         raise ValueError("Template and field mapping must be set before processing")
     if literals not in ("blank", "keep"):
         raise ValueError("literals must be 'blank' or 'keep'")
+    if types not in ("text", "native", "variant"):
+        raise ValueError("types must be 'text', 'native' or 'variant'")
     structure = template_structure(template)
+    anywhere = lambda path: re.sub(r"\[\d+\]", "[*]", path)
+    source_of = lambda path: mapping.get(path, mapping.get(anywhere(path)))
+    #: Types that a leaf has at the positions of a list.
+    seen: dict[str, set[str]] = {}
+    for path in _leaf_paths(structure):
+        seen.setdefault(anywhere(path), set()).add(paths.leaf_type(df.schema, source_of(path)).simpleString())
 
     def leaf(path: str, literal: object) -> Column:
-        source = mapping.get(path, mapping.get(re.sub(r"\[\d+\]", "[*]", path)))
+        source, mixed = source_of(path), types == "variant" or types == "native" and len(seen[anywhere(path)]) > 1
         if source is not None:
-            return paths.read_text(df.schema, source)
-        return F.lit(str(literal) if literals == "keep" and literal is not None else "")
+            return paths.read_text(df.schema, source) if types == "text" else paths.read_native(df.schema, source, mixed)
+        text = F.lit(str(literal) if literals == "keep" and literal is not None else "")
+        in_list_of_variants = mixed and (types == "native" or any(source_of(p) for p in _leaf_paths(structure) if anywhere(p) == anywhere(path)))
+        return text.cast("variant") if in_list_of_variants else text
 
     def build(node: Mapping, prefix: str) -> list[Column]:
         columns = []

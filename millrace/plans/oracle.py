@@ -500,6 +500,10 @@ def mask_sql(relation: str, field: str, columns: str, rules: Sequence[mask.MaskR
 
 
 ORACLE |= {
+    "template_native": (
+        "SELECT doc_id, n_chars + 1 AS chars, n_chars > 1000 AS long, len(regexp_split_to_array(source, '[./-]'))::INT AS n_words, "
+        "regexp_split_to_array(source, '[./-]')[1] AS word, '' AS nothing, 'size' AS name_0, 'lang' AS name_1, quality::INT AS value_0, lang AS value_1, "
+        f"CASE WHEN quality IS NOT NULL THEN 'BIGINT' END AS type_0, CASE WHEN lang IS NOT NULL THEN 'STRING' END AS type_1 FROM {LABELLED}"),
     "near_duplicates": near_duplicates_sql("documents", "doc_id", "coalesce(text, '')", 5, 80),
     "near_duplicates_fields": near_duplicates_sql("pages", "page_id", "concat_ws(' ', url, html)", 3, 70),
     "augment_noise": (

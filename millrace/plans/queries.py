@@ -135,6 +135,24 @@ def template_custom(spark, folder):
         F.col("parts")[1]["name"].alias("name_1"), F.col("parts")[1]["value"].alias("value_1"))
 
 
+@query
+def template_native(spark, folder):
+    """Leaves with their own types: numbers, booleans and lists, and a list whose positions differ in type."""
+    own = {"meta": {"chars": "", "long": "", "words": "", "nothing": ""}, "parts": [{"name": "size", "value": ""}, {"name": "lang", "value": ""}]}
+    docs = labelled(spark, folder).select(
+        "doc_id", "n_chars", "quality", "lang", (F.col("n_chars") > 1000).alias("long"), F.split("source", "[./-]").alias("words"))
+    mapped = project.map_to_template(docs, own, {
+        "meta.chars": "n_chars", "meta.long": "long", "meta.words": "words", "meta.nothing": "nowhere",
+        "parts[0].value": "quality", "parts[1].value": "lang"}, literals="keep", keep=["doc_id"], types="native")
+    part = lambda i: F.col("parts")[i]["value"]
+    return mapped.select(
+        "doc_id", (F.col("meta.chars") + 1).alias("chars"), F.col("meta.long").alias("long"), F.size("meta.words").alias("n_words"),
+        F.element_at("meta.words", 1).alias("word"), F.col("meta.nothing").alias("nothing"),
+        *[F.col("parts")[i]["name"].alias(f"name_{i}") for i in range(2)],
+        F.variant_get(part(0), "$", "int").alias("value_0"), F.variant_get(part(1), "$", "string").alias("value_1"),
+        *[F.schema_of_variant(part(i)).alias(f"type_{i}") for i in range(2)])
+
+
 @query
 def nested_path(spark, folder):
     events = table(spark, folder, "events").withColumn("props", F.parse_json("props"))

@@ -87,3 +87,28 @@ def test_preview(spark):
     df = spark.range(150).withColumn("t", F.when(F.col("id") > 0, F.lit("x")))
     shown = project.preview(df, order_by=["id"])
     assert shown.count() == 100 and tuple(shown.first()) == ("0", "")
+
+
+def test_native_types(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import project
+
+    df = spark.createDataFrame([(1, True, [1, 2], ("x", 5)), (2, None, None, None)], "n int, flag boolean, items array<int>, nested struct<a:string,b:int>")
+    template = {"n": "", "flag": "", "items": "", "deep": {"a": "", "b": "", "second": ""}, "none": "", "parts": [{"v": "", "w": "k"}, {"v": "", "w": ""}]}
+    mapping = {"n": "n", "flag": "flag", "items": "items", "deep.a": "nested.a", "deep.b": "nested.b", "deep.second": "items.1", "none": "no.where",
+               "parts[0].v": "n", "parts[1].v": "nested.a", "parts[*].w": "n"}
+    got = project.map_to_template(df, template, mapping, types="native")
+    kinds = {f.name: f.dataType.simpleString() for f in got.schema.fields}
+    assert kinds["n"] == "int" and kinds["flag"] == "boolean" and kinds["items"] == "array<int>" and kinds["none"] == "string"
+    assert kinds["deep"] == "struct<a:string,b:int,second:int>" and kinds["parts"] == "array<struct<v:variant,w:int>>"
+    first, second = got.orderBy("n").collect()
+    assert (first["n"], first["flag"], first["items"], tuple(first["deep"])) == (1, True, [1, 2], ("x", 5, 2))
+    assert (second["flag"], second["items"], tuple(second["deep"]), second["none"]) == (None, None, ("", None, None), "")
+    assert [[str(v["v"].toPython()) for v in r["parts"]] for r in (first, second)] == [["1", "x"], ["2", ""]]
+    whole = project.map_to_template(df, template, mapping, types="variant").orderBy(F.col("n").cast("int"))
+    assert [r["deep"]["b"].toPython() for r in whole.collect()] == [5, ""]
+    import pytest
+
+    with pytest.raises(ValueError):
+        project.map_to_template(df, template, mapping, types="other")
