@@ -110,8 +110,8 @@ def top_sql(relation: str, fields: Sequence[str], k: int = 5) -> str:
 
 
 LABELLED = "(SELECT * FROM documents LEFT JOIN labels USING (doc_id))"
-PAIRS = ("(SELECT u.conv_id, u.turn, u.text AS ask, a.text AS reply FROM conversations u JOIN conversations a "
-         "ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')")
+PAIRS = ("(SELECT u.conv_id, u.turn, u.text AS ask, a.text AS reply FROM conversations u LEFT JOIN conversations a "
+         "ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')")
 LABEL_KEYS = "CASE WHEN quality IS NULL THEN 'doc_id,lang,source' ELSE 'doc_id,lang,quality,source,toxic' END"
 CODE_TYPE = "CASE event_type WHEN 'signup' THEN 'string' WHEN 'error' THEN NULL ELSE 'number' END"
 CODE_TEXT = "CASE event_type WHEN 'signup' THEN '\"u' || user_id || '\"' WHEN 'error' THEN 'null' ELSE user_id::VARCHAR END"
@@ -162,7 +162,7 @@ def _message_shuffle(column: str, i: int) -> str:
     base = f"pair || ':shuffle:42:' || copy_no || ':messages:{i}:content:'"
     middle = (f"list_transform(list_sort(list_transform(range(2, len({words}) - 2), lambda p: "
               f"struct_pack(h := md5({base} || (p - 2)), i := p, v := {words}[p + 1]))), lambda s: s.v)")
-    return (f"CASE WHEN copy_no = 0 OR len({words}) <= 6 THEN {column} ELSE array_to_string(list_concat(list_concat("
+    return (f"CASE WHEN {column} IS NULL OR copy_no = 0 OR len({words}) <= 6 THEN {column} ELSE array_to_string(list_concat(list_concat("
             f"{words}[1:2], {middle}), {words}[len({words}) - 1:len({words})]), ' ') END")
 
 
@@ -279,8 +279,8 @@ ORACLE: dict[str, str] = {
     "not_objects": "SELECT event_id AS row_key, 'number' AS type FROM events WHERE event_type = 'error'",
     # rules
     "rule_required": " UNION ALL ".join(
-        finding("doc_id", f, "Required", f"{f}::VARCHAR", "", LABELLED, f"{f} IS NULL" + (f" OR NOT regexp_matches({f}, '[^{tx.WS}]')" if f in ("lang", "source") else ""))
-        for f in ("lang", "source", "n_chars", "quality", "toxic")),
+        finding("doc_id", f, "Required", f"{f}::VARCHAR", "", LABELLED, f"{f} IS NULL" + (f" OR NOT regexp_matches({f}, '[^{tx.WS}]')" if f in ("text", "lang", "source") else ""))
+        for f in ("text", "lang", "source", "n_chars", "quality", "toxic")),
     "rule_type": finding("c_custkey", "c_acctbal", "Type Check", "c_acctbal::VARCHAR", "boolean", "customer", "c_acctbal IS NOT NULL"),
     "rule_type_variant": finding("event_id", "code", "Type Check", "'\"u' || user_id || '\"'", "number", "events", "event_type = 'signup'"),
     "rule_regex": finding("p_partkey", "p_name", "Regex Match", "p_name", "^[a-m].*(t|g)$", "part", "NOT regexp_matches(p_name, '^[a-m].*(t|g)$')"),

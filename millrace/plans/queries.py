@@ -41,12 +41,12 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """User turns with the assistant turn that follows; joined on the unique (conversation, turn)."""
+    """User turns with the assistant turn that follows, NULL where none does; joined on the unique (conversation, turn)."""
     talk = table(spark, folder, "conversations")
     asked = talk.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("ask"))
     replied = talk.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    return asked.join(replied, ["conv_id", "turn"])
+    return asked.join(replied, ["conv_id", "turn"], "left")
 
 
 def label_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -331,7 +331,7 @@ def _check(df: DataFrame, key: str, *rule_list: dict) -> DataFrame:
 
 @query
 def rule_required(spark, folder):
-    return _check(labelled(spark, folder).drop("text"), "doc_id", {"field": "ALL_FIELDS", "type": "Required"})
+    return _check(labelled(spark, folder), "doc_id", {"field": "ALL_FIELDS", "type": "Required"})
 
 
 @query
