@@ -500,6 +500,9 @@ def mask_sql(relation: str, field: str, columns: str, rules: Sequence[mask.MaskR
 
 
 ORACLE |= {
+    "io_splits_formats": (
+        "SELECT format, split, count(*) AS n, sum(length(c_name))::BIGINT AS chars FROM (SELECT unnest(['csv', 'tsv', 'json', 'txt', 'xml']) AS format) "
+        f"CROSS JOIN ({split_sql('customer', 'c_custkey', 0.8, 0.1, 0.1, 42)}) JOIN customer USING (c_custkey) GROUP BY ALL"),
     "template_native": (
         "SELECT doc_id, n_chars + 1 AS chars, n_chars > 1000 AS long, len(regexp_split_to_array(source, '[./-]'))::INT AS n_words, "
         "regexp_split_to_array(source, '[./-]')[1] AS word, '' AS nothing, 'size' AS name_0, 'lang' AS name_1, quality::INT AS value_0, lang AS value_1, "

@@ -7,6 +7,7 @@ of plain columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -869,6 +870,21 @@ def io_splits(spark, folder):
     return read(spark, path, "parquet").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def io_splits_formats(spark, folder):
+    """Whole customers split and written in five formats; what comes back from each part."""
+    parts, counted = split.split_dataset(table(spark, folder, "customer"), "c_custkey"), []
+    for fmt in ("csv", "tsv", "json", "txt", "xml"):
+        path = scratch_folder(spark)
+        write_splits(parts, path, fmt)
+        for name in ("train", "valid", "test"):
+            back = read(spark, f"{path}/split={name}", fmt)
+            chars = F.get_json_object("text", "$.c_name") if fmt == "txt" else F.col("c_name")
+            counted.append(back.agg(F.lit(fmt).alias("format"), F.lit(name).alias("split"), F.count(F.lit(1)).alias("n"),
+                                    F.sum(F.length(chars)).alias("chars")))
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query
 def io_statistics(spark, folder):
     path = scratch_folder(spark)

@@ -74,11 +74,24 @@ def write_auto(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_splits(split: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write the parts of a split dataset to ``path/split=<name>`` in one job."""
-    if fmt not in ("parquet", "jsonl"):
-        raise ValueError("splits are written as parquet or jsonl")
-    writer = split.write.mode(mode).partitionBy("split")
-    writer.parquet(path) if fmt == "parquet" else writer.options(**_JSON).json(path)
+    """Write the parts of a split dataset to ``path/split=<name>``, in any format that ``write`` knows.
+
+    Formats that Spark partitions itself take one job; of the others, whose files are documents with a start and
+    an end, and of tables each part is a job of its own.  Rows without a split are in no part.
+    """
+    named = split.filter(top("split").isNotNull())
+    if fmt in ("parquet", "jsonl", "csv", "tsv"):
+        rows = named if fmt in ("parquet", "jsonl") else named.select(*[_flat(f) for f in named.schema.fields])
+        writer = rows.write.mode(mode).partitionBy("split")
+        if fmt == "parquet":
+            writer.parquet(path)
+        elif fmt == "jsonl":
+            writer.options(**_JSON).json(path)
+        else:
+            writer.csv(path, header=True, sep="\t" if fmt == "tsv" else ",", escape='"')
+        return
+    for name in sorted(r["split"] for r in named.select("split").distinct().collect()):  # a handful of names
+        write(named.filter(top("split") == name).drop("split"), f"{path.rstrip('/')}/split={name}", fmt, mode)
 
 
 def json_arrays(df: DataFrame) -> DataFrame:

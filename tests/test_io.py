@@ -206,6 +206,19 @@ def test_splits(spark, tmp_path):
     assert sorted(p for p in os.listdir(tmp_path / "s") if p.startswith("split=")) == ["split=test", "split=train"]
 
 
+@pytest.mark.parametrize("fmt", ["json", "yaml", "xml", "csv", "tsv", "txt", "parquet"])
+def test_splits_in_every_format(spark, tmp_path, fmt):
+    parts = spark.range(10).withColumn("split", F.when(F.col("id") < 7, "train").when(F.col("id") < 9, "test"))
+    write_splits(parts, str(tmp_path / "s"), fmt)
+    assert sorted(p for p in os.listdir(tmp_path / "s") if p.startswith("split=")) == ["split=test", "split=train"]
+    counts = [read(spark, str(tmp_path / "s" / f"split={name}"), fmt).count() for name in ("train", "test")]
+    assert counts == [7, 2]
+    with pytest.raises(Exception):
+        write_splits(parts, str(tmp_path / "s"), fmt)
+    write_splits(parts.filter("id < 8"), str(tmp_path / "s"), fmt, "overwrite")
+    assert read(spark, str(tmp_path / "s" / "split=test"), fmt).count() == 1
+
+
 def test_gated_formats_say_what_they_need(spark, mixed, tmp_path):
     with pytest.raises(RuntimeError, match="spark-avro"):
         read(spark, str(tmp_path), "avro")
