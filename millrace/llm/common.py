@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-__all__ = ["blank", "plain", "rows_at_once", "single_threaded", "table", "written"]
+__all__ = ["blank", "plain", "rows_at_once", "single_threaded", "table", "unused", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name for a working column that no column of the input has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def blank(column: Column) -> Column:
     """The text, or "" where it is null."""
     return F.coalesce(column, F.lit(""))

@@ -1,26 +1,28 @@
 """Benchmark passages in documents, found with one Aho-Corasick automaton.
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and everything beyond ASCII.
-A pattern is 13 consecutive words of a benchmark item, or a whole item that is shorter.  The words of
-a document are joined by single blanks and run through the automaton once; every occurrence gives
-back the words, and by them the place in the original text, that it covers.
+A pattern is 13 consecutive words of a benchmark item, or a whole item that is shorter.  The letters of
+the automaton are whole words, numbered: a node for each word of a pattern.  The words of a document
+run through it once; every occurrence gives back the words, and by them the place in the original
+text, that it covers.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, rows_at_once, written
+from .common import plain, rows_at_once, unused, written
 
 WINDOW = 13
-#: Bytes of benchmark text that one automaton takes.  A larger benchmark is scanned in several blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one automaton takes, about 100 MB of a Python worker for each MB of text.  A
+#: larger benchmark is scanned in several blocks.
+BLOCK_BYTES = 2 << 20
 #: Fixed by the contract: A-Z become a-z, letters, digits and bytes beyond ASCII stay, the rest parts words.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -30,46 +32,60 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(FOLD).split()
 
 
-def patterns(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict[bytes, set[str]]:
-    """Every window of every item, with the ids of the items that hold it.
+class Windows:
+    """Aho-Corasick over the words of every window of the items, and the ids of the items that hold each.
 
     An item without text or words has no window.  Without an id it still marks words, but is not listed.
     """
-    found: dict[bytes, set[str]] = {}
-    for item, text in items:
-        w = words(text or "")
-        for i in range(max(len(w) - window, 0) + 1 if w else 0):
-            found.setdefault(b" ".join(w[i:i + window]), set()).update([] if item is None else [item])
-    return found
-
-
-def automaton(found: dict[bytes, set[str]]):
-    """Aho-Corasick over the windows, each between blanks so that only whole words match."""
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for pattern, ids in found.items():
-        machine.add_word(f" {pattern.decode('latin-1')} ", (len(pattern) + 2, tuple(ids)))
-    if found:
-        machine.make_automaton()
-    return machine
-
-
-def scan(text: str, machine) -> tuple[int, np.ndarray, set[str]]:
-    """Number of words, which of them are hit, and the items found."""
-    w = words(text)
-    hit = np.zeros(len(w) + 1, np.int32)
-    ids: set[str] = set()
-    if len(machine) and w:
-        line = b" " + b" ".join(w) + b" "
-        found = [(end, *value) for end, value in machine.iter(line.decode("latin-1"))]
-        if found:
-            blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # blank k stands before word k
-            ends = np.array([f[0] for f in found])
-            np.add.at(hit, np.searchsorted(blanks, ends - np.array([f[1] for f in found]) + 1), 1)
-            np.add.at(hit, np.searchsorted(blanks, ends), -1)
-            ids.update(*(f[2] for f in found))
-    return len(w), np.cumsum(hit[:-1]) > 0, ids
+
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW) -> None:
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        self.lengths: list[int] = []
+        self.holders: list[tuple[str, ...] | set[str]] = []
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for item, text in items:
+            # 0 is left for words that no item has.
+            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in words(text or "")]
+            alone = () if item is None else (item,)
+            for i in range(max(len(w) - window, 0) + 1 if w else 0):
+                self._add(tuple(w[i:i + window]), alone)
+        if self.lengths:
+            self.machine.make_automaton()
+
+    def _add(self, pattern: tuple[int, ...], holder: tuple[str, ...]) -> None:
+        known = self.machine.get(pattern, -1)
+        if known < 0:
+            self.machine.add_word(pattern, len(self.lengths))
+            self.lengths.append(len(pattern))
+            self.holders.append(holder)
+        elif holder:
+            if isinstance(self.holders[known], tuple):
+                self.holders[known] = set(self.holders[known])
+            self.holders[known].update(holder)
+
+    def scan(self, text: str) -> tuple[int, np.ndarray, set[str]]:
+        """Number of words, which of them are hit, and the items found."""
+        w = words(text)
+        edges = np.zeros(len(w) + 1, np.int32)
+        found = list(self.machine.iter(tuple([self.numbers.get(x, 0) for x in w]))) if w and self.lengths else []
+        for end, pattern in found:
+            edges[end - self.lengths[pattern] + 1] += 1
+            edges[end + 1] -= 1
+        return len(w), np.cumsum(edges[:-1]) > 0, {i for p in {p for _, p in found} for i in self.holders[p]}
+
+
+_built: dict[bytes, Windows] = {}
+
+
+def windows_of(block: list[tuple[str | None, str | None]], window: int) -> Windows:
+    """The automaton of a block; a worker process keeps the one it used last for its next tasks."""
+    digest = hashlib.sha256(repr((window, block)).encode("utf-8", "replace")).digest()
+    if digest not in _built:
+        _built.clear()  # bounded memory
+        _built[digest] = Windows(block, window)
+    return _built[digest]
 
 
 def original_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
@@ -86,17 +102,20 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
             for a, b in zip(runs[0::2], runs[1::2])]
 
 
-STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
-RESULT = pa.schema([
-    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
-    ("items_sha256", pa.string()), ("contaminated", pa.bool_()),
-    ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
-STATE_DDL = "doc_id long, text string, hit binary, items array<string>"
-RESULT_DDL = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-              "spans array<struct<start:int,end:int>>, items array<string>")
+STATE = "text string, hit binary, items array<string>"
+RESULT = ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
+          "spans array<struct<start:int,end:int>>, items array<string>")
+
+
+def _schema(id_type: pa.DataType, last: bool) -> pa.Schema:
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    names = pa.list_(pa.string())
+    rest = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()),
+            ("contaminated", pa.bool_()), ("spans", pa.list_(span)), ("items", names)]
+    return pa.schema([("doc_id", id_type), *(rest if last else [("text", pa.string()), ("hit", pa.binary()), ("items", names)])])
 
 
-def _result(doc: int | None, text: str, n: int, hit: np.ndarray, ids: set[str], percent: int) -> dict:
+def _result(doc, text: str, n: int, hit: np.ndarray, ids: set[str], percent: int) -> dict:
     covered, listed = int(hit.sum()), sorted(ids)
     return {
         "doc_id": doc, "n_words": n, "n_hit": covered, "n_items": len(listed),
@@ -107,17 +126,17 @@ def _result(doc: int | None, text: str, n: int, hit: np.ndarray, ids: set[str],
 
 def _scanner(block: list[tuple[str | None, str | None]], window: int, percent: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(patterns(block, window))
+        machine = windows_of(block, window)
         for batch in batches:
             rows = []
             for doc, text, before, items in zip(*(c.to_pylist() for c in batch.columns)):
-                n, hit, ids = scan(text or "", machine)
+                n, hit, ids = machine.scan(text or "")
                 if before is not None:
                     hit |= np.unpackbits(np.frombuffer(before, np.uint8), count=n).astype(bool)
                 ids.update(items or [])
                 rows.append(_result(doc, text or "", n, hit, ids, percent) if last else {
                     "doc_id": doc, "text": text, "hit": np.packbits(hit).tobytes(), "items": sorted(ids)})
-            yield pa.RecordBatch.from_pylist(rows, schema=RESULT if last else STATE)
+            yield pa.RecordBatch.from_pylist(rows, schema=_schema(batch.schema.field(0).type, last))
     return run
 
 
@@ -138,7 +157,8 @@ def find_passages(
 
     A document is contaminated if at least ``percent`` per cent of its words, and one at least, are hit.
     Null and empty texts have no words and are clean.  Repeated rows are judged each for themselves;
-    equal windows of several items name all of them.  An empty benchmark finds nothing.
+    equal windows of several items name all of them.  An empty benchmark finds nothing, an empty table has
+    no rows.  Ids may be of any type.  A text of any length is taken whole, in memory in proportion to it.
 
     The benchmark goes to the executors only up to ``block_bytes``.  A larger one is cut into blocks
     by a hash of its items, and the documents, with what was found so far, pass through one automaton
@@ -146,12 +166,14 @@ def find_passages(
     """
     spark = documents.sparkSession
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    frame = plain(documents, doc_id=doc_id, text=text).select(
+    docs = plain(documents, doc_id=doc_id, text=text)
+    of_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
+    frame = docs.select(
         "doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
     for i, block in enumerate(blocks):
         last = i == len(blocks) - 1
         rows_at_once(spark)
-        frame = frame.mapInArrow(_scanner([tuple(r) for r in block.collect()], window, percent, last), RESULT_DDL if last else STATE_DDL)
+        frame = frame.mapInArrow(_scanner([tuple(r) for r in block.collect()], window, percent, last), of_id + (RESULT if last else STATE))
         frame = frame if last else written(frame)
     return frame
 
@@ -160,18 +182,21 @@ def drop_contaminated(
     documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = WINDOW, percent: int = 5, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows, with all their columns, that are not contaminated."""
+    """The rows, with all their columns, that are not contaminated; null, empty and repeated rows as above.
+
+    Columns may have any names.
+    """
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    hits = "_hit_words"
+    hits = unused("_hit_words", documents.columns)
     frame = documents.withColumn(hits, F.lit(None).cast("binary"))
 
     def dropper(block: list, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = automaton(patterns(block, window))
+            machine = windows_of(block, window)
             for batch in batches:
                 found, keep = [], []
                 for body, before in zip(batch.column(text).to_pylist(), batch.column(hits).to_pylist()):
-                    n, hit, _ = scan(body or "", machine)
+                    n, hit, _ = machine.scan(body or "")
                     if before is not None:
                         hit |= np.unpackbits(np.frombuffer(before, np.uint8), count=n).astype(bool)
                     found.append(np.packbits(hit).tobytes())
