@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, plain, written
-from .spans import SPAN, matches
+from .common import blank, plain, unused, written
+from .spans import matches, replaced
 
 #: Fixed by the contract, in the order that breaks ties.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -105,24 +105,19 @@ def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", mar
     """The documents, all rows and columns, with every reported span replaced by a mark.
 
     Spans are found once for each distinct text and meet the rows by the text's digest; texts in which
-    no pattern occurs do not move.  A null text stays null.
+    no pattern occurs do not move.  A null text stays null, an empty table stays empty, repeated rows
+    are changed alike and columns may have any names.
     """
     names = documents.columns
-    body = documents[f"`{text}`"]
-    suspect = F.coalesce(F.greatest(*[body.rlike(p) for p in (ASSIGN, ACCESS, HEX, IDENT, BARE, ENDPOINT)]), F.lit(False))
-    split = documents.withColumn("_suspect", suspect)
-    found = find_secrets(split.filter("_suspect"), doc_id, text)
-    spans = found.select("digest", F.sort_array(F.concat(_entries(("assign", "access", "hex")), F.col("linked"))).alias("_spans")).filter(
-        F.size("_spans") > 0).dropDuplicates(["digest"]).withColumnRenamed("digest", "_digest")
+    flag, digest, found = (unused(n, names) for n in ("_suspect", "_digest", "_spans"))
     old = F.col(f"`{text}`")
-
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        more = F.concat(done["out"], F.substr(old, done["at"] + 1, s["start"] - done["at"]), F.lit(mark))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(done["out"]).alias("out"))
-
-    new = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                      lambda done: F.concat(done["out"], F.substr(old, done["at"] + 1)))
-    marked = split.filter("_suspect").withColumn("_digest", F.md5(old)).join(spans, "_digest", "left").withColumn(
-        text, F.when(F.col("_spans").isNull(), old).otherwise(new))
-    return split.filter("NOT _suspect").select(*[f"`{n}`" for n in names]).unionByName(marked.select(*[f"`{n}`" for n in names]))
+    suspect = F.coalesce(F.greatest(*[old.rlike(p) for p in (ASSIGN, ACCESS, HEX, IDENT, BARE, ENDPOINT)]), F.lit(False))
+    split = documents.withColumn(flag, suspect)
+    spans = find_secrets(split.filter(F.col(flag)), doc_id, text).select(
+        F.col("digest").alias(digest), F.sort_array(F.concat(_entries(("assign", "access", "hex")), F.col("linked"))).alias(found)
+    ).filter(F.size(found) > 0).dropDuplicates([digest])
+
+    marked = split.filter(F.col(flag)).withColumn(digest, F.md5(old)).join(spans, digest, "left").withColumn(
+        text, F.when(F.col(found).isNull(), old).otherwise(replaced(old, F.col(found), mark)))
+    back = [f"`{n}`" for n in names]
+    return split.filter(~F.col(flag)).select(*back).unionByName(marked.select(*back))
