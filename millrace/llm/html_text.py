@@ -17,14 +17,20 @@ from pyspark.sql import DataFrame
 
 from .common import plain, rows_at_once
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+#: Where something other than text may start; each kind then has a pattern that matches there without going back.
+START = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?", re.S)
+#: A quoted value may hold ">"; a quote elsewhere is a sign like others.
+TAG = re.compile(r"</?[a-zA-Z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
 #: Not displayed, whatever they hold.
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist svg math select".split())
+HIDDEN = frozenset(
+    "head script style template noscript title iframe object audio video canvas datalist "
+    "annotation annotation-xml desc metadata defs".split())
 #: A blank line before and after; a new line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr".split())
 BLOCK = SPACED | frozenset(
@@ -57,56 +63,71 @@ def shown(tag: str, source: str) -> bool:
 
 
 def events(html: str) -> Iterator[tuple[str, str, str]]:
-    """Balanced ``open``, ``close`` and ``text`` events; the source of the tag comes with ``open``."""
+    """Balanced ``open``, ``close`` and ``text`` events; the source of the tag comes with ``open``.
+
+    One pass forward.  A tag that the page ends within is not displayed, as in a browser.
+    """
     stack: list[str] = []
+    places: dict[str, list[int]] = {}  # where each open tag stands in the stack
     at, size = 0, len(html)
 
+    def push(tag: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(tag)
+
+    def pop() -> str:
+        places[stack[-1]].pop()
+        return stack.pop()
+
     def close_to(depth: int) -> Iterator[tuple[str, str, str]]:
         while len(stack) > depth:
-            yield "close", stack.pop(), ""
+            yield "close", pop(), ""
+
+    def highest(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     def last(names, barrier=frozenset()) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in names:
-                return i
-            if stack[i] in barrier:
-                break
-        return -1
+        """Place of the innermost open tag among ``names``, unless one of ``barrier`` is further in."""
+        i = highest(names)
+        return i if i >= highest(barrier) else -1
 
     def place(tag: str) -> Iterator[tuple[str, str, str]]:
         """Supply html, head or body, and end what this tag ends."""
         if not stack and tag != "html":
-            stack.append("html")
+            push("html")
             yield "open", "html", ""
         if stack == ["html"] and tag not in ("html", "head", "body"):
             part = "head" if tag in IN_HEAD else "body"
-            stack.append(part)
+            push(part)
             yield "open", part, ""
         elif stack == ["html", "head"] and tag not in IN_HEAD:
             yield from close_to(1)
             if tag != "body":
-                stack.append("body")
+                push("body")
                 yield "open", "body", ""
         if tag in CLOSES and (i := last(*CLOSES[tag])) >= 0:
             yield from close_to(i)
         if tag in ENDS_P and (i := last({"p"}, SCOPE)) >= 0:
             yield from close_to(i)
         if tag in ("td", "th") and last({"tr"}, {"table"}) < 0 and last({"table"}) >= 0:
-            stack.append("tr")
+            push("tr")
             yield "open", "tr", ""
 
     while at < size:
-        m = TOKEN.search(html, at)
+        m = START.search(html, at)
         text = html[at:m.start() if m else size]
         if text and (text.strip() or len(stack) > 2):
             yield from place("#text")
             yield "text", unescape(text) if "&" in text else text, ""
         if not m:
             break
-        at = m.end()
-        source = m[0]
-        if source[1] in "!?":
+        if html[m.end()] in "!?":
+            at = COMMENT.match(html, m.start()).end()
             continue
+        m = TAG.match(html, m.start())
+        if not m:
+            break
+        at, source = m.end(), m[0]
         tag = NAME.match(source)[1].lower()
         if source[1] == "/":
             if tag in ("html", "body"):
@@ -128,12 +149,12 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         if tag in VOID:
             yield "close", tag, ""
             continue
-        stack.append(tag)
+        push(tag)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{tag}(?![^\s/>])[^>]*+(?:>|\Z)", re.I).search(html, at)
             yield "text", html[at:end.start() if end else size], ""
             at = end.end() if end else size
-            yield "close", stack.pop(), ""
+            yield "close", pop(), ""
     yield from close_to(0)
 
 
@@ -185,6 +206,10 @@ class Page:
         return "\n".join(self.lines)
 
 
+#: Columns are padded up to this width; a longer cell is shown whole and moves what follows it on its line.
+WIDEST = 200
+
+
 def aligned(rows: list[list[str]]) -> list[str]:
     """Cells under each other; a cell of several lines takes several lines."""
     widths: list[int] = []
@@ -192,7 +217,7 @@ def aligned(rows: list[list[str]]) -> list[str]:
     for row in split:
         widths += [0] * (len(row) - len(widths))
         for i, cell in enumerate(row):
-            widths[i] = max(widths[i], *map(len, cell))
+            widths[i] = max(widths[i], *(min(len(line), WIDEST) for line in cell))
     out = []
     for row in split:
         for k in range(max(map(len, row), default=0)):
@@ -200,11 +225,24 @@ def aligned(rows: list[list[str]]) -> list[str]:
     return out
 
 
+def has(attribute: str, source: str) -> bool:
+    return any(m[1].lower() == attribute for m in ATTRIBUTE.finditer(source[source.find(" "):])) if " " in source else False
+
+
+def chosen(options: list[tuple[bool, str]], several: bool) -> str:
+    """What a closed list shows: the last selected option, or the first; a list of several shows all."""
+    if several:
+        return " ".join(text for _, text in options)
+    return next((text for on, text in reversed(options) if on), options[0][1] if options else "")
+
+
 def render(html: str | None) -> str:
     """All visible text.  Null and empty pages give ""."""
     if not html:
         return ""
     pages, tables, lists = [Page()], [], []
+    choices: list[tuple[bool, list[tuple[bool, str]]]] = []
+    selected = False
     hidden = pre = 0
     for kind, what, source in events(html):
         if hidden:
@@ -224,6 +262,12 @@ def render(html: str | None) -> str:
                 page.block(True)
             elif what in ("td", "th"):
                 pages.append(Page())
+            elif what == "select":
+                choices.append((has("multiple", source), []))
+                pages.append(Page())
+            elif what == "option" and choices:
+                selected = has("selected", source)
+                pages.append(Page())
             elif what == "tr" and tables:
                 tables[-1].append([])
             elif what in BLOCK:
@@ -243,6 +287,12 @@ def render(html: str | None) -> str:
                     pre += 1
                 elif what == "table":
                     tables.append([])
+        elif what == "option" and choices:
+            choices[-1][1].append((selected, pages.pop().text()))
+        elif what == "select":
+            pages.pop()
+            several, options = choices.pop()
+            pages[-1].add(chosen(options, several), False)
         elif what in ("td", "th"):
             cell = pages.pop().text()
             if not tables:
@@ -281,6 +331,9 @@ def _renderer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """``page_id, text`` for every row; null ids and repeated rows stay as they are."""
+    """``page_id, text`` for every row; null ids and repeated rows stay as they are, an empty table has no rows.
+
+    Pages of any length are taken whole, in time and memory in proportion to them.  Further columns do not matter.
+    """
     rows_at_once(pages.sparkSession)
     return plain(pages, page_id=page_id, html=html).mapInArrow(_renderer, "page_id long, text string")
