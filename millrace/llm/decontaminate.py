@@ -1,16 +1,17 @@
 """Benchmark passages in documents, found with one Aho-Corasick automaton.
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and everything beyond ASCII.
-A pattern is 13 consecutive words of a benchmark item, or a whole item that is shorter.  The letters of
-the automaton are whole words, numbered: a node for each word of a pattern.  The words of a document
-run through it once; every occurrence gives back the words, and by them the place in the original
-text, that it covers.
+A pattern is 13 consecutive words of a benchmark item, or a whole item that is shorter.  A word is
+written as its number in two letters, so that no node has very many followers, which the automaton
+looks through one by one.  The words of a document run through it once; every occurrence gives back the
+words, and by them the place in the original text, that it covers.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,13 @@ from pyspark.sql import functions as F
 from .common import plain, rows_at_once, unused, written
 
 WINDOW = 13
-#: Bytes of benchmark text that one automaton takes, about 100 MB of a Python worker for each MB of text.  A
-#: larger benchmark is scanned in several blocks.
-BLOCK_BYTES = 2 << 20
+#: Bytes of benchmark text that one automaton takes, about 100 MB of a Python worker.  A larger benchmark is
+#: scanned in several blocks.
+BLOCK_BYTES = 1 << 20
+#: First letters of a word; a second letter is above them.
+LETTERS = 128
+#: A word that no item has.
+UNKNOWN = "\0\0"
 #: Fixed by the contract: A-Z become a-z, letters, digits and bytes beyond ASCII stay, the rest parts words.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -41,23 +46,29 @@ class Windows:
     def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         import ahocorasick
 
-        self.numbers: dict[bytes, int] = {}
+        self.codes: dict[bytes, str] = {}
         self.lengths: list[int] = []
         self.holders: list[tuple[str, ...] | set[str]] = []
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for item, text in items:
-            # 0 is left for words that no item has.
-            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in words(text or "")]
+            w = [self._code(x) for x in words(text or "")]
             alone = () if item is None else (item,)
             for i in range(max(len(w) - window, 0) + 1 if w else 0):
-                self._add(tuple(w[i:i + window]), alone)
+                self._add(w[i:i + window], alone)
         if self.lengths:
             self.machine.make_automaton()
 
-    def _add(self, pattern: tuple[int, ...], holder: tuple[str, ...]) -> None:
-        known = self.machine.get(pattern, -1)
+    def _code(self, word: bytes) -> str:
+        if word not in self.codes:
+            n = len(self.codes)
+            self.codes[word] = chr(1 + n % LETTERS) + chr(1 + LETTERS + n // LETTERS)
+        return self.codes[word]
+
+    def _add(self, pattern: list[str], holder: tuple[str, ...]) -> None:
+        line = "".join(pattern)
+        known = self.machine.get(line, -1)
         if known < 0:
-            self.machine.add_word(pattern, len(self.lengths))
+            self.machine.add_word(line, len(self.lengths))
             self.lengths.append(len(pattern))
             self.holders.append(holder)
         elif holder:
@@ -68,11 +79,13 @@ class Windows:
     def scan(self, text: str) -> tuple[int, np.ndarray, set[str]]:
         """Number of words, which of them are hit, and the items found."""
         w = words(text)
+        found = list(self.machine.iter("".join(map(self.codes.get, w, repeat(UNKNOWN))))) if w and self.lengths else []
+        if not found:
+            return len(w), np.zeros(len(w), bool), set()
         edges = np.zeros(len(w) + 1, np.int32)
-        found = list(self.machine.iter(tuple([self.numbers.get(x, 0) for x in w]))) if w and self.lengths else []
         for end, pattern in found:
-            edges[end - self.lengths[pattern] + 1] += 1
-            edges[end + 1] -= 1
+            edges[end // 2 - self.lengths[pattern] + 1] += 1
+            edges[end // 2 + 1] -= 1
         return len(w), np.cumsum(edges[:-1]) > 0, {i for p in {p for _, p in found} for i in self.holders[p]}
 
 
