@@ -7,13 +7,18 @@ meet; those within the similarity form groups of similar documents.  The matrix
 tokens of each group.  What meets a member of another group is a query to that group: its overlap
 with the union bounds its overlap with every member, and only groups that the bound admits are opened
 and compared set by set.  Links are transitive for the result, so a group's inside is never paired.
+
+Classes that meet by what many have in common are not paired.  They are held against a centre instead,
+and those that the centre leaves in different groups meet by what they differ from it in: sets within
+the similarity must share much of that, so the rarest elements of the difference bring them together.
+Elements that many share are treated likewise, with a centre of their own.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +39,10 @@ SMALL = 32
 SCHEMES = 512
 #: Members whose tokens are united in one row of the matrix; a larger group takes several rows.
 CHUNK = 64
+#: Classes that are paired when they meet; more of them meet by their differences to a centre.
+FEW = 8
+#: Centres one below another; what still is common then is paired, so that no link is lost.
+ROUNDS = 4
 #: Classes up to which their ids are sent to all tasks; beyond, texts are shuffled to them.
 SEND_CLASSES = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -212,8 +221,9 @@ def _token_reader(words: int):
             rows = []
             for text, h in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, words)
-                if len(s) and int(np.add.reduce(mix(s + np.uint64(7))).astype(np.int64)) == h:
-                    rows.append((h, len(s), s.tobytes()))
+                key = int(np.add.reduce(mix(s + np.uint64(7))).astype(np.int64)) if len(s) else None
+                if key is not None and h in (None, key):
+                    rows.append((key, len(s), s.tobytes()))
             h, n, tokens = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], names=["h", "n", "tokens"])
@@ -249,6 +259,90 @@ def _bounder(percent: int):
     return run
 
 
+def _differ(percent: int):
+    """The elements in which ``h`` and its centre ``a`` differ, and how many of the rarest of them suffice.
+
+    With r = (100 - p) / (100 + p), sets of n and c tokens are linked if they differ in at most r (n + c).
+    The differences of two linked sets to the centre share (m + m' - d) / 2 elements, m and m' being their
+    sizes and d the number in which the sets differ.  If the partner is not linked to the centre, that
+    is more than (m + r (c - n)) / 2, which gives ``near``.  A set that is not linked to the centre shares
+    at least (m - r (n + c)) / 2 with a partner that is, which gives ``deep``.  Both also share m - d.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, size, near, deep, tokens = [], [], [], [], []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                other = np.setxor1d(s, t, assume_unique=True)
+                c, n, m = len(s), len(t), len(other)
+                apart = (100 + percent) * m - (100 - percent) * (n + c)
+                least = max(m - n * (100 - percent) // percent, 1)
+                half = ((100 + percent) * m + (100 - percent) * (c - n)) // (2 * (100 + percent)) + 1
+                linked.append(apart <= 0)
+                size.append(m)
+                near.append(m - max(half, least) + 1)
+                deep.append(m - max(-(-apart // (2 * (100 + percent))), least) + 1)
+                tokens.append(other.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("a", "h", "g")), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()),
+                 pa.array(near, pa.int32()), pa.array(deep, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["a", "h", "g", "linked", "m", "near", "deep", "tokens"])
+    return run
+
+
+def _by_difference(differ: DataFrame) -> DataFrame:
+    """``key, h, g, asks, answers``: classes that may be linked share a key, by which one asks and one answers.
+
+    Elements are ranked by how many differences to the same centre have them, the rarest first.  What
+    only one has needs no row: it just comes first.
+    """
+    each = differ.select("a", "h", "g", "linked", "m", "near", "deep", F.explode("tokens").alias("token"))
+    often = each.groupBy("a", "token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    own = Window.partitionBy("a", "h")
+    ranked = each.join(often, ["a", "token"]).withColumn(
+        "rank", F.row_number().over(own.orderBy("often", "token")) + F.col("m") - F.count(F.lit(1)).over(own))
+
+    def row(side: int, asks: bool, answers: bool, when: Column) -> Column:
+        key = F.xxhash64("a", "token", F.lit(side))
+        return F.when(when, F.struct(key.alias("key"), "h", "g", F.lit(asks).alias("asks"), F.lit(answers).alias("answers")))
+
+    linked, near, deep = F.col("linked"), F.col("rank") <= F.col("near"), F.col("rank") <= F.col("deep")
+    rows = F.array_compact(F.array(
+        row(0, True, True, ~linked & near), row(1, True, False, ~linked & deep), row(1, False, True, linked & near)))
+    return ranked.select(F.explode(rows).alias("row")).select("row.*")
+
+
+def _meet(member: DataFrame, tokens: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Pairs ``a < b`` of classes of different groups that may be linked, and links to the centres.
+
+    ``member`` has ``key, h, g``.  Keys of few classes pair them; a key with more gets a centre.
+    """
+    pairs, links = [], []
+    member = member.withColumn("asks", F.lit(True)).withColumn("answers", F.lit(True))
+    for left in range(ROUNDS, -1, -1):
+        sizes = member.groupBy("key").agg(
+            F.min("g").alias("lo"), F.max("g").alias("hi"),
+            F.least(F.count_if("asks"), F.count_if("answers")).alias("k")).filter("lo <> hi AND k > 0")
+        sized = written(member.join(sizes.select("key", "k"), "key").distinct())
+        few = sized.filter(F.col("k") <= FEW) if left else sized
+        ask = few.filter("asks").select("key", F.col("h").alias("a"), F.col("g").alias("own"), F.col("answers").alias("both"))
+        answer = few.filter("answers").select("key", F.col("h").alias("b"), "g")
+        met = ask.join(answer, "key").filter("own <> g AND (NOT both OR a < b)")
+        pairs.append(written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        many = sized.filter(F.col("k") > FEW)
+        if not left or many.isEmpty():
+            return pairs, links
+        centres = _central(many.select(F.col("key").alias("sign"), "h")).withColumnRenamed("sign", "key")
+        held = many.join(centres, "key").filter("h <> a").select("a", "h", "g").distinct()
+        x = tokens.select(F.col("h").alias("a"), F.col("tokens").alias("x"))
+        y = tokens.select("h", F.col("tokens").alias("y"))
+        differ = written(held.join(x, "a").join(y, "h").select("a", "h", "g", "x", "y").mapInArrow(
+            _differ(percent), "a long, h long, g long, linked boolean, m int, near int, deep int, tokens array<long>"))
+        links.append(differ.filter("linked").select("a", F.col("h").alias("b")))
+        member = _by_difference(differ)
+    return pairs, links
+
+
 def _unite(frame: pd.DataFrame) -> pd.DataFrame:
     union = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in frame["tokens"]]))
     return pd.DataFrame({"g": frame["g"].iloc[:1], "chunk": frame["chunk"].iloc[:1], "least": [frame["n"].min()], "union": [union.tobytes()]})
@@ -292,9 +386,12 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     wanted = written(meeting.select("h").distinct().join(classes.select("h", "rep"), "h"))
     # A checked size decides how texts and wanted classes meet; the rows are the same.
     side = F.broadcast(wanted) if wanted.count() <= SEND_CLASSES else wanted
-    tokens = docs.join(side, docs["doc_id"] == side["rep"]).select("text", "h").mapInArrow(
-        _token_reader(words), "h long, n long, tokens binary")
-    tokens = written(tokens.dropDuplicates(["h"]))
+    schema = "h long, n long, tokens binary"
+    tokens = docs.join(side, docs["doc_id"] == side["rep"]).select("text", "h").mapInArrow(_token_reader(words), schema)
+    # Classes without any id are found by their sets.
+    nameless = docs.filter("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("h")).mapInArrow(_token_reader(words), schema)
+    nameless = nameless.join(wanted.filter("rep IS NULL").select("h"), "h", "left_semi")
+    tokens = written(tokens.unionByName(nameless).dropDuplicates(["h"]))
 
     stars = written(_verified(
         meeting.join(pivots, "sign").filter("h <> a").select("a", F.col("h").alias("b")).distinct(), tokens, percent))
@@ -303,22 +400,30 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words
         meeting.join(groups, meeting["h"] == groups["node"], "left").select("sign", "h", F.coalesce("root", "h").alias("g")),
         needs, "g")
     member = written(_rarest(member, needs))
-    ask = member.select("sign", F.col("h").alias("q"), F.col("g").alias("own"))
-    queries = written(ask.join(member.select("sign", "g").distinct(), "sign").filter("own > g").select("q", "g").distinct())
-
-    asked = written(queries.select("g").distinct())
-    in_groups = (
-        tokens.join(groups, tokens["h"] == groups["node"], "left").select("h", "n", "tokens", F.coalesce("root", "h").alias("g"))
-        .join(asked, "g", "left_semi"))
-    sizes = in_groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    in_groups = written(in_groups.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("h"), "chunks").cast("int")).drop("chunks"))
-    matrix = in_groups.groupBy("g", "chunk").applyInPandas(_unite, "g long, chunk int, least long, union binary")
+    pairs, links = _meet(member.select(F.col("sign").alias("key"), "h", "g"), tokens, percent)
+    if links:
+        stars = written(reduce(DataFrame.unionByName, links, stars).distinct())
+        groups = written(components(stars))
+    placed = tokens.select("h").join(groups, tokens["h"] == groups["node"], "left").select("h", F.coalesce("root", "h").alias("g"))
+    sizes = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    placed = written(placed.join(sizes, "g").select("h", "g", F.pmod(F.xxhash64("h"), "chunks").cast("int").alias("chunk")))
+    met = reduce(DataFrame.unionByName, pairs).distinct()
+    for side in ("a", "b"):
+        met = met.join(placed.select(F.col("h").alias(side), F.struct("g", "chunk", "h").alias("in_" + side)), side)
+    # The query is the one of the greater group.
+    queries = written(met.filter("in_a.g <> in_b.g").select(
+        F.greatest("in_a", "in_b")["h"].alias("q"), F.least("in_a", "in_b").alias("to")).select(
+        "q", "to.g", "to.chunk", F.col("to.h").alias("b")))
+
+    asked = queries.select("g", "chunk").distinct()
+    in_groups = placed.join(asked, ["g", "chunk"], "left_semi").join(tokens, "h").select("g", "chunk", "n", "tokens")
+    matrix = written(in_groups.groupBy("g", "chunk").applyInPandas(_unite, "g long, chunk int, least long, union binary"))
     rows_at_once(spark)
     admitted = (
-        queries.join(tokens.select(F.col("h").alias("q"), "tokens"), "q").join(matrix, "g")
+        queries.select("q", "g", "chunk").distinct().join(tokens.select(F.col("h").alias("q"), "tokens"), "q").join(matrix, ["g", "chunk"])
         .select("q", "g", "chunk", "tokens", "union", "least").mapInArrow(_bounder(percent), "q long, g long, chunk int"))
-    opened = written(admitted).join(in_groups.select("g", "chunk", F.col("h").alias("b")), ["g", "chunk"]).select(
-        F.col("q").alias("a"), "b").distinct()
+    # Of an opened group those are compared that the query met.
+    opened = queries.join(written(admitted), ["q", "g", "chunk"]).select(F.col("q").alias("a"), "b").distinct()
     bridges = _verified(opened, tokens, percent)
 
     whole = written(components(stars.unionByName(bridges)))

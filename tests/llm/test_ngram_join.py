@@ -93,3 +93,84 @@ def test_a_large_group_is_not_paired(spark):
     rows = [(i, " ".join(base[:k] + [f"n{i}"] + base[k + 1:])) for i in range(300) for k in [i]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["component_id"] for r in J.link(df).collect()} == {0}
+
+
+def crowd(n, seed=1):
+    """Copies of one text with a sixth of it rewritten each: near each other, seldom linked; families of some."""
+    r = random.Random(seed)
+    base, texts = [f"w{i}" for i in range(160)], []
+    while len(texts) < n:
+        copy, k = list(base), r.randrange(120)
+        for at in (k, k + 13, r.randrange(150), r.randrange(150)):
+            copy[at:at + 3] = [f"n{r.randrange(10 ** 7)}" for _ in range(3)]
+        texts.append(copy)
+        for _ in range(r.choice([0, 0, 0, 1, 4])):
+            again = list(r.choice([copy, base]))
+            for _ in range(r.choice([1, 2, 3])):
+                again[r.randrange(len(again))] = f"m{r.randrange(10 ** 7)}"
+            texts.append(again[:r.choice([160, 160, 152])])
+    return [(i, " ".join(t)) for i, t in enumerate(texts[:n])]
+
+
+@pytest.mark.parametrize("few,rounds,words,percent", [(8, 4, 3, 90), (2, 4, 3, 80), (1, 1, 5, 80), (3, 4, 2, 85)])
+def test_crowded_signatures_lose_no_link(spark, monkeypatch, few, rounds, words, percent):
+    monkeypatch.setattr(J, "FEW", few)
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    rows = crowd(260, few)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.link(df, words=words, percent=percent).collect()}
+    assert got == brute(rows, words, percent)
+
+
+def test_pairs_follow_the_rows(spark, monkeypatch):
+    """Of near copies that are not linked no pairs are made in proportion to the square of their number."""
+    made, meet = [], J._meet
+
+    def counted(member, tokens, percent):
+        pairs, links = meet(member, tokens, percent)
+        made.append(sum(p.count() for p in pairs))
+        return pairs, links
+
+    monkeypatch.setattr(J, "_meet", counted)
+    for n in (300, 600, 1200):
+        assert J.link(spark.createDataFrame(crowd(n), "doc_id long, text string")).count() == n
+        assert made[-1] <= 2 * J.FEW * n
+    assert made[2] <= 8 * max(made[0], 100)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_differences_share_what_they_promise(seed):
+    """Sets within the similarity share one of the first elements of their differences to a centre, in any order."""
+    import pyarrow as pa
+
+    r, percent = np.random.default_rng(seed), 80
+    universe = np.arange(1, 90, dtype=np.uint64)
+    centre = np.sort(r.choice(universe, 40, replace=False))
+    sets = []
+    for _ in range(150):
+        start = sets[int(r.integers(len(sets)))] if sets and r.random() < 0.7 else centre
+        flip = r.choice(universe, int(r.integers(1, 8)), replace=False)
+        sets.append(np.setxor1d(start, flip))
+    batch = pa.RecordBatch.from_pydict({
+        "a": [0] * 150, "h": list(range(150)), "g": [0] * 150, "x": [centre.tobytes()] * 150, "y": [s.tobytes() for s in sets]})
+    rows = next(J._differ(percent)(iter([batch]))).to_pylist()
+    order, linked_pairs = r.permutation(90), 0
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            s, t = sets[x["h"]], sets[y["h"]]
+            both = len(np.intersect1d(s, t))
+            if (s.tobytes() == t.tobytes() or not len(x["tokens"]) or not len(y["tokens"]) or x["linked"] and y["linked"]
+                    or 100 * both < percent * (len(s) + len(t) - both)):
+                continue
+            linked_pairs += 1
+            first = [set(sorted(z["tokens"], key=lambda v: order[v])[:z["deep" if not z["linked"] and w["linked"] else "near"]])
+                     for z, w in ((x, y), (y, x))]
+            assert first[0] & first[1]
+    assert linked_pairs > 20
+
+
+def test_a_nameless_class_is_a_bridge(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (None, " ".join(base + ["x", "y", "z"])), (3, " ".join(base + ["x", "y", "z", "p", "q", "r", "s"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["component_id"] for r in J.link(df).collect()] == [1, 1, 1]
