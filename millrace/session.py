@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 _local_scratch: str | None = None
+#: Folders of the enclosing ``scratch`` blocks, the innermost last.
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 def local_session(cores: str | int = "*", app: str = "millrace", memory: str = "8g") -> SparkSession:
@@ -34,13 +39,18 @@ def local_session(cores: str | int = "*", app: str = "millrace", memory: str = "
     )
 
 
-def scratch_folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession, keep: bool = False) -> str:
     """A fresh folder that every executor can reach.
 
+    Inside a ``scratch`` block it is part of what the block removes; ``keep`` puts it outside of the innermost one.
+
     The cluster names the shared root in ``spark.checkpoint.dir``.  Only a local master, where
     driver and executors are one process, may fall back to a folder of its own.
     """
     global _local_scratch
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
+    if scopes:
+        return os.path.join(scopes[-1], uuid.uuid4().hex)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -52,9 +62,25 @@ def scratch_folder(spark: SparkSession) -> str:
     return os.path.join(root, uuid.uuid4().hex)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the frame to the shared folder and read it back."""
-    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is ``written`` inside goes when the block ends, except for what it keeps.
+
+    Frames that read it must not be used afterwards.
+    """
+    folder = scratch_folder(spark)
+    token = _scopes.set((*_scopes.get(), folder))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cut lineage: write the frame to the shared folder and read it back; see ``scratch_folder`` for ``keep``."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
