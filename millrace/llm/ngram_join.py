@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain, rows_at_once, written
+from .common import plain, rows_at_once, scratch, written
 from ..operators.components import components
 
 WORDS = 3
@@ -323,7 +323,7 @@ def _meet(member: DataFrame, tokens: DataFrame, percent: int) -> tuple[list[Data
         sizes = member.groupBy("key").agg(
             F.min("g").alias("lo"), F.max("g").alias("hi"),
             F.least(F.count_if("asks"), F.count_if("answers")).alias("k")).filter("lo <> hi AND k > 0")
-        sized = written(member.join(sizes.select("key", "k"), "key").distinct())
+        sized = written(member.join(sizes.select("key", "k"), "key"))
         few = sized.filter(F.col("k") <= FEW) if left else sized
         ask = few.filter("asks").select("key", F.col("h").alias("a"), F.col("g").alias("own"), F.col("answers").alias("both"))
         answer = few.filter("answers").select("key", F.col("h").alias("b"), "g")
@@ -359,25 +359,32 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words
 
     ``component_id`` is the smallest id that links lead to.  Documents without words, null texts among
     them, are linked with nothing and carry their own id.  Rows with equal sets, repeated rows too,
-    are one class; a class without any id has a null component.  ``percent`` is 67 at least: below that
+    are one class; a class without any id has a null component, unless it is linked to one with an id.  ``percent`` is 67 at least: below that
     small sets within the similarity may have fewer than three tokens in common.
     """
     if not 67 <= percent <= 99:
         raise ValueError("percent must be between 67 and 99")
+    with scratch(documents.sparkSession):
+        return written(_link(documents, doc_id, text, words, percent), keep=True)
+
+
+def _link(documents: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
     rows_at_once(spark)
     docs = plain(documents, doc_id=doc_id, text=text)
-    profiles = written(docs.mapInArrow(_profiler(words, percent), "doc_id long, n long, h long, band int, need int, need_below int, signs array<long>"))
+    same = Window.partitionBy("sign").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    with scratch(spark):  # The signatures are needed only here.
+        signed = written(docs.mapInArrow(_profiler(words, percent), "doc_id long, n long, h long, band int, need int, need_below int, signs array<long>"))
+        profiles = written(signed.drop("signs"), keep=True)
+        # Most signatures occur once: one sort by signature finds the others, each beside the smallest class it has.
+        later = written(
+            signed.filter("h IS NOT NULL").select("h", F.explode("signs").alias("sign"))
+            .select("sign", "h", F.first("h").over(same).alias("first")).filter("h <> first").distinct(), keep=True)
     filled = profiles.filter("h IS NOT NULL")
     classes = written(filled.groupBy("h").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"),
         *[F.max(c).alias(c) for c in ("band", "need", "need_below")]))
     needs = classes.select("h", "band", "need", "need_below")
-    # Most signatures occur once: one sort by signature finds the others, each beside the smallest class it has.
-    same = Window.partitionBy("sign").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = written(
-        filled.select("h", F.explode("signs").alias("sign")).select("sign", "h", F.first("h").over(same).alias("first"))
-        .filter("h <> first").distinct())
     meeting = _peel(
         later.select("sign", "h").unionByName(later.select("sign", F.col("first").alias("h"))).distinct().withColumn("g", F.col("h")),
         needs, "g").select("sign", "h")
