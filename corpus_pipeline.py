@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import credentials, decontaminate, ngram_join, packing, toxicity
-from millrace.llm.common import table, written
+from millrace.llm.common import scratch, table, written
 from millrace.llm.queries import word_tokenizer
 
 
@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id stay.  Rows that repeat an id and its words count as copies of one document.
     """
-    linked = written(ngram_join.link(docs, words=5, percent=80))
+    linked = ngram_join.link(docs, words=5, percent=80)
     copies = linked.filter("doc_id <> component_id").select("doc_id").distinct()
     repeated = linked.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
@@ -62,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
