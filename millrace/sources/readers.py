@@ -91,13 +91,23 @@ def read_records(spark: SparkSession, path: str, fmt: str | None = None, column:
     if fmt == "yaml":
         return read_yaml_records(spark, path).select(F.parse_json("record").alias(column))
     if fmt == "json":
-        whole = spark.read.text(path, wholetext=True).select(F.parse_json(_checked(F.col("value"))).alias("v"))
-        data = F.try_variant_get("v", "$.data", "array<variant>")
-        listed = F.try_variant_get("v", "$", "array<variant>")
-        return whole.select(F.explode(F.coalesce(listed, data, F.array("v"))).alias(column))
+        whole = spark.read.text(path, wholetext=True).select(_checked(F.col("value")).alias("value"))
+        return whole.select(F.explode(_record_variants(F.col("value"))).alias(column))
     raise ValueError(f"Not a record format: {fmt}")
 
 
+def _record_variants(text: Column) -> Column:
+    """The records of a JSON file: its array's items, those of its ``data``, or the value itself.
+
+    Each is a VARIANT of its own; the whole file may exceed the size that Spark allows for one.
+    """
+    strict = {"mode": "FAILFAST"}
+    listed = F.ltrim(text, F.lit(" \t\r\n\ufeff")).startswith("[")
+    inside = F.from_json(text, "data array<variant>")["data"].isNotNull()
+    return F.when(listed, F.from_json(text, "array<variant>", strict)).when(
+        inside, F.from_json(text, "data array<variant>", strict)["data"]).otherwise(F.array(F.parse_json(text)))
+
+
 def read_texts(spark: SparkSession, path: str, types: Sequence[str] = (), recurse: bool = True) -> DataFrame:
     """``path, size, text``: one row per file of a folder tree, for the text scans.
 

@@ -1,6 +1,7 @@
 """Write a DataFrame in any supported format.
 
-Every sink writes one file per task into a folder; nothing is gathered.
+Every sink writes at least one file per task into a folder; nothing is gathered.  JSON arrays and YAML, which are
+read file by file, come as files of a bounded size, however much a task holds.
 """
 
 from __future__ import annotations
@@ -8,9 +9,9 @@ from __future__ import annotations
 import json
 import os
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from ..functions.paths import top
 from .readers import gated, infer_format, read, table_url
 
 _JSON = {"ignoreNullFields": "false"}
+#: Characters of records after which a JSON array or a YAML list ends and the next file begins.
+DOCUMENT_CHARS = 8 * 1024 * 1024
 
 
 def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", check_empty: bool = False) -> None:
@@ -31,7 +34,7 @@ def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", check
     if check_empty and df.isEmpty():
         raise ValueError("No data to save.")
     if fmt == "json":
-        json_arrays(df).write.mode(mode).text(path)
+        json_arrays(df).write.mode(mode).option("maxRecordsPerFile", 1).text(path)
     elif fmt == "jsonl":
         df.write.mode(mode).options(**_JSON).json(path)
     elif fmt in ("csv", "tsv"):
@@ -46,7 +49,7 @@ def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", check
         (wrapped.write.mode(mode).format("xml").option("rootTag", "dataset").option("rowTag", "record")
          .option("attributePrefix", "@").option("valueTag", "#text").save(path))
     elif fmt == "yaml":
-        yaml_items(df).write.mode(mode).text(path)
+        yaml_lists(df).write.mode(mode).option("maxRecordsPerFile", 1).text(path)
     elif fmt == "avro":
         gated(lambda: df.write.mode(mode).format("avro").save(path), "Avro", "the spark-avro package")
     elif fmt == "sqlite":
@@ -95,35 +98,39 @@ def write_splits(split: DataFrame, path: str, fmt: str = "parquet", mode: str =
 
 
 def json_arrays(df: DataFrame) -> DataFrame:
-    """``value``: the lines of one JSON array per task, one record per line."""
+    """``value``: whole JSON arrays, one record per line."""
+    return _documents(df, lambda record: record, lambda records: "[\n" + ",\n".join(records) + "\n]")
 
-    def frame_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: str | None = None
-        for batch in batches:
-            out = []
-            for record in batch["value"]:
-                out.append("[" if held is None else held + ",")
-                held = record
-            yield pd.DataFrame({"value": out}, dtype="object")
-        if held is not None:
-            yield pd.DataFrame({"value": [held, "]"]})
-
-    return df.select(F.to_json(F.struct("*"), _JSON).alias("value")).mapInPandas(frame_lines, "value string")
 
+def yaml_lists(df: DataFrame) -> DataFrame:
+    """``value``: whole YAML lists, every record an item."""
 
-def yaml_items(df: DataFrame) -> DataFrame:
-    """``value``: every record as one item of a YAML list."""
-
-    def dump(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def item(record: str) -> str:
         import yaml
 
         dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
-        for batch in batches:
-            yield pd.DataFrame({"value": [
-                yaml.dump([json.loads(record)], Dumper=dumper, default_flow_style=False, allow_unicode=True).rstrip("\n")
-                for record in batch["value"]]}, dtype="object")
+        return yaml.dump([json.loads(record)], Dumper=dumper, default_flow_style=False, allow_unicode=True).rstrip("\n")
 
-    return df.select(F.to_json(F.struct("*"), _JSON).alias("value")).mapInPandas(dump, "value string")
+    return _documents(df, item, "\n".join)
+
+
+def _documents(df: DataFrame, item: Callable[[str], str], joined: Callable[[list[str]], str]) -> DataFrame:
+    """``value``: documents of about ``DOCUMENT_CHARS``, each to be a file; one record at least, none without records."""
+    most = DOCUMENT_CHARS
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, chars = [], 0
+        for batch in batches:
+            for record in batch.column(0):  # One at a time: only the batch and a document are held.
+                items.append(item(record.as_py()))
+                chars += len(items[-1])
+                if chars >= most:
+                    yield pa.RecordBatch.from_pydict({"value": [joined(items)]})
+                    items, chars = [], 0
+        if items:
+            yield pa.RecordBatch.from_pydict({"value": [joined(items)]})
+
+    return df.select(F.to_json(F.struct("*"), _JSON).alias("value")).mapInArrow(collect, "value string")
 
 
 def _flat(field: T.StructField) -> Column:

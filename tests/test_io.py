@@ -285,3 +285,26 @@ def test_csv_headers_that_differ(spark, tmp_path, rows):
 def test_json_records_keep_their_data_field(spark, tmp_path, rows):
     (tmp_path / "a.json").write_text('[{"id":1,"data":[{"a":1},{"a":2}]},{"id":2,"data":[{"a":3}]},{"id":3,"data":[]}]')
     assert rows(read(spark, str(tmp_path / "a.json")).selectExpr("id", "size(data)")) == [(1, 2), (2, 1), (3, 0)]
+
+
+@pytest.mark.parametrize("fmt", ["json", "yaml"])
+def test_documents_are_bounded(spark, tmp_path, monkeypatch, fmt):
+    """One task with more than a document's worth writes several whole documents; none is lost or cut."""
+    from millrace.sources import writers
+
+    monkeypatch.setattr(writers, "DOCUMENT_CHARS", 1000)
+    path = str(tmp_path / "out")
+    write(spark.range(0, 100, 1, 1).selectExpr("id", "repeat('x y\n', 50) AS t"), path, fmt)
+    sizes = [os.path.getsize(os.path.join(path, p)) for p in os.listdir(path) if p.startswith("part-")]
+    assert len(sizes) > 20 and max(sizes) < 3000
+    back = read(spark, path, fmt)
+    assert sorted(r.id for r in back.collect()) == list(range(100)) and back.select("t").distinct().count() == 1
+    assert read_records(spark, path, fmt).count() == 100
+
+
+def test_records_of_a_file_beyond_one_variant(spark, tmp_path):
+    """A VARIANT holds 128 MiB; a file's records may be more."""
+    record = json.dumps({"t": "x" * (1 << 20)})
+    for name, start, end in (("a.json", "[", "]"), ("b.json", '{"data":[', "]}")):
+        path = put(tmp_path / name, start + ",".join([record] * 135) + end)
+        assert read_records(spark, path).count() == 135
