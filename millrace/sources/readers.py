@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -242,21 +243,21 @@ def _typed_json(texts: DataFrame, column: str, schema, mode: str) -> DataFrame:
 def read_yaml_records(spark: SparkSession, path: str) -> DataFrame:
     """``record``: each YAML record as JSON text.  Every file is parsed by the task that reads it."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import yaml
 
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for batch in batches:
-            for document in batch["value"]:
-                loaded = yaml.load(document, Loader=loader)
+            for document in batch.column(0):  # One file at a time is held as objects.
+                loaded = yaml.load(document.as_py(), Loader=loader)
                 if isinstance(loaded, dict):
                     inner = loaded.get("data")
                     loaded = inner if isinstance(inner, list) else [loaded]
                 records = loaded if isinstance(loaded, list) else []
-                yield pd.DataFrame({"record": [json.dumps(r, ensure_ascii=False, default=str) for r in records]},
-                                   dtype="object")
+                texts = [json.dumps(r, ensure_ascii=False, default=str) for r in records]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["record"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, "record string")
+    return spark.read.text(path, wholetext=True).mapInArrow(parse, "record string")
 
 
 def _header_groups(spark: SparkSession, path: str) -> list[list[str]]:
