@@ -1,4 +1,4 @@
-"""Noise and new sentence orders: variations of a text in one narrow expression each.
+"""Noise and new sentence orders: variations of a text in one narrow step each.
 
 Both are positional: what happens to a character or a sentence depends on a hash of (row key, field,
 place), so results repeat on any partitioning and rates hold on any length.
@@ -7,7 +7,10 @@ place), so results repeat on any partitioning and rates hold on any length.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from ..functions.paths import top
 
 #: What may befall a character.
 EDITS = ("drop", "swap", "double")
-#: Characters whose draws come from one hash, four hex digits each.
+#: Characters whose draws come from one hash, two of its bytes each.
 PER_HASH = 8
 #: Words whose full stop ends no sentence, in lower case.
 ABBREVIATIONS = (
@@ -42,30 +45,37 @@ def noisy(text: Column, base: Column, rate: float) -> Column:
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be between 0 and 1")
-    limit = F.lit(f"{min(round(rate * 65536), 65535):04x}")
-
-    def kinds(b: Column, chars: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / PER_HASH).cast("int")), lambda k: seeded.item_hash(b, k))
-        drawn = lambda h, i: F.substring(F.get(h, F.floor(i / PER_HASH).cast("int")), i % PER_HASH * 4 + 1, F.lit(4))
-        return tx.once(hashes, lambda h: F.transform(chars, lambda c, i: tx.once(
-            drawn(h, i), lambda d: F.when(d < limit, (F.conv(d, 16, 10).cast("int") % 3)).otherwise(F.lit(-1)))))
-
-    def edited(chars: Column, kind: Column) -> Column:
-        drop, swap, double = range(3)
-        kind_at = lambda i: F.coalesce(F.get(kind, i), F.lit(-1))
-
-        def swaps(i: Column) -> Column:
-            return (kind_at(i) == swap) & (kind_at(i - 1) != swap) & (i + 1 < F.size(chars))
-
-        def one(c: Column, i: Column) -> Column:
-            return (F.when(swaps(i), F.get(chars, i + 1)).when(swaps(i - 1), F.get(chars, i - 1))
-                    .when(kind_at(i) == drop, F.lit("")).when(kind_at(i) == double, F.concat(c, c)).otherwise(c))
-
-        return F.array_join(F.transform(chars, one), "")
-
-    chars = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
-    changed = tx.once(chars, lambda c: tx.once(base, lambda b: tx.once(kinds(b, c), lambda k: edited(c, k))))
-    return F.when(F.length(text) == 0, text).otherwise(changed)
+    limit = min(round(rate * 65536), 65535)
+
+    @F.pandas_udf("string")
+    def changed(texts: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([_edited(t, b, limit) if t else t for t, b in zip(texts, bases)], dtype="object")
+
+    return changed(text, base)
+
+
+def _edited(text: str, base: str, limit: int) -> str:
+    """The text with the edits of those places whose draw is below ``limit``; other places cost no step of their own."""
+    n, start = len(text), base.encode() + b":"
+    hashes = b"".join([md5(start + b"%d" % k, usedforsecurity=False).digest() for k in range((n + PER_HASH - 1) // PER_HASH)])
+    draws = np.frombuffer(hashes, ">u2")[:n]
+    places = np.flatnonzero(draws < limit)
+    kinds = dict(zip(places.tolist(), (draws[places] % len(EDITS)).tolist()))
+    drop, swap, double = range(len(EDITS))
+    out, done = [], 0
+    for i, kind in kinds.items():  # in ascending order
+        swaps = kind == swap and kinds.get(i - 1) != swap and i + 1 < n
+        if i < done or kind == swap and not swaps:
+            continue
+        out.append(text[done:i])
+        done = i + 1
+        if swaps:
+            out.append(text[i + 1] + text[i])
+            done = i + 2
+        elif kind == double:
+            out.append(text[i] * 2)
+    out.append(text[done:])
+    return "".join(out)
 
 
 def sentence_pieces(text: Column) -> Column:

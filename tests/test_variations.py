@@ -193,3 +193,24 @@ def test_masks(spark):
         mask.masked(F.col("t"), [mask.MaskRule("z*")])
     df = spark.createDataFrame([(1, None, "12345")], "id int, t string, u string")
     assert tuple(mask.mask_fields(df, ["t"], rules).first()) == (1, None, "12345")
+
+
+def test_noise_costs_no_step_for_each_character(spark):
+    """Against a plain loop over characters; the plan has no expression that runs for every character."""
+    from hashlib import md5
+
+    def plain(text, base, rate):
+        limit, n = min(round(rate * 65536), 65535), len(text)
+        draws = [int(md5(f"{base}:{i // 8}".encode()).hexdigest()[i % 8 * 4:i % 8 * 4 + 4], 16) for i in range(n)]
+        kind = [d % 3 if d < limit else -1 for d in draws] + [-1]
+        swaps = [kind[i] == 1 and (i == 0 or kind[i - 1] != 1) and i + 1 < n for i in range(n)]
+        return "".join(text[i + 1] if swaps[i] else text[i - 1] if i and swaps[i - 1] else "" if kind[i] == 0
+                       else text[i] * 2 if kind[i] == 2 else text[i] for i in range(n))
+
+    texts = ["", "a", "ab", "abcdefgh", "abcdefghi", "é😀ü\n\t x" * 30, "x y" * 99]
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "id long, t string")
+    for rate in (0.0, 0.02, 0.4, 1.0):
+        noise = vary.add_noise(df, ["t"], "id", rate)
+        assert {r.id: r.t for r in noise.collect()} == {
+            **{i: plain(t, f"{i}:noise:42:t", rate) for i, t in enumerate(texts)}, len(texts): None}
+    assert "lambdafunction" not in noise._jdf.queryExecution().optimizedPlan().toString()
