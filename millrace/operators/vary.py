@@ -45,39 +45,39 @@ def noisy(text: Column, base: Column, rate: float) -> Column:
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be between 0 and 1")
+    # Defined inside, so that it travels with the plan: workers need not have this package.
     limit = min(round(rate * 65536), 65535)
 
+    def edited(text: str, base: str) -> str:
+        """The text with the edits of those places whose draw is below ``limit``; other places cost no step of their own."""
+        n, start = len(text), base.encode() + b":"
+        hashes = b"".join([md5(start + b"%d" % k, usedforsecurity=False).digest() for k in range((n + PER_HASH - 1) // PER_HASH)])
+        draws = np.frombuffer(hashes, ">u2")[:n]
+        places = np.flatnonzero(draws < limit)
+        kinds = dict(zip(places.tolist(), (draws[places] % len(EDITS)).tolist()))
+        drop, swap, double = range(len(EDITS))
+        out, done = [], 0
+        for i, kind in kinds.items():  # in ascending order
+            swaps = kind == swap and kinds.get(i - 1) != swap and i + 1 < n
+            if i < done or kind == swap and not swaps:
+                continue
+            out.append(text[done:i])
+            done = i + 1
+            if swaps:
+                out.append(text[i + 1] + text[i])
+                done = i + 2
+            elif kind == double:
+                out.append(text[i] * 2)
+        out.append(text[done:])
+        return "".join(out)
+
     @F.pandas_udf("string")
     def changed(texts: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([_edited(t, b, limit) if t else t for t, b in zip(texts, bases)], dtype="object")
+        return pd.Series([edited(t, b) if t else t for t, b in zip(texts, bases)], dtype="object")
 
     return changed(text, base)
 
 
-def _edited(text: str, base: str, limit: int) -> str:
-    """The text with the edits of those places whose draw is below ``limit``; other places cost no step of their own."""
-    n, start = len(text), base.encode() + b":"
-    hashes = b"".join([md5(start + b"%d" % k, usedforsecurity=False).digest() for k in range((n + PER_HASH - 1) // PER_HASH)])
-    draws = np.frombuffer(hashes, ">u2")[:n]
-    places = np.flatnonzero(draws < limit)
-    kinds = dict(zip(places.tolist(), (draws[places] % len(EDITS)).tolist()))
-    drop, swap, double = range(len(EDITS))
-    out, done = [], 0
-    for i, kind in kinds.items():  # in ascending order
-        swaps = kind == swap and kinds.get(i - 1) != swap and i + 1 < n
-        if i < done or kind == swap and not swaps:
-            continue
-        out.append(text[done:i])
-        done = i + 1
-        if swaps:
-            out.append(text[i + 1] + text[i])
-            done = i + 2
-        elif kind == double:
-            out.append(text[i] * 2)
-    out.append(text[done:])
-    return "".join(out)
-
-
 def sentence_pieces(text: Column) -> Column:
     """Sentences and the gaps between them, in turn: ``[sentence, gap, sentence, …]``.
 
