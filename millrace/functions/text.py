@@ -15,8 +15,9 @@ WS = (
 )
 #: White space that does not end a line.
 INLINE_WS = WS.replace(r"\t-\r", r"\t\x0b\x0c", 1)
+#: The same characters one by one.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 TOKEN = f"[^{WS}]+"
-ASCII_TOKEN = r"[^\t-\r\x1c-\x20]+"
 STRIP = f"^[{WS}]+|[{WS}]+$"
 #: Words and single punctuation marks.
 WORD_OR_MARK = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}]"
@@ -55,12 +56,12 @@ def is_json(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """White-space separated words.  Plain ASCII text, the common case, takes a smaller pattern."""
-    return _all(text, ASCII_TOKEN, TOKEN)
+    """White-space separated words.  A cut at one plain character is much cheaper than a pattern."""
+    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
 
 def word_tokens(text: Column) -> Column:
-    """Words and punctuation marks as separate tokens."""
+    """Words and punctuation marks as separate tokens.  Plain ASCII text, the common case, takes a smaller pattern."""
     return _all(text, ASCII_WORD_OR_MARK, WORD_OR_MARK)
 
 

@@ -122,3 +122,12 @@ def test_long_mapping_equals_the_table(spark, rows):
     assert by_mapping == rows(augment.augment(texts, "id", 3, ["synonym"], thesaurus=table))
     assert any("s" in r[1] for r in by_mapping)
     assert augment.augment(texts, "id", 2, ["shuffle"], thesaurus=words).count() == 100
+
+
+def test_words_are_cut_without_a_pattern(spark):
+    """The words of Python's ``str.split``, for every white-space character, by one plain cut."""
+    odd = [chr(c) for c in (*range(1, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    rows = ["", " ", "a", "  a  b ", "é😀\r\n\tü", "".join(f"x{c}y{c}{c}" for c in odd), "".join(odd), *[f"a{c}b" for c in odd]]
+    df = spark.createDataFrame([*enumerate(rows), (len(rows), None)], "k int, t string").select("k", tx.tokens(F.col("t")).alias("w"))
+    assert {r.k: r.w for r in df.collect()} == {**{k: t.split() for k, t in enumerate(rows)}, len(rows): None}
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
