@@ -9,7 +9,9 @@ literal in the plan.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from hashlib import md5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,29 @@ def shuffle_words(text: Column, base: Column, keep_ends: int = 2, words: Column
     return F.when(size > 2 * keep_ends + 2, F.array_join(mixed, " ")).otherwise(text)
 
 
+def shuffle_texts(text: Column, base: Column, keep_ends: int = 2) -> Column:
+    """What ``shuffle_words`` gives for texts of more than three words, others unchanged; for text columns, read in batches.
+
+    What tasks run is defined inside, so that it travels with the plan: workers need not have this package.
+    """
+    least = 2 * keep_ends + 2 if keep_ends else 3
+
+    def mixed(text: str, base: str) -> str:
+        words = text.split()
+        if len(words) <= max(least, 3):
+            return text
+        start, end = base.encode() + b":", len(words) - keep_ends
+        hashes = [md5(start + b"%d" % i, usedforsecurity=False).digest() for i in range(end - keep_ends)]
+        order = sorted(range(end - keep_ends), key=hashes.__getitem__)
+        return " ".join([*words[:keep_ends], *[words[keep_ends + i] for i in order], *words[end:]])
+
+    @F.pandas_udf("string")
+    def changed(texts: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([mixed(t, b) if t else t for t, b in zip(texts, bases)], dtype="object")
+
+    return changed(text, base)
+
+
 def replace_synonyms(text: Column, base: Column, thesaurus: Mapping[str, Sequence[str]]) -> Column:
     """Each word is replaced, with chance 0.2, by a synonym of its lower-case form."""
     table = F.create_map(*[c for word in sorted(thesaurus) for c in (
@@ -133,8 +158,14 @@ def augment(
         base = {m: seeded.extend(seeded.seed_text(top(key), m, seed, F.col("copy_no")), *where) for m in methods}
         words = top("_words_" + column) if column is not None else tx.tokens(text)
         method = F.col("method")
-        new = F.when(method.isNull() | (F.size(words) <= 3), text)
-        if "shuffle" in methods:
+        new = F.when(method.isNull(), text)
+        if "shuffle" in methods and column is not None:
+            # Rows of other methods go to Python without their text.
+            mixed = shuffle_texts(F.when(method == "shuffle", text), base["shuffle"], keep_ends)
+            new = new.when(method == "shuffle", mixed)
+        if column is None or set(methods) != {"shuffle"}:  # Otherwise no words are needed, nor copied with the rows.
+            new = new.when(F.size(words) <= 3, text)
+        if "shuffle" in methods and column is None:
             new = new.when(method == "shuffle", shuffle_words(text, base["shuffle"], keep_ends, words))
         if "synonym" in methods and joined:
             new = new.when(method == "synonym", _merge_words(tx.word_tokens(text), F.filter(

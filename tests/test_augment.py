@@ -131,3 +131,16 @@ def test_words_are_cut_without_a_pattern(spark):
     df = spark.createDataFrame([*enumerate(rows), (len(rows), None)], "k int, t string").select("k", tx.tokens(F.col("t")).alias("w"))
     assert {r.k: r.w for r in df.collect()} == {**{k: t.split() for k, t in enumerate(rows)}, len(rows): None}
     assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shuffled_columns_equal_the_expression(spark, texts):
+    """Text columns are shuffled in batches, by the order that the expression gives, without carrying their words."""
+    rows = texts.unionByName(spark.sql("SELECT 90 AS k, concat_ws('  ', transform(sequence(1, 300), i -> concat('w', i % 7))) AS t UNION ALL SELECT 91, NULL"))
+    for ends in (0, 1, 2):
+        out = augment.augment(rows, "k", 3, ["shuffle"], keep_ends=ends)
+        base = F.concat_ws(":", "k", F.lit("shuffle"), F.lit("42"), "copy_no", F.lit("t"))
+        want = rows.crossJoin(spark.range(3).selectExpr("CAST(id AS int) AS copy_no")).select("k", "copy_no", F.when(
+            (F.col("copy_no") > 0) & (F.size(tx.tokens(F.col("t"))) > 3), augment.shuffle_words(F.col("t"), base, ends)).otherwise(F.col("t")).alias("t"))
+        assert sorted(map(tuple, out.select("k", "copy_no", "t").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "sort_array" not in plan and "_words_" not in plan
