@@ -8,6 +8,9 @@ tokens of each group.  What meets a member of another group is a query to that g
 with the union bounds its overlap with every member, and only groups that the bound admits are opened
 and compared set by set.  Links are transitive for the result, so a group's inside is never paired.
 
+Two sets differ at least in the tokens that no other group has, so a class with too many of those has
+no partner outside its group, and two classes that together have too many are no pair.  Signatures
+by which the same classes meet count as one.
 Classes that meet by what many have in common are not paired.  They are held against a centre instead,
 and those that the centre leaves in different groups meet by what they differ from it in: sets within
 the similarity must share much of that, so the rarest elements of the difference bring them together.
@@ -39,8 +42,9 @@ SMALL = 32
 SCHEMES = 512
 #: Members whose tokens are united in one row of the matrix; a larger group takes several rows.
 CHUNK = 64
-#: Classes that are paired when they meet; more of them meet by their differences to a centre.
-FEW = 8
+#: Classes that are paired when they meet; more of them meet by their differences to a centre, which takes
+#: about as many rows for each class.
+FEW = 32
 #: Centres one below another; what still is common then is paired, so that no link is lost.
 ROUNDS = 4
 #: Classes up to which their ids are sent to all tasks; beyond, texts are shuffled to them.
@@ -184,9 +188,10 @@ def _rarest(member: DataFrame, needs: DataFrame) -> DataFrame:
     """Leave out the commonest signatures of each class and scheme, one fewer than a partner must share.
 
     All classes rank signatures alike, so the rarest of those that two sets within the similarity
-    share stays with both of them.
+    share stays with both of them.  Signatures of a single group go before.
     """
-    often = member.groupBy("sign").agg(F.count(F.lit(1)).alias("often"))
+    often = member.groupBy("sign").agg(
+        F.count(F.lit(1)).alias("often"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("sign", "often")
     commonest = Window.partitionBy("h", "scheme").orderBy(F.desc("often"), F.desc("sign"))
     ranked = member.join(often, "sign").withColumn("scheme", _scheme()).join(needs, "h")
     return ranked.withColumn("rank", F.row_number().over(commonest)).filter(F.col("rank") >= _need()).select(*member.columns)
@@ -205,6 +210,29 @@ def _peel(member: DataFrame, needs: DataFrame, group: str) -> DataFrame:
     return written(member.join(enough, ["h", "scheme"], "left_semi").drop("scheme"))
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("h", "g", "n")), pa.array(tokens, pa.list_(pa.int64()))], names=["h", "g", "n", "tokens"])
+
+
+def _open(member: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``h, n, slack``: the classes that may be linked to a class of another group.
+
+    The tokens that no other group has are on one side only of any difference to another group.  Sets of
+    n and n' tokens are linked if they differ in at most (100 - p) / (100 + p) (n + n'), so two classes with
+    a positive sum of ``slack`` are not; and a class shares at least p per cent of its tokens with a partner.
+    """
+    classes = member.select("h", "g").distinct()
+    each = written(tokens.join(classes, "h").select("h", "g", "n", "tokens").mapInArrow(
+        _listed, "h long, g long, n long, tokens array<long>")).select("h", "g", "n", F.explode("tokens").alias("token"))
+    mixed = each.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
+    foreign = each.join(mixed, "token", "left_semi").groupBy("h", "n").agg(F.count(F.lit(1)).alias("foreign"))
+    return written(foreign.filter(F.col("foreign") * 100 >= F.col("n") * percent).select(
+        "h", "n", (F.lit(2 * percent) * F.col("n") - F.lit(100 + percent) * F.col("foreign")).alias("slack")))
+
+
 def _central(meeting: DataFrame) -> DataFrame:
     """``sign, a``: of the classes that meet by a signature the one whose own signatures are the commonest.
 
@@ -270,6 +298,7 @@ def _differ(percent: int):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kept = [c for c in batch.schema.names if c not in ("x", "y")]
             linked, size, near, deep, tokens = [], [], [], [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -284,19 +313,19 @@ def _differ(percent: int):
                 deep.append(m - max(-(-apart // (2 * (100 + percent))), least) + 1)
                 tokens.append(other.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("a", "h", "g")), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()),
+                [*(batch.column(c) for c in kept), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()),
                  pa.array(near, pa.int32()), pa.array(deep, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["a", "h", "g", "linked", "m", "near", "deep", "tokens"])
+                names=[*kept, "linked", "m", "near", "deep", "tokens"])
     return run
 
 
 def _by_difference(differ: DataFrame) -> DataFrame:
-    """``key, h, g, asks, answers``: classes that may be linked share a key, by which one asks and one answers.
+    """``key, h, g, n, slack, asks, answers``: classes that may be linked share a key, by which one asks and one answers.
 
     Elements are ranked by how many differences to the same centre have them, the rarest first.  What
     only one has needs no row: it just comes first.
     """
-    each = differ.select("a", "h", "g", "linked", "m", "near", "deep", F.explode("tokens").alias("token"))
+    each = differ.select("a", "h", "g", "n", "slack", "linked", "m", "near", "deep", F.explode("tokens").alias("token"))
     often = each.groupBy("a", "token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     own = Window.partitionBy("a", "h")
     ranked = each.join(often, ["a", "token"]).withColumn(
@@ -304,7 +333,8 @@ def _by_difference(differ: DataFrame) -> DataFrame:
 
     def row(side: int, asks: bool, answers: bool, when: Column) -> Column:
         key = F.xxhash64("a", "token", F.lit(side))
-        return F.when(when, F.struct(key.alias("key"), "h", "g", F.lit(asks).alias("asks"), F.lit(answers).alias("answers")))
+        answers = F.col("slack") <= 0 if asks and answers else F.lit(answers)  # of a pair at least one has no positive slack
+        return F.when(when, F.struct(key.alias("key"), "h", "g", "n", "slack", F.lit(asks).alias("asks"), answers.alias("answers")))
 
     linked, near, deep = F.col("linked"), F.col("rank") <= F.col("near"), F.col("rank") <= F.col("deep")
     rows = F.array_compact(F.array(
@@ -313,33 +343,38 @@ def _by_difference(differ: DataFrame) -> DataFrame:
 
 
 def _meet(member: DataFrame, tokens: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Pairs ``a < b`` of classes of different groups that may be linked, and links to the centres.
+    """Pairs ``a < b`` of classes of different groups that may be linked, and groups ``a, b`` that centres link.
 
-    ``member`` has ``key, h, g``.  Keys of few classes pair them; a key with more gets a centre.
+    ``member`` has ``key, h, g, n, slack``.  Keys of few classes pair them; a key with more gets a centre.
     """
     pairs, links = [], []
-    member = member.withColumn("asks", F.lit(True)).withColumn("answers", F.lit(True))
+    member = member.withColumn("asks", F.lit(True)).withColumn("answers", F.col("slack") <= 0)
+    one = ("h", "asks", "answers")
     for left in range(ROUNDS, -1, -1):
         sizes = member.groupBy("key").agg(
-            F.min("g").alias("lo"), F.max("g").alias("hi"),
-            F.least(F.count_if("asks"), F.count_if("answers")).alias("k")).filter("lo <> hi AND k > 0")
-        sized = written(member.join(sizes.select("key", "k"), "key"))
+            F.min("g").alias("lo"), F.max("g").alias("hi"), F.count_if("asks").alias("ask"), F.count_if("answers").alias("answer"),
+            F.bit_xor(F.xxhash64(*one)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *one)).alias("y")).filter("lo <> hi AND ask > 0 AND answer > 0")
+        sizes = sizes.groupBy("ask", "answer", "x", "y").agg(F.min("key").alias("key")).select("key", F.least("ask", "answer").alias("k"))
+        sized = written(member.join(sizes, "key"))
         few = sized.filter(F.col("k") <= FEW) if left else sized
-        ask = few.filter("asks").select("key", F.col("h").alias("a"), F.col("g").alias("own"), F.col("answers").alias("both"))
-        answer = few.filter("answers").select("key", F.col("h").alias("b"), "g")
-        met = ask.join(answer, "key").filter("own <> g AND (NOT both OR a < b)")
+        ask = few.filter("asks").select(
+            "key", F.col("h").alias("a"), F.col("g").alias("own"), F.col("answers").alias("both"), F.col("n").alias("size"), F.col("slack").alias("spare"))
+        answer = few.filter("answers").select("key", F.col("h").alias("b"), "g", "n", "slack")
+        met = ask.join(answer, "key").filter("own <> g AND (NOT both OR a < b) AND spare + slack <= 0").filter(
+            100 * F.least("size", "n") >= percent * F.greatest("size", "n"))
         pairs.append(written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         many = sized.filter(F.col("k") > FEW)
         if not left or many.isEmpty():
             return pairs, links
         centres = _central(many.select(F.col("key").alias("sign"), "h")).withColumnRenamed("sign", "key")
-        held = many.join(centres, "key").filter("h <> a").select("a", "h", "g").distinct()
+        held = many.join(centres, "key").select("a", "h", "g", "n", "slack").distinct()
         x = tokens.select(F.col("h").alias("a"), F.col("tokens").alias("x"))
         y = tokens.select("h", F.col("tokens").alias("y"))
-        differ = written(held.join(x, "a").join(y, "h").select("a", "h", "g", "x", "y").mapInArrow(
-            _differ(percent), "a long, h long, g long, linked boolean, m int, near int, deep int, tokens array<long>"))
-        links.append(differ.filter("linked").select("a", F.col("h").alias("b")))
-        member = _by_difference(differ)
+        differ = written(held.join(x, "a").join(y, "h").select("a", "h", "g", "n", "slack", "x", "y").mapInArrow(
+            _differ(percent), "a long, h long, g long, n long, slack long, linked boolean, m int, near int, deep int, tokens array<long>"))
+        own = differ.filter("a = h").select("a", F.col("g").alias("b"))
+        links.append(differ.filter("linked").join(own, "a").filter("g <> b").select(F.col("g").alias("a"), "b"))
+        member = _by_difference(differ.filter("a <> h"))
     return pairs, links
 
 
@@ -406,11 +441,13 @@ def _link(documents: DataFrame, doc_id: str, text: str, words: int, percent: int
     member = _peel(
         meeting.join(groups, meeting["h"] == groups["node"], "left").select("sign", "h", F.coalesce("root", "h").alias("g")),
         needs, "g")
-    member = written(_rarest(member, needs))
-    pairs, links = _meet(member.select(F.col("sign").alias("key"), "h", "g"), tokens, percent)
+    able = _open(member, tokens, percent)
+    member = written(_rarest(member.join(able.select("h"), "h", "left_semi").select("sign", "h", "g"), needs))
+    pairs, links = _meet(member.select(F.col("sign").alias("key"), "h", "g").join(able, "h"), tokens, percent)
+    linked = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if links:
-        stars = written(reduce(DataFrame.unionByName, links, stars).distinct())
-        groups = written(components(stars))
+        linked = written(reduce(DataFrame.unionByName, links, linked).distinct())
+        groups = written(components(linked))
     placed = tokens.select("h").join(groups, tokens["h"] == groups["node"], "left").select("h", F.coalesce("root", "h").alias("g"))
     sizes = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     placed = written(placed.join(sizes, "g").select("h", "g", F.pmod(F.xxhash64("h"), "chunks").cast("int").alias("chunk")))
@@ -433,7 +470,7 @@ def _link(documents: DataFrame, doc_id: str, text: str, words: int, percent: int
     opened = queries.join(written(admitted), ["q", "g", "chunk"]).select(F.col("q").alias("a"), "b").distinct()
     bridges = _verified(opened, tokens, percent)
 
-    whole = written(components(stars.unionByName(bridges)))
+    whole = written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(bridges)))
     placed = classes.select("h", "rep", "size").join(whole, classes["h"] == whole["node"], "left").select(
         "h", "rep", "size", F.coalesce("root", "h").alias("root"))
     # Only what is linked needs its root's smallest id.

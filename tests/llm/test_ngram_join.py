@@ -138,6 +138,40 @@ def test_pairs_follow_the_rows(spark, monkeypatch):
     assert made[2] <= 8 * max(made[0], 100)
 
 
+def test_who_has_much_of_its_own_is_not_paired(spark, monkeypatch):
+    """Texts with a passage in common and too many words of their own to be linked make no pairs."""
+    made, meet = [], J._meet
+
+    def counted(member, tokens, percent):
+        pairs, links = meet(member, tokens, percent)
+        made.append(sum(p.count() for p in pairs))
+        return pairs, links
+
+    monkeypatch.setattr(J, "_meet", counted)
+    passage = [f"w{i}" for i in range(160)]
+    rows = [(i, " ".join(passage + [f"n{i}_{k}" for k in range(20)])) for i in range(60)]
+    assert {r["component_id"] for r in J.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(60))
+    assert made == [0]
+
+
+def test_open_classes_keep_every_link(spark):
+    """Classes linked to another group are open, and the sum of their slack is not positive."""
+    rows = crowd(200, 5)
+    sets = {i: J.shingles(t) for i, t in rows}
+    sets = {i: s for i, s in sets.items() if not any(len(s) == len(sets[k]) and (s == sets[k]).all() for k in range(i))}
+    tokens = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in sets.items()], "h long, n long, tokens binary")
+    member = spark.createDataFrame([(i, i) for i in sets], "h long, g long")
+    slack = {r["h"]: r["slack"] for r in J._open(member, tokens, 80).collect()}
+    linked = 0
+    for i in sets:
+        for k in sets:
+            both = len(np.intersect1d(sets[i], sets[k]))
+            if i < k and 100 * both >= 80 * (len(sets[i]) + len(sets[k]) - both):
+                linked += 1
+                assert slack[i] + slack[k] <= 0
+    assert linked > 20
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_differences_share_what_they_promise(seed):
     """Sets within the similarity share one of the first elements of their differences to a centre, in any order."""
