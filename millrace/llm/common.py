@@ -7,9 +7,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, written
+from ..session import scratch, shuffles_removed, written
 
-__all__ = ["blank", "plain", "rows_at_once", "scratch", "single_threaded", "table", "unused", "written"]
+__all__ = ["blank", "plain", "rows_at_once", "scratch", "shuffles_removed", "single_threaded", "table", "unused", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

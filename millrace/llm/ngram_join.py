@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain, rows_at_once, scratch, written
+from .common import plain, rows_at_once, scratch, shuffles_removed, written
 from ..operators.components import components
 
 WORDS = 3
@@ -152,10 +152,12 @@ def signatures(tokens: np.ndarray, ends: np.ndarray, percent: int = PERCENT) ->
 
 
 def _profiler(words: int, percent: int):
+    """Rows ``sign, h``, one for each signature, and one row for each document that has its ``profile`` instead."""
     ends = np.array(bands(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()  # sets whose signatures this task has given; bounded, as repeats do no harm
+        rows = 0
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             keys = [int(np.add.reduce(mix(s + np.uint64(7))).astype(np.int64)) if len(s) else None for s in sets]
@@ -166,11 +168,19 @@ def _profiler(words: int, percent: int):
                 told.add(key)
             if len(told) > 200_000:
                 told.clear()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
-                 pa.array([f[1] for f in found], pa.int32()), pa.array([f[2][0] for f in found], pa.int32()),
-                 pa.array([f[2][1] for f in found], pa.int32()), pa.array(signs, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "h", "band", "need", "need_below", "signs"])
+            profile = pa.StructArray.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
+                 pa.array([f[2][0] for f in found], pa.int32()), pa.array([f[2][1] for f in found], pa.int32())],
+                names=["doc_id", "n", "band", "need", "need_below"])
+            # Profiles are dealt evenly; their numbers are no signatures.
+            spread = mix(np.arange(rows, rows + len(sets), dtype=np.uint64)).view(np.int64)
+            rows += len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(keys, pa.int64()), profile], names=["sign", "h", "profile"])
+            given = [k for k, sign in enumerate(signs) if len(sign)]
+            if given:
+                sign = pa.array(np.concatenate([signs[k] for k in given]))
+                h = pa.array(np.repeat(np.array([keys[k] for k in given], np.int64), [len(signs[k]) for k in given]))
+                yield pa.RecordBatch.from_arrays([sign, h, pa.nulls(len(sign), profile.type)], names=["sign", "h", "profile"])
     return run
 
 
@@ -190,24 +200,28 @@ def _rarest(member: DataFrame, needs: DataFrame) -> DataFrame:
     All classes rank signatures alike, so the rarest of those that two sets within the similarity
     share stays with both of them.  Signatures of a single group go before.
     """
-    often = member.groupBy("sign").agg(
-        F.count(F.lit(1)).alias("often"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("sign", "often")
     commonest = Window.partitionBy("h", "scheme").orderBy(F.desc("often"), F.desc("sign"))
-    ranked = member.join(often, "sign").withColumn("scheme", _scheme()).join(needs, "h")
-    return ranked.withColumn("rank", F.row_number().over(commonest)).filter(F.col("rank") >= _need()).select(*member.columns)
+    ranked = _of_scheme_and_need(_mixed(member, F.count(F.lit(1)).over(Window.partitionBy("sign")).alias("often")), needs)
+    return ranked.withColumn("rank", F.row_number().over(commonest)).filter("rank >= least").select(*member.columns)
+
+
+def _mixed(member: DataFrame, *more: Column) -> DataFrame:
+    """Without signatures that stay within one group."""
+    same = Window.partitionBy("sign")
+    return member.select("*", F.min("g").over(same).alias("lo"), F.max("g").over(same).alias("hi"), *more).filter("lo <> hi").drop("lo", "hi")
+
+
+def _of_scheme_and_need(member: DataFrame, needs: DataFrame) -> DataFrame:
+    return member.withColumn("scheme", _scheme()).join(needs, "h").withColumn("least", _need()).drop("band", "need", "need_below")
 
 
-def _peel(member: DataFrame, needs: DataFrame, group: str) -> DataFrame:
-    """Leave out what cannot meet a partner outside its group: ``sign, h`` and the group of each class.
+def _peel(member: DataFrame, needs: DataFrame) -> DataFrame:
+    """Leave out the signatures of a class in a scheme in which it has fewer than a partner must share.
 
-    A signature that stays within one group goes, and so do the signatures of a class in a scheme in
-    which fewer are left than a partner must share.  A second round would be safe, too, but finds little.
+    A second round would be safe, too, but finds little.
     """
-    mixed = member.groupBy("sign").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).filter("lo <> hi").select("sign")
-    member = member.join(mixed, "sign", "left_semi").withColumn("scheme", _scheme())
-    enough = member.groupBy("h", "scheme").agg(F.count(F.lit(1)).alias("c")).join(needs, "h").filter(
-        F.col("c") >= _need()).select("h", "scheme")
-    return written(member.join(enough, ["h", "scheme"], "left_semi").drop("scheme"))
+    here = F.count(F.lit(1)).over(Window.partitionBy("h", "scheme"))
+    return written(_of_scheme_and_need(member, needs).withColumn("c", here).filter("c >= least").select(*member.columns))
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,14 +247,31 @@ def _open(member: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
         "h", "n", (F.lit(2 * percent) * F.col("n") - F.lit(100 + percent) * F.col("foreign")).alias("slack")))
 
 
-def _central(meeting: DataFrame) -> DataFrame:
-    """``sign, a``: of the classes that meet by a signature the one whose own signatures are the commonest.
+def _central(meeting: DataFrame, by: str = "sign") -> DataFrame:
+    """``meeting`` with ``a``: of the classes that meet by a signature the one whose own signatures are the commonest.
 
     What others were copied from has them in common with all copies, so that copies become one star.
+    ``weight`` says how common the centre's signatures are.
+    """
+    same = Window.partitionBy(by)
+    often = meeting.withColumn("often", F.count(F.lit(1)).over(same))
+    weighty = often.withColumn("weight", F.sum("often").over(Window.partitionBy("h")))
+    return weighty.withColumn("top", F.max(F.struct("weight", "h")).over(same)).select(
+        *meeting.columns, F.col("top.h").alias("a"), F.col("top.weight").alias("weight"))
+
+
+def _fewer_centres(held: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: centres ``a`` and the heavier one ``b`` that stands for them.
+
+    A centre that meets a heavier one, from which it differs in at most twice what linked sets differ in, gives way.
+    Each class is then held against few centres, whatever signatures it has; any class may be a centre.
+    What stands for others stays one itself.
     """
-    often = meeting.join(meeting.groupBy("sign").agg(F.count(F.lit(1)).alias("often")), "sign")
-    weight = often.groupBy("h").agg(F.sum("often").alias("weight"))
-    return meeting.join(weight, "h").groupBy("sign").agg(F.max_by("h", F.struct("weight", "h")).alias("a"))
+    centres = held.select(F.col("a").alias("h")).distinct()
+    above = written(held.filter("a <> h").join(centres, "h", "left_semi").select("a", F.col("h").alias("b"), "weight").distinct())
+    close = written(_verified(above.select("a", "b"), tokens, percent, 2).join(above, ["a", "b"]))
+    tops = close.join(close.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    return tops.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("top")).select(F.col("b").alias("a"), F.col("top").alias("b"))
 
 
 def _token_reader(words: int):
@@ -258,15 +289,15 @@ def _token_reader(words: int):
     return run
 
 
-def _verifier(percent: int):
-    """Keep the pairs (a, b) whose sets are within the similarity."""
+def _verifier(percent: int, times: int = 1):
+    """Keep the pairs (a, b) whose sets are within the similarity, or differ in at most so many ``times`` as much."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                total, both = len(s) + len(t), len(np.intersect1d(s, t, assume_unique=True))
+                keep.append((100 + percent) * (total - 2 * both) <= times * (100 - percent) * total)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
     return run
@@ -366,8 +397,9 @@ def _meet(member: DataFrame, tokens: DataFrame, percent: int) -> tuple[list[Data
         many = sized.filter(F.col("k") > FEW)
         if not left or many.isEmpty():
             return pairs, links
-        centres = _central(many.select(F.col("key").alias("sign"), "h")).withColumnRenamed("sign", "key")
-        held = many.join(centres, "key").select("a", "h", "g", "n", "slack").distinct()
+        held = written(_central(many.select("key", "h", "g", "n", "slack"), "key").drop("key").distinct())
+        fewer = written(_fewer_centres(held, tokens, percent))
+        held = held.join(fewer, "a", "left").select(F.coalesce("b", "a").alias("a"), "h", "g", "n", "slack").distinct()
         x = tokens.select(F.col("h").alias("a"), F.col("tokens").alias("x"))
         y = tokens.select("h", F.col("tokens").alias("y"))
         differ = written(held.join(x, "a").join(y, "h").select("a", "h", "g", "n", "slack", "x", "y").mapInArrow(
@@ -383,10 +415,10 @@ def _unite(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": frame["g"].iloc[:1], "chunk": frame["chunk"].iloc[:1], "least": [frame["n"].min()], "union": [union.tobytes()]})
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, tokens: DataFrame, percent: int, times: int = 1) -> DataFrame:
     x = tokens.select(F.col("h").alias("a"), F.col("tokens").alias("x"))
     y = tokens.select(F.col("h").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verifier(percent, times), "a long, b long")
 
 
 def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -399,7 +431,7 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     """
     if not 67 <= percent <= 99:
         raise ValueError("percent must be between 67 and 99")
-    with scratch(documents.sparkSession):
+    with scratch(documents.sparkSession), shuffles_removed(documents.sparkSession):
         return written(_link(documents, doc_id, text, words, percent), keep=True)
 
 
@@ -407,23 +439,19 @@ def _link(documents: DataFrame, doc_id: str, text: str, words: int, percent: int
     spark = documents.sparkSession
     rows_at_once(spark)
     docs = plain(documents, doc_id=doc_id, text=text)
-    same = Window.partitionBy("sign").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    with scratch(spark):  # The signatures are needed only here.
-        signed = written(docs.mapInArrow(_profiler(words, percent), "doc_id long, n long, h long, band int, need int, need_below int, signs array<long>"))
-        profiles = written(signed.drop("signs"), keep=True)
-        # Most signatures occur once: one sort by signature finds the others, each beside the smallest class it has.
-        later = written(
-            signed.filter("h IS NOT NULL").select("h", F.explode("signs").alias("sign"))
-            .select("sign", "h", F.first("h").over(same).alias("first")).filter("h <> first").distinct(), keep=True)
+    signed = docs.mapInArrow(_profiler(words, percent), "sign long, h long, profile struct<doc_id:long,n:long,band:int,need:int,need_below:int>")
+    # Most signatures occur once: one sort by signature finds the others.  Of equal rows the last stays, unless all of the signature's are equal.
+    same = Window.partitionBy("sign", F.col("profile").isNull()).orderBy("h")
+    seen = written(
+        signed.select("*", F.first("h").over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lead("h").over(same).alias("next"))
+        .filter("profile IS NOT NULL OR NOT h <=> next AND (next IS NOT NULL OR h <> first)").select("sign", "h", "profile"))
+    profiles = seen.filter("profile IS NOT NULL").select("profile.*", "h")
     filled = profiles.filter("h IS NOT NULL")
     classes = written(filled.groupBy("h").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"),
         *[F.max(c).alias(c) for c in ("band", "need", "need_below")]))
     needs = classes.select("h", "band", "need", "need_below")
-    meeting = _peel(
-        later.select("sign", "h").unionByName(later.select("sign", F.col("first").alias("h"))).distinct().withColumn("g", F.col("h")),
-        needs, "g").select("sign", "h")
-    pivots = _central(meeting)
+    meeting = _peel(seen.filter("profile IS NULL").select("sign", "h"), needs)
 
     wanted = written(meeting.select("h").distinct().join(classes.select("h", "rep"), "h"))
     # A checked size decides how texts and wanted classes meet; the rows are the same.
@@ -436,11 +464,10 @@ def _link(documents: DataFrame, doc_id: str, text: str, words: int, percent: int
     tokens = written(tokens.unionByName(nameless).dropDuplicates(["h"]))
 
     stars = written(_verified(
-        meeting.join(pivots, "sign").filter("h <> a").select("a", F.col("h").alias("b")).distinct(), tokens, percent))
+        _central(meeting).filter("h <> a").select("a", F.col("h").alias("b")).distinct(), tokens, percent))
     groups = written(components(stars))
     member = _peel(
-        meeting.join(groups, meeting["h"] == groups["node"], "left").select("sign", "h", F.coalesce("root", "h").alias("g")),
-        needs, "g")
+        _mixed(meeting.join(groups, meeting["h"] == groups["node"], "left").select("sign", "h", F.coalesce("root", "h").alias("g"))), needs)
     able = _open(member, tokens, percent)
     member = written(_rarest(member.join(able.select("h"), "h", "left_semi").select("sign", "h", "g"), needs))
     pairs, links = _meet(member.select(F.col("sign").alias("key"), "h", "g").join(able, "h"), tokens, percent)

@@ -78,6 +78,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Files of a shuffle go when the job that wrote them ends, not when the driver's memory happens to be tidied.
+
+    For code in which every frame that is used twice is ``written``.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut lineage: write the frame to the shared folder and read it back; see ``scratch_folder`` for ``keep``."""
     spark, path = df.sparkSession, scratch_folder(df.sparkSession, keep)

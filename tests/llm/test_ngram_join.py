@@ -208,3 +208,44 @@ def test_a_nameless_class_is_a_bridge(spark):
     rows = [(1, " ".join(base)), (None, " ".join(base + ["x", "y", "z"])), (3, " ".join(base + ["x", "y", "z", "p", "q", "r", "s"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["component_id"] for r in J.link(df).collect()] == [1, 1, 1]
+
+
+def test_few_centres_for_a_large_group(spark, monkeypatch):
+    """Near copies that share many edits are held against about one centre each, not one for every shared edit."""
+    held, by_difference = [], J._by_difference
+
+    def counted(differ):
+        held.append((differ.count(), differ.select("h").distinct().count()))
+        return by_difference(differ)
+
+    monkeypatch.setattr(J, "_by_difference", counted)
+    monkeypatch.setattr(J, "FEW", 4)
+    r = random.Random(3)
+    base, texts = [f"w{i}" for i in range(160)], []
+    for i in range(250):
+        copy = list(base)
+        for at in r.sample(range(160), 3):
+            copy[at] = f"n{at}_{r.randrange(2)}"
+        texts.append((i, " ".join(copy)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.link(df, words=5, percent=80).collect()}
+    assert got == brute(texts, 5, 80)
+    pairs, classes = held[0]
+    assert 0 < pairs <= 1.5 * classes
+
+
+def test_signatures_of_one_class_are_not_written(spark, monkeypatch):
+    """Texts without a common passage leave one row each, and shuffles go with their jobs."""
+    rows, name = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, written = spark.conf.get(name, None), J.written
+
+    def counted(df, keep=False):
+        out = written(df, keep)
+        assert spark.conf.get(name) == "true" and not [c for c, kind in out.dtypes if c == "signs"]
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "written", counted)
+    df = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(100))) for i in range(50)] + [(50, None), (None, "")], "doc_id long, text string")
+    assert J.link(df).count() == 52 and max(rows) == 52
+    assert spark.conf.get(name, None) == before
