@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import credentials, decontaminate, hilbert, html_text, licenses, packing, quality, surrogates, toxicity
 
@@ -71,6 +72,27 @@ def test_quality_counts_and_score(spark):
     assert quality.judge(df.limit(0), [0.0] * 64).count() == 0
 
 
+def test_quality_windows_are_told_apart_by_whole_hashes(spark):
+    """Hashes with the same first bits, alone, between equal ones and in one run with them."""
+    rows = [[5, 4, 5, 9, 100, 4, 7], [1, 2, 3], [-1, 3, -1, -1, -2, 8, 8, 8], [7] * 9, [0, 1, 0, 1, 2, 3], [2 ** 62, 5, 2 ** 62, *range(9, 14)], []]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, h array<long>")
+    for i, n in df.select("i", quality._covered(F.col("h"), 5)).collect():
+        assert n == len({k + j for k, x in enumerate(rows[i]) if rows[i].count(x) > 1 for j in range(5)})
+
+
+def test_quality_grams_are_counted_without_lambdas(spark):
+    """In rows the same buckets as in arrays; what is surely not trusted is not scored a second time."""
+    df = frame(spark, [(i, t) for i, t in enumerate(["a b a b c", "one", "", None, "x y"])])
+    grams = quality._gram_rows(df, "text", 64)
+    assert "lambda" not in grams._jdf.queryExecution().optimizedPlan().toString()
+    arrays = df.select("doc_id", F.explode(quality.let(quality.words(F.col("text")), lambda w: quality._grams(
+        w, F.transform(w, lambda x: F.xxhash64(x)), 64))).alias("b"))
+    assert sorted(grams.select("doc_id", "b").collect()) == sorted(arrays.collect()) and grams.count() == 13
+    trusted = spark.createDataFrame([(0,)], "doc_id long")
+    held = quality._measured(df, [0.5] * 64, "doc_id", "text", [[0.5] * 64] * 2, trusted).filter("held_out IS NOT NULL")
+    assert [r["doc_id"] for r in held.collect()] == [0]
+
+
 def test_quality_threshold_follows_trusted_documents(spark):
     """The third lowest of 2,000 held-out scores; others, repeated ids and what fails the base rule do not count."""
     rows = [(i, False, (i - 150) / 1000 + 0.0005) for i in range(2000)] + [(2000, True, -9.0), (2001, False, -9.0), (None, False, -9.0)]
