@@ -14,12 +14,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import plain, rows_at_once, single_threaded
-from .vocabulary import CACHE_UNITS, CACHED_CHARS, byte_signs, char_of_byte, portions, units
+from .vocabulary import CACHED_CHARS, Remembered, byte_signs, char_of_byte, portions, units
 
 #: Portions that are encoded in one call.
 AT_ONCE = 64
@@ -56,17 +57,16 @@ def tokenizer(path: str, pattern: str):
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        _loaded[path, pattern] = (made, table, np.array([len(t) for t in table], np.int64), {})
+        _loaded[path, pattern] = (made, table, np.array([len(t) for t in table], np.int64), Remembered())
     return _loaded[path, pattern]
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     """Ids of the tokens of each text, as packed 32-bit integers."""
-    made, _, sizes, known = tokenizer(path, pattern)
-    if len(known) > CACHE_UNITS:
-        known.clear()
+    made, _, sizes, remembered = tokenizer(path, pattern)
     cut = [units(t) if t else [] for t in texts]
-    new = list(portions(set().union(*cut).difference(known)))
+    new = list(portions(remembered.missing(set().union(*cut))))
+    known = remembered.newer
     long = [u for part in new for u in part if len(u) > CACHED_CHARS]
     for start in range(0, len(new), AT_ONCE):
         some = new[start:start + AT_ONCE]
@@ -134,6 +134,16 @@ def decode_pieces(tokens: list[bytes]) -> list[str]:
     return [reader.decode(t, k == len(tokens) - 1) for k, t in enumerate(tokens)]
 
 
+def joined(rows: pa.ListArray, table: pa.BinaryArray) -> pa.Array:
+    """The bytes that each row of ids makes, put together in one piece of memory; null rows make none."""
+    flat = table.take(rows.flatten())
+    if flat.null_count:
+        raise ValueError("a null is no id")
+    places = np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(), dtype=np.int64)])[places]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), flat.buffers()[2] or pa.py_buffer(b"")])
+
+
 def decode(tokens: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids", pieces: bool = False,
            keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id, *keep, decoded`` (bytes) of every row, and with ``pieces`` the text of each token.
@@ -150,11 +160,11 @@ def decode(tokens: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokenizer(path, pattern)[1]
+        tokens = pa.array(table, pa.binary())
         for batch in batches:
-            parts = [[table[i] for i in row or ()] for row in batch.column(0).to_pylist()]
-            out = [*batch.columns[1:], pa.array([b"".join(p) for p in parts], pa.binary())]
+            out = [*batch.columns[1:], joined(batch.column(0), tokens)]
             if pieces:
-                out.append(pa.array([decode_pieces(p) for p in parts], pa.list_(pa.string())))
+                out.append(pa.array([decode_pieces([table[i] for i in row or ()]) for row in batch.column(0).to_pylist()], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return rows.mapInArrow(run, T.StructType(fields))

@@ -8,8 +8,8 @@ from functools import cache
 
 import numpy as np
 
-#: Distinct units that a Python worker remembers; at this many it starts afresh.
-CACHE_UNITS = 400_000
+#: Distinct units in the newer half of what a Python worker remembers; at this many it becomes the older half.
+CACHE_UNITS = 300_000
 #: Longer units are worked out each time and not remembered.
 CACHED_CHARS = 48
 #: Characters of joined units that a tokenizer gets at once.
@@ -51,6 +51,22 @@ def units(text: str) -> list[str]:
     return parts if parts[0] else parts[1:]
 
 
+class Remembered:
+    """What units came to, in two halves: the older one is forgotten when the newer is full, but for units seen meanwhile."""
+
+    def __init__(self) -> None:
+        self.newer, self.older = {}, {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """Units that are in neither half; the others are in the newer one from now on."""
+        if len(self.newer) > CACHE_UNITS:
+            self.newer, self.older = {}, self.newer
+        new = wanted.difference(self.newer)
+        again = [u for u in new if u in self.older]
+        self.newer.update(zip(again, map(self.older.__getitem__, again)))
+        return new.difference(again)
+
+
 def portions(new: Iterable[str]) -> Iterator[list[str]]:
     """Units in lists that may be joined, as each one's end and the next one's start are a cut again."""
     part, chars = [], 0

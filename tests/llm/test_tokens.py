@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -77,6 +78,37 @@ def test_decoding_of_any_ids(spark):
     assert got[2][1] == ["�"] and got[3] == got[4] == (b"", [])
 
 
+def test_rows_of_ids_are_joined_without_python_objects():
+    """Null, empty and sliced rows; ids outside the vocabulary, negative and null ids fail."""
+    table = pa.array([b"a", b"", b"\xff\x00", b"bc"], pa.binary())
+    rows = pa.array([[3, 3], None, [], [0, 1, 2], [1]], pa.list_(pa.int32()))
+    assert byte_bpe.joined(rows, table).to_pylist() == [b"bcbc", b"", b"", b"a\xff\x00", b""]
+    assert byte_bpe.joined(rows.slice(2, 2), table).to_pylist() == [b"", b"a\xff\x00"]
+    assert byte_bpe.joined(rows[:0], table).to_pylist() == []
+    for ids in ([4], [-1], [None]):
+        with pytest.raises((pa.ArrowInvalid, IndexError, ValueError)):
+            byte_bpe.joined(pa.array([ids], pa.list_(pa.int32())), table)
+
+
+def test_units_in_use_are_not_forgotten(monkeypatch):
+    """A unit that each batch has is worked out once, however many others pass; the rest is bounded by two halves."""
+    monkeypatch.setattr(vocabulary, "CACHE_UNITS", 10)
+    known, worked_out = vocabulary.Remembered(), collections.Counter()
+    for k in range(50):
+        wanted = {" the", *(f" {k}.{j}" for j in range(4))}
+        new = known.missing(wanted)
+        worked_out.update(new)
+        known.newer.update((u, u) for u in new)
+        assert wanted <= set(known.newer) and len(known.newer) + len(known.older) <= 30
+    assert set(worked_out.values()) == {1} and len(worked_out) == 201
+
+
+def test_alignment_remembers_plain_tuples():
+    """Python's collector does not walk tuples of plain values, of which a worker keeps hundreds of thousands."""
+    both = alignment.Aligner(A, B)
+    assert both.align(["some words", None])[0] and {type(u) for u in both.known.newer.values()} == {tuple}
+
+
 def test_byte_bpe_query(spark, folder, tmp_path, public):
     made = write(spark, tmp_path, TEXTS)
     for place in (folder, made):
