@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import count, pairwise
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import plain, rows_at_once, single_threaded, written
-from .vocabulary import CACHE_UNITS, CACHED_CHARS, char_of_byte, portions, sign_bytes, units
+from .vocabulary import CACHED_CHARS, Remembered, char_of_byte, portions, sign_bytes, units
 
 #: Bytes of text that are worked off as one chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
@@ -35,14 +34,9 @@ MARK, GUARD = "▁", "."
 _loaded: dict[tuple[str, str], Aligner] = {}
 
 
-class Unit(NamedTuple):
-    """How the tokens of one unit meet; ``pairs`` are packed ``a << 32 | b``, one for each link, ``told`` its groups."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes
-    told: str
+#: How the tokens of one unit meet: numbers of A tokens, B tokens and groups, the links packed as ``a << 32 | b``, and the groups
+#: as text.  A plain tuple: hundreds of thousands are remembered, and Python's collector walks all objects of a class, but no such tuples.
+Unit = tuple[int, int, int, bytes, str]
 
 
 def exact_ends(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -77,16 +71,16 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         #: Units may stand alone only if no piece continues over a word mark or holds a line break.
         self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in map(self.b.id_to_piece, range(self.b.get_piece_size())))
-        self.known: dict[str, Unit | None] = {}
+        self.known = Remembered()  # units and what they came to, a Unit or None
         self.spoilt = False  # whether any unit so far did not match
 
     def align(self, texts: list[str]) -> list[list[Unit] | None]:
         """The units of each text, a blank put before it; None for empty texts and where bytes do not match."""
-        known, long = self.known, []
-        if len(known) > CACHE_UNITS:
-            known.clear()
+        long = []
         cut = [(units(" " + t) if self.cuts else [" " + t]) if t else None for t in texts]
-        for part in portions(set().union(*(c for c in cut if c)).difference(known)):
+        new = self.known.missing(set().union(*(c for c in cut if c)))
+        known = self.known.newer
+        for part in portions(new):
             found = self._aligned(part) or [one for u in part for one in self._aligned([u]) or [None]]
             self.spoilt |= None in found
             known.update(zip(part, found))
@@ -132,7 +126,7 @@ def _units(a: list[int], b: list[int], a_ends: np.ndarray, b_ends: np.ndarray, e
         i, j = x, y
     cuts = [[0, *(np.searchsorted(side, ends) + 1).tolist()] for side in (a_ends, b_ends, common, stretches)]
     return [
-        Unit(a1 - a0, b1 - b0, g1 - g0, pairs[8 * s0:8 * s1], ";".join(told[g0:g1]))
+        (a1 - a0, b1 - b0, g1 - g0, pairs[8 * s0:8 * s1], ";".join(told[g0:g1]))
         for (a0, a1), (b0, b1), (g0, g1), (s0, s1) in zip(*map(pairwise, cuts))]
 
 
@@ -146,7 +140,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 def _spelled(found: list[Unit]) -> tuple[list[int], list[int], list[dict[str, int]]]:
     """Ids of both and the ends of groups."""
     a_ids, b_ids, ends = [], [], []
-    for group in (g for u in found for g in u.told.split(";")):
+    for group in (g for *_, told in found for g in told.split(";")):
         a, b = ([int(i) for i in side.split(",")] for side in group.split("|"))
         a_ids += a
         b_ids += b
